@@ -69,7 +69,7 @@ def _json_text(column: Column) -> Column:
 
 
 def json_report(findings: DataFrame, stats: DataFrame, notes: DataFrame | None = None) -> DataFrame:
-    """One JSON report per repository of ``stats``."""
+    """One JSON report per repository of ``stats``; ``notes`` holds one row per repository and note."""
     rows = _prepared(findings)
     items = rows.select("repo", _key().alias("key"), _json_text(F.struct(
         F.col("fingerprint").alias("id"), F.col("stable_fingerprint").alias("stable_id"), "rule_id", "title",

@@ -9,9 +9,14 @@ from auditlake.operators.findings import to_report_rows
 from auditlake.operators.suppress import baseline_of
 
 
+def _by_repo(df: DataFrame) -> DataFrame:
+    """Few files per repository: small repositories share a task, large ones are split."""
+    return df.hint("rebalance", "repo")
+
+
 def write_findings(findings: DataFrame, path: str) -> None:
     """The 13-field finding rows, partitioned by repository for partition pruning."""
-    to_report_rows(findings).write.mode("overwrite").partitionBy("repo").parquet(path)
+    _by_repo(to_report_rows(findings)).write.mode("overwrite").partitionBy("repo").parquet(path)
 
 
 def write_baseline(findings: DataFrame, path: str) -> None:
@@ -19,8 +24,8 @@ def write_baseline(findings: DataFrame, path: str) -> None:
 
     ``findings`` must not have been filtered by the old baseline, or its entries would go.
     """
-    (baseline_of(findings).withColumn("generated", F.date_format(F.now(), "yyyy-MM-dd'T'HH:mm:ss"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(path))
+    stamped = baseline_of(findings).withColumn("generated", F.date_format(F.now(), "yyyy-MM-dd'T'HH:mm:ss"))
+    (_by_repo(stamped).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(path))
 
 
 def write_diff(diff, path: str) -> None:
