@@ -5,26 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from auditlake.functions.text import strip
+from auditlake.functions.text import let, sql_text
 
 
-def redact(value: Column) -> Column:
+def redact_sql(value: str) -> str:
     """Head and tail of a value with the middle gone; at most 60 % and 10 characters show."""
-    n = F.length(value)
-    shown = F.least(F.lit(10), F.floor(n * 6 / 10)).cast("int")
-    tail = F.floor(shown * 4 / 10).cast("int")
-    return F.concat(F.substr(value, F.lit(1), shown - tail), F.lit("…"),
-                    F.when(tail > 0, F.substr(value, n - tail + 1)).otherwise(F.lit("")))
+    shown = f"least(10, length({value}) * 6 div 10)"
+    tail = f"({shown} * 4 div 10)"
+    return (f"concat(substr({value}, 1, cast({shown} - {tail} as int)), '…', "
+            f"right({value}, cast({tail} as int)))")
+
+
+def redact(value: Column) -> Column:
+    return let(value, lambda v: F.concat(
+        F.substr(v, F.lit(1), _shown(v) - _tail(v)), F.lit("…"), F.right(v, _tail(v))))
+
+
+def _shown(value: Column) -> Column:
+    return F.least(F.lit(10), F.floor(F.length(value) * 6 / 10)).cast("int")
 
 
-def entropy(value: Column) -> Column:
+def _tail(value: Column) -> Column:
+    return F.floor(_shown(value) * 4 / 10).cast("int")
+
+
+def entropy_sql(value: str) -> str:
     """Shannon entropy of the characters, in bits per character."""
-    chars = F.filter(F.split(value, ""), lambda c: c != "")
-    total = F.length(value).cast("double")
-    return F.aggregate(
-        F.array_distinct(chars), F.lit(0.0),
-        lambda acc, c: acc - (F.size(F.filter(chars, lambda o: o == c)) / total)
-        * F.log2(F.size(F.filter(chars, lambda o: o == c)) / total))
+    share = f"((length({value}) - length(replace({value}, ch, ''))) / length({value}))"
+    return (f"aggregate(filter(array_distinct(split({value}, '')), ch -> ch <> ''), cast(0 as double), "
+            f"(bits, ch) -> bits - {share} * log2({share}))")
+
+
+def entropy(column: str) -> Column:
+    return F.expr(entropy_sql(column))
 
 
 # Shapes that are never live credentials (whole value, any case).
@@ -37,19 +50,21 @@ PLACEHOLDER = (
 )
 
 
-def is_placeholder(value: Column) -> Column:
-    return value.rlike(PLACEHOLDER)
+def is_placeholder_sql(value: str) -> str:
+    return f"{value} rlike {sql_text(PLACEHOLDER)}"
 
 
-def mask_assignment(text: Column) -> Column:
+def mask_assignment_sql(text: str) -> str:
     """Keep ``ENV NAME=`` and the quotes, redact the value; unknown shapes go entirely."""
-    shape = r"(?Ud)^(\s*(?:ENV|ARG)\s+[A-Za-z0-9_]+\s*=\s*)(.*)$"
-    prefix = F.regexp_extract(text, shape, 1)
-    value = strip(F.regexp_extract(text, shape, 2))
-    quoted = (F.length(value) >= 2) & (F.substr(value, F.lit(1), F.lit(1)).isin("'", '"')) & (
-        F.substr(value, F.lit(1), F.lit(1)) == F.substr(value, F.length(value)))
-    quote = F.when(quoted, F.substr(value, F.lit(1), F.lit(1))).otherwise(F.lit(""))
-    inner = F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
-    return (F.when(~text.rlike(shape), redact(text))
-            .when(inner == "", text)
-            .otherwise(F.concat(prefix, quote, redact(inner), quote)))
+    shape = sql_text(r"(?Ud)^(\s*(?:ENV|ARG)\s+[A-Za-z0-9_]+\s*=\s*)(.*)$")
+    edges = sql_text(r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$")
+
+    def bound(value: str, name: str, body: str) -> str:
+        return f"transform(array({value}), {name} -> {body})[0]"
+
+    quote = ("if(length(val) >= 2 and left(val, 1) in ('\\'', '\"') and left(val, 1) = right(val, 1), "
+             "left(val, 1), '')")
+    masked = bound(f"substr(val, 1 + length(qt), length(val) - 2 * length(qt))", "body",
+                   f"if(body = '', {text}, concat(regexp_extract({text}, {shape}, 1), qt, {redact_sql('body')}, qt))")
+    value = f"regexp_replace(regexp_extract({text}, {shape}, 2), {edges}, '')"
+    return (f"if({text} rlike {shape}, {bound(value, 'val', bound(quote, 'qt', masked))}, {redact_sql(text)})")

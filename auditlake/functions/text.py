@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Python's line boundaries and white space.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+OTHER_BREAK = r"[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 SPACE = r"[\s\x1c-\x1f]"
 
 # Flags that make java.util.regex agree with Python's re on str patterns.
@@ -20,10 +21,20 @@ def decode_utf8(content: Column) -> Column:
     return F.when(text.startswith("\ufeff"), F.substr(text, F.lit(2))).otherwise(text)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once (higher-order functions share nothing)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def split_lines(text: Column) -> Column:
-    """Physical lines without their terminators; no extra line after a final terminator."""
-    parts = F.split(text, LINE_BREAK)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    """Physical lines without their terminators; no extra line after a final terminator.
+
+    Ordinary text takes the JVM's plain split on a newline; only text that holds another
+    terminator is split by expression.
+    """
+    parts = F.when(text.rlike(OTHER_BREAK), F.split(text, LINE_BREAK)).otherwise(F.split(text, "\n"))
+    return let(parts, lambda p: F.when(
+        F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 def strip(text: Column) -> Column:
@@ -60,6 +71,19 @@ def is_dockerfile(path: Column) -> Column:
     return (name == "dockerfile") | name.startswith("dockerfile.")
 
 
+def sql_text(value: str) -> str:
+    """A string literal for SQL expressions.
+
+    The rule expressions are large; as SQL text they reach the JVM in one call each instead
+    of one call per operator.
+    """
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_list(values) -> str:
+    return "(" + ", ".join(sql_text(v) for v in values) + ")"
+
+
 def any_of(conditions) -> Column:
     """OR of the given conditions; false when there are none."""
     out = F.lit(False)

@@ -12,20 +12,19 @@ read once and nothing but findings leaves the row.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.masking import mask_assignment, redact
-from auditlake.functions.text import UNICODE, UNICODE_NOCASE, any_of, ext_of, strip
+from auditlake.functions.masking import mask_assignment_sql
+from auditlake.functions.text import UNICODE, UNICODE_NOCASE, ext_of, sql_list, sql_text, strip
 from auditlake.operators import secrets, state_rules
 from auditlake.operators.catalog import DOCKER, FILE_RULES, LINE_RULES, YAML, catalog
 from auditlake.operators.inline_ignore import is_ignored
 from auditlake.operators.lines import with_logical_lines
 from auditlake.options import ScanOptions
 
-HIT = ("array<struct<rule_id:string,line:int,shown:string,message:string,scanner:string>>")
+HIT = "array<struct<rule_id:string,line:int,shown:string,message:string,scanner:string>>"
+NONE = f"cast(array() as {HIT})"
 EVIDENCE_MAX, MESSAGE_MAX = 160, 120        # fixed values
 MASKED_RULES = ("SEC072",)
 
@@ -34,68 +33,56 @@ MASKED_RULES = ("SEC072",)
 _FOLDING = r"[\u017f\u212a\u0130\u0131]"
 
 
-def _anchored(rule) -> Column:
-    hit = any_of([F.contains(F.col("_low"), F.lit(a)) for a in rule.anchors])
-    gate = F.col("ext").isin(*rule.langs) if hasattr(rule, "langs") else F.lit(True)
-    return F.when(gate, F.col("_folds_odd") | hit).otherwise(False)
+def _anchored(rule) -> str:
+    hits = " or ".join(f"contains(_low, {sql_text(a)})" for a in rule.anchors)
+    return f"ext in {sql_list(rule.langs)} and (_folds_odd or {hits})"
 
 
-def _bit(position: int) -> Column:
-    return F.getbit(F.col("_code_mask"), F.lit(position)) == 1
+def _mask(rules) -> str:
+    """One bit per line rule whose language and anchors occur in the file."""
+    bits = [f"if({_anchored(rule)}, {1 << position}L, 0L)" for position, rule in enumerate(rules)]
+    return " + ".join(bits) or "0L"
 
 
-def _hit(rule_id: str, line, shown, scanner: str, message="") -> Column:
-    as_column = message if isinstance(message, Column) else F.lit(message)
-    return F.struct(F.lit(rule_id).alias("rule_id"), line.alias("line"), shown.alias("shown"),
-                    as_column.alias("message"), F.lit(scanner).alias("scanner"))
+def _hit(rule_id: str, line: str, shown: str, scanner: str, message: str = "''") -> str:
+    return (f"named_struct('rule_id', {sql_text(rule_id)}, 'line', {line}, 'shown', {shown}, "
+            f"'message', {message}, 'scanner', '{scanner}')")
 
 
-def _none() -> Column:
-    return F.array().cast(HIT)
+def _line_rule_hits(position: int, rule) -> str:
+    fires = f"l.text rlike {sql_text(UNICODE_NOCASE + rule.pattern)}"
+    if rule.negate is not None:
+        fires += f" and not l.text rlike {sql_text(UNICODE_NOCASE + rule.negate)}"
+    return (f"if(getbit(_code_mask, {position}) = 1, transform(filter(logical, l -> {fires}), "
+            f"l -> {_hit(rule.rule_id, 'l.line', 'l.text', 'code')}), {NONE})")
 
 
-def _evidence(text: Column) -> Column:
-    return F.substring(strip(text), 1, EVIDENCE_MAX)
+def _file_rule_hits(rule) -> str:
+    fires = " and ".join(f"text rlike {sql_text(p)}" for p in rule.patterns)
+    return (f"if(case when {_anchored(rule)} then {fires} else false end, "
+            f"array({_hit(rule.rule_id, '0', sql_text(''), 'code')}), {NONE})")
 
 
-def _line_rule_hits(position: int, rule) -> Column:
-    fires = lambda l: (l["text"].rlike(UNICODE_NOCASE + rule.pattern) if rule.negate is None
-                       else l["text"].rlike(UNICODE_NOCASE + rule.pattern)
-                       & ~l["text"].rlike(UNICODE_NOCASE + rule.negate))
-    shown = ((lambda t: _evidence(mask_assignment(strip(t)))) if rule.rule_id in MASKED_RULES
-             else _evidence)
-    return F.when(_bit(position), F.transform(
-        F.filter("logical", fires),
-        lambda l: _hit(rule.rule_id, l["line"], shown(l["text"]), "code"))).otherwise(_none())
+def _custom_rule_hits(rule) -> str:
+    gate = "true" if rule.extensions is None else f"ext in {sql_list(rule.extensions)}"
+    fires = f"l.text rlike {sql_text(UNICODE + rule.pattern)}"
+    return (f"if({gate}, transform(filter(physical, l -> {fires}), "
+            f"l -> {_hit(rule.id, 'l.line', 'l.text', 'custom')}), {NONE})")
 
 
-def _file_rule_hits(rule) -> Column:
-    fires = reduce(lambda a, b: a & b, [F.col("text").rlike(p) for p in rule.patterns])
-    return F.when(F.when(_anchored(rule), fires).otherwise(False), F.array(
-        _hit(rule.rule_id, F.lit(0), F.lit(""), "code"))).otherwise(_none())
+def _secret_hits(rules, allow) -> str:
+    matches = secrets.matches_sql("l.text", "ext", rules, allow)
+    return (f"if(_secret_wanted, flatten(transform(filter(physical, l -> l.text rlike "
+            f"{sql_text(secrets.hint_pattern(rules))}), l -> transform({matches}, m -> named_struct("
+            f"'rule_id', m.rule_id, 'line', l.line, 'shown', m.shown, 'message', '', 'scanner', 'secrets')))), {NONE})")
 
 
 def _state_rule_hits(rule_id: str, exts, wanted: Column, hits: Column) -> Column:
     return F.when(F.when(F.col("ext").isin(*exts), wanted).otherwise(False), F.transform(
-        hits, lambda h: _hit(rule_id, h["line"], _evidence(h["shown"]), "code", h["message"]))
-    ).otherwise(_none())
-
-
-def _custom_rule_hits(rule) -> Column:
-    found = F.transform(
-        F.filter("physical", lambda l: l["text"].rlike(UNICODE + rule.pattern)),
-        lambda l: _hit(rule.id, l["line"], _evidence(l["text"]), "custom"))
-    gate = F.lit(True) if rule.extensions is None else F.col("ext").isin(*rule.extensions)
-    return F.when(gate, found).otherwise(_none())
-
-
-def _secret_hits(rules, allow) -> Column:
-    lines = F.filter("physical", lambda l: secrets.any_secret_hint(l["text"], rules))
-    return F.flatten(F.transform(lines, lambda l: F.transform(
-        secrets.matches_on(l["text"], F.col("ext"), rules, allow),
-        lambda m: F.struct(m["rule_id"].alias("rule_id"), l["line"].alias("line"),
-                           redact(m["value"]).alias("shown"), F.lit("").alias("message"),
-                           F.lit("secrets").alias("scanner")))))
+        hits, lambda h: F.struct(
+            F.lit(rule_id).alias("rule_id"), h["line"].alias("line"), h["shown"].alias("shown"),
+            h["message"].alias("message"), F.lit("code").alias("scanner")))
+    ).otherwise(F.expr(NONE))
 
 
 def scan_files(files: DataFrame, options: ScanOptions | None = None, *,
@@ -111,33 +98,21 @@ def scan_files(files: DataFrame, options: ScanOptions | None = None, *,
     if len(line_rules) > 63:
         raise ValueError("a rule mask holds 63 line rules")
 
-    seen = (
-        files.select("repo", "path", "text")
-        .withColumn("ext", ext_of(F.col("path")))
-        .withColumn("_low", F.lower("text"))
-        .withColumn("_folds_odd", F.col("text").rlike(_FOLDING))
-    )
+    marker = options.ignore_marker.lower()
+    hints = sorted({a for r in secret_rules for a in r.anchors})
+    seen = files.select("repo", "path", "text").withColumns({
+        "ext": ext_of(F.col("path")), "_low": F.lower("text"),
+        "_folds_odd": F.col("text").rlike(_FOLDING)})
     # Lock files are for the secret rules only.
-    is_lock = F.lower(F.col("path")).endswith(".lock")
-    mask = F.lit(0).cast("long")
-    for position, rule in enumerate(line_rules):
-        mask = mask + F.when(_anchored(rule), F.lit(1 << position)).otherwise(F.lit(0)).cast("long")
-    secret_wanted = any_of([F.contains(F.col("_low"), F.lit(a))
-                            for a in sorted({a for r in secret_rules for a in r.anchors})])
-    masked = (
-        seen
-        .withColumn("_code_mask", F.when(is_lock, F.lit(0).cast("long")).otherwise(mask))
-        .withColumn("_secret_wanted", F.col("_folds_odd") | secret_wanted)
-    )
-
+    is_lock = "lower(path) like '%.lock'"
+    secret_wanted = " or ".join(f"contains(_low, {sql_text(h)})" for h in hints) or "false"
+    masked = seen.withColumns({
+        "_code_mask": F.expr(f"if({is_lock}, 0L, {_mask(line_rules)})"),
+        "_secret_wanted": F.expr(f"_folds_odd or {secret_wanted}" if hints else "false")})
     lined = with_logical_lines(masked, F.col("_code_mask") != 0)
 
-    groups: list[Column] = []
-    if secret_rules:
-        groups.append(F.when(F.col("_secret_wanted"), _secret_hits(secret_rules, allow))
-                      .otherwise(_none()))
-    code = [_line_rule_hits(i, r) for i, r in enumerate(line_rules)]
-    code += [_file_rule_hits(r) for r in file_rules]
+    code = [F.expr(_line_rule_hits(i, r)) for i, r in enumerate(line_rules)]
+    code += [F.expr(_file_rule_hits(r)) for r in file_rules]
     if state_rules_on:
         code.append(_state_rule_hits(
             "SEC041", YAML, F.col("text").rlike(state_rules.UNTRUSTED),
@@ -145,27 +120,27 @@ def scan_files(files: DataFrame, options: ScanOptions | None = None, *,
         code.append(_state_rule_hits(
             "SEC070", DOCKER, F.contains(F.col("_low"), F.lit("from")) | F.col("_folds_odd"),
             state_rules.untagged_image_hits(F.col("physical"))))
-    code += [_custom_rule_hits(r) for r in options.custom_rules]
-    groups += [F.when(is_lock, _none()).otherwise(c) for c in code]
+    code += [F.expr(_custom_rule_hits(r)) for r in options.custom_rules]
+    groups = [F.expr(_secret_hits(secret_rules, allow))] if secret_rules else []
+    if code:
+        groups.append(F.when(F.expr(is_lock), F.expr(NONE)).otherwise(F.concat(*code)))
+    hits = lined.withColumn("_hits", F.concat(*groups) if groups else F.expr(NONE))
 
-    marker = options.ignore_marker.lower()
-    hits = lined.withColumn("_hits", F.concat(*groups) if groups else _none())
-    never = F.transform("_hits", lambda h: F.lit(False))
     if options.inline_suppressions:
         text_at = lambda n: F.get(F.col("physical")["text"], n)
         ignored = lambda h: F.when(h["line"] > 0, is_ignored(
             h["rule_id"], text_at(h["line"] - 1), text_at(h["line"] - 2), marker)).otherwise(False)
-        hits = hits.withColumn("_ignored", F.when(
-            F.contains(F.col("_low"), F.lit(marker)) | F.col("_folds_odd"),
-            F.transform("_hits", ignored)).otherwise(never))
+        never = F.transform("_hits", lambda h: F.lit(False))
+        flags = F.when(F.contains(F.col("_low"), F.lit(marker)) | F.col("_folds_odd"),
+                       F.transform("_hits", ignored)).otherwise(never)
+        rows = (hits.withColumn("_ignored", flags)
+                .select("repo", "path", F.explode_outer(F.arrays_zip("_hits", "_ignored")).alias("h"))
+                .select("repo", "path", F.col("h._hits.*"), F.col("h._ignored").alias("ignored")))
     else:
-        hits = hits.withColumn("_ignored", never)
-
-    rows = (
-        hits.select("repo", "path", F.explode(F.arrays_zip("_hits", "_ignored")).alias("h"))
-        .select("repo", "path", F.col("h._hits.*"), F.col("h._ignored").alias("ignored"))
-    )
-    return _describe(rows, options, allow)
+        rows = hits.select("repo", "path", F.inline_outer("_hits")).withColumn("ignored", F.lit(False))
+    # The outer form on purpose: for the plain one Spark infers a "not empty" filter and pushes
+    # it, with the whole hit expression inside, below every step above. The empty rows go here.
+    return _describe(rows.where(F.col("rule_id").isNotNull()), options, allow)
 
 
 def _describe(rows: DataFrame, options: ScanOptions, allow) -> DataFrame:
@@ -178,6 +153,10 @@ def _describe(rows: DataFrame, options: ScanOptions, allow) -> DataFrame:
     joined = rows.withColumn(
         "origin", F.when(F.col("scanner") == "custom", "custom").otherwise("builtin")
     ).join(F.broadcast(rules), ["rule_id", "origin"])
+    # one step each: what is used several times must be a column, not an expression
+    joined = joined.withColumn("whole", strip(F.col("shown"))).withColumn("shown", F.substring(F.when(
+        F.col("rule_id").isin(*MASKED_RULES), F.expr(mask_assignment_sql("whole"))).otherwise(F.col("whole")),
+        1, EVIDENCE_MAX))
     message = (F.when(F.col("message") != "", F.col("message"))
                .when(F.col("fixed_message") != "", F.col("fixed_message"))
                .when(F.col("line") == 0, F.col("title"))

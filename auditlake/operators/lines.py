@@ -94,5 +94,5 @@ def explode_physical(files: DataFrame) -> DataFrame:
 def explode_logical(files: DataFrame) -> DataFrame:
     """One row per logical line, at most ``PROBE_MAX`` characters, stripped."""
     return (with_logical_lines(files.select("repo", "path", "text"), F.lit(True))
-            .select("repo", "path", F.inline("logical"))
+            .select("repo", "path", F.inline_outer("logical")).where(F.col("line").isNotNull())
             .withColumn("text", strip(F.col("text"))))

@@ -11,8 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from auditlake.functions.masking import entropy, is_placeholder, redact
-from auditlake.functions.text import any_of
+from auditlake.functions.masking import entropy_sql, is_placeholder_sql, redact_sql
+from auditlake.functions.text import any_of, sql_list, sql_text
 from auditlake.operators.catalog import CONFIG
 
 ENTROPY_FLOOR = 3.0
@@ -90,55 +90,47 @@ SECRET_RULES = (
 
 def any_secret_hint(line: Column, rules=SECRET_RULES) -> Column:
     """Cheap necessary condition for any secret rule on ``line``."""
-    hints = sorted({a for rule in rules for a in rule.anchors})
-    return line.rlike("(?iu)" + "|".join(_literal(h) for h in hints))
+    return line.rlike(hint_pattern(rules))
 
 
-def _literal(text: str) -> str:
-    return "".join("\\" + c if not (c.isalnum() or c in "_-:/=") else c for c in text)
+def hint_pattern(rules=SECRET_RULES) -> str:
+    hints = sorted({a for rule in rules for a in rule.anchors})
+    # a hint that contains another one adds nothing
+    needed = [h for h in hints if not any(o != h and o in h for o in hints)]
+    return "(?iu)" + "|".join("".join("\\" + c if c in ".?*+" else c for c in h) for h in needed)
 
 
-def matches_on(line: Column, ext: Column, rules=SECRET_RULES, allow=()) -> Column:
-    """Secrets on one line as ``array<struct<value, ord, rule_id>>``, still unredacted.
+def matches_sql(line: str, ext: str, rules=SECRET_RULES, allow=()) -> str:
+    """Secrets on one line as ``array<struct<rule_id, shown, ord>>``, redacted.
 
     Each distinct value is reported once per line, by the first rule that extracts it.
     """
+    none = "cast(array() as array<struct<value:string,ord:int,rule_id:string>>)"
     found = []
     for position, rule in enumerate(rules):
-        found.append(_shape_matches(line, position, rule, rule.pattern, F.lit(True), allow))
-        if rule.unquoted:
-            found.append(_shape_matches(line, position, rule, rule.unquoted, ext.isin(*CONFIG), allow))
-    ranked = F.array_sort(F.concat(*found))
-    return F.transform(
-        F.filter(F.zip_with(ranked, F.concat(F.array(F.lit(None).cast("string")), ranked["value"]),
-                            lambda m, before: F.struct(m.alias("m"), before.alias("before"))),
-                 lambda p: p["m"].isNotNull() & ~p["m"]["value"].eqNullSafe(p["before"])),
-        lambda p: p["m"])
-
-
-def _shape_matches(line, position, rule, pattern, gate, allow) -> Column:
-    values = F.filter(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)),
-                      lambda v: _plausible(v, rule, allow))
-    return F.when(gate & line.rlike(pattern), F.transform(values, lambda v: F.struct(
-        v.alias("value"), F.lit(position).alias("ord"), F.lit(rule.rule_id).alias("rule_id")))
-    ).otherwise(F.array().cast("array<struct<value:string,ord:int,rule_id:string>>"))
-
-
-def _plausible(value: Column, rule: SecretRule, allow) -> Column:
-    ok = (value != "") & ~is_placeholder(value)
-    allowed = [F.contains(F.lower(value), F.lit(a.lower())) for a in allow if a]
-    if allowed:
-        ok = ok & ~any_of(allowed)
+        for pattern, gate in ((rule.pattern, ""), (rule.unquoted, f"{ext} in {sql_list(CONFIG)} and ")):
+            if pattern:
+                values = f"filter(regexp_extract_all({line}, {sql_text(pattern)}, 1), v -> {_plausible('v', rule, allow)})"
+                found.append(
+                    f"if({gate}{line} rlike {sql_text(pattern)}, transform({values}, v -> named_struct("
+                    f"'value', v, 'ord', {position}, 'rule_id', {sql_text(rule.rule_id)})), {none})")
+    # equal values stand next to each other, the strongest rule first
+    return (f"flatten(transform(array(array_sort(concat({', '.join(found)}))), ranked -> transform("
+            "filter(transform(ranked, (m, i) -> named_struct('m', m, 'again', i > 0 and m.value = "
+            "coalesce(get(ranked, i - 1).value, ''))), p -> not p.again), "
+            f"p -> named_struct('rule_id', p.m.rule_id, 'shown', {redact_sql('p.m.value')}, 'ord', p.m.ord))))")
+
+
+def _plausible(value: str, rule: SecretRule, allow) -> str:
+    parts = [f"{value} <> ''", f"not {is_placeholder_sql(value)}"]
+    parts += [f"not contains(lower({value}), {sql_text(a.lower())})" for a in allow if a]
     if rule.entropy:
-        ok = F.when(ok, entropy(value) >= ENTROPY_FLOOR).otherwise(False)
-    return ok
+        # CASE keeps the entropy off values that already failed
+        return f"case when {' and '.join(parts)} then {entropy_sql(value)} >= {ENTROPY_FLOOR}D else false end"
+    return " and ".join(parts)
 
 
 def allowed_after_redaction(evidence: Column, message: Column, allow) -> Column:
     """The second allow-list pass, over what the finding shows."""
     return any_of([F.contains(F.lower(c), F.lit(a.lower()))
                    for a in allow if a for c in (evidence, message)])
-
-
-__all__ = ["SECRET_RULES", "SecretRule", "allowed_after_redaction", "any_secret_hint",
-           "matches_on", "redact"]

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.severity import severity_name
 from auditlake.plans.samples import SAMPLES
+from auditlake.session import spread
 
 DIRECTORIES = ("src", "lib/core", "node_modules/pkg", "app/vendor/x", "build", "tests/fixtures",
                "pkg.egg-info", "docs", "dist/js", "web/coverage")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def pick(values, index: Column) -> Column:

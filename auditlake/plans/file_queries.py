@@ -192,7 +192,7 @@ c AS (SELECT value, ch, count(*) AS k FROM (SELECT value, unnest(string_split(va
 SELECT value, round(-sum((k / length(value)) * log2(k / length(value))), 6) AS bits FROM c GROUP BY value""")
 def value_entropy(spark, sf_dir):
     return (corpus.table(spark, sf_dir, "part").where("p_name <> ''").select(F.col("p_name").alias("value")).distinct()
-            .select("value", F.round(entropy(F.col("value")), 6).alias("bits")))
+            .select("value", F.round(entropy("value"), 6).alias("bits")))
 
 
 @query("value_redaction", f"""WITH v AS (SELECT c_custkey AS id, c_name AS v FROM customer

@@ -20,6 +20,16 @@ RECOMMENDED_CONF = {
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table with fewer splits than cores one partition per core.
+
+    The file pass is bound by regular expressions, so one small parquet file must not keep
+    a single core busy. A large table has many splits and passes through unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; own scratch folder only when unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
