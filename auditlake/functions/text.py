@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Python's line boundaries and white space.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-OTHER_BREAK = r"[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+OTHER_BREAKS = ("\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 SPACE = r"[\s\x1c-\x1f]"
 
 # Flags that make java.util.regex agree with Python's re on str patterns.
@@ -32,7 +32,8 @@ def split_lines(text: Column) -> Column:
     Ordinary text takes the JVM's plain split on a newline; only text that holds another
     terminator is split by expression.
     """
-    parts = F.when(text.rlike(OTHER_BREAK), F.split(text, LINE_BREAK)).otherwise(F.split(text, "\n"))
+    other = any_of([F.contains(text, F.lit(c)) for c in OTHER_BREAKS])
+    parts = F.when(other, F.split(text, LINE_BREAK)).otherwise(F.split(text, "\n"))
     return let(parts, lambda p: F.when(
         F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 

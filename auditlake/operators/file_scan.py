@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.masking import mask_assignment_sql
-from auditlake.functions.text import UNICODE, UNICODE_NOCASE, ext_of, sql_list, sql_text, strip
+from auditlake.functions.text import UNICODE, UNICODE_NOCASE, any_of, ext_of, sql_list, sql_text, strip
 from auditlake.operators import secrets, state_rules
 from auditlake.operators.catalog import DOCKER, FILE_RULES, LINE_RULES, YAML, catalog
 from auditlake.operators.inline_ignore import is_ignored
@@ -30,7 +30,7 @@ MASKED_RULES = ("SEC072",)
 
 # Characters that equal an ASCII letter only under Unicode case folding; a file holding
 # one skips the anchor shortcut.
-_FOLDING = r"[\u017f\u212a\u0130\u0131]"
+_FOLDING = ("\u017f", "\u212a", "\u0130", "\u0131")
 
 
 def _anchored(rule) -> str:
@@ -72,8 +72,8 @@ def _custom_rule_hits(rule) -> str:
 
 def _secret_hits(rules, allow) -> str:
     matches = secrets.matches_sql("l.text", "ext", rules, allow)
-    return (f"if(_secret_wanted, flatten(transform(filter(physical, l -> l.text rlike "
-            f"{sql_text(secrets.hint_pattern(rules))}), l -> transform({matches}, m -> named_struct("
+    return (f"if(size(_hints) > 0, flatten(transform(filter(physical, l -> exists(_hints, "
+            f"h -> contains(lower(l.text), h))), l -> transform({matches}, m -> named_struct("
             f"'rule_id', m.rule_id, 'line', l.line, 'shown', m.shown, 'message', '', 'scanner', 'secrets')))), {NONE})")
 
 
@@ -99,16 +99,15 @@ def scan_files(files: DataFrame, options: ScanOptions | None = None, *,
         raise ValueError("a rule mask holds 63 line rules")
 
     marker = options.ignore_marker.lower()
-    hints = sorted({a for r in secret_rules for a in r.anchors})
     seen = files.select("repo", "path", "text").withColumns({
         "ext": ext_of(F.col("path")), "_low": F.lower("text"),
-        "_folds_odd": F.col("text").rlike(_FOLDING)})
+        "_folds_odd": any_of([F.contains(F.col("text"), F.lit(c)) for c in _FOLDING])})
     # Lock files are for the secret rules only.
     is_lock = "lower(path) like '%.lock'"
-    secret_wanted = " or ".join(f"contains(_low, {sql_text(h)})" for h in hints) or "false"
     masked = seen.withColumns({
         "_code_mask": F.expr(f"if({is_lock}, 0L, {_mask(line_rules)})"),
-        "_secret_wanted": F.expr(f"_folds_odd or {secret_wanted}" if hints else "false")})
+        "_hints": F.expr(secrets.present_hints_sql("_low", secret_rules) if secret_rules
+                         else "cast(array() as array<string>)")})
     lined = with_logical_lines(masked, F.col("_code_mask") != 0)
 
     code = [F.expr(_line_rule_hits(i, r)) for i, r in enumerate(line_rules)]

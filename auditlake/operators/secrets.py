@@ -88,16 +88,22 @@ SECRET_RULES = (
 )
 
 
-def any_secret_hint(line: Column, rules=SECRET_RULES) -> Column:
-    """Cheap necessary condition for any secret rule on ``line``."""
-    return line.rlike(hint_pattern(rules))
+def hints(rules=SECRET_RULES) -> list[str]:
+    """Lower-case literals of which every match contains at least one."""
+    known = sorted({a for rule in rules for a in rule.anchors})
+    # a hint that contains another one adds nothing
+    return [h for h in known if not any(o != h and o in h for o in known)]
 
 
-def hint_pattern(rules=SECRET_RULES) -> str:
-    hints = sorted({a for rule in rules for a in rule.anchors})
-    # a hint that contains another one adds nothing
-    needed = [h for h in hints if not any(o != h and o in h for o in hints)]
-    return "(?iu)" + "|".join("".join("\\" + c if c in ".?*+" else c for c in h) for h in needed)
+def any_hint_sql(low: str, rules=SECRET_RULES) -> str:
+    """Necessary condition for any secret rule on a lower-cased text column."""
+    return "(" + " or ".join(f"contains({low}, {sql_text(h)})" for h in hints(rules)) + ")"
+
+
+def present_hints_sql(low: str, rules=SECRET_RULES) -> str:
+    """The hints a lower-cased text holds: few, so that its lines are tested for few."""
+    listed = ", ".join(sql_text(h) for h in hints(rules))
+    return f"filter(array({listed}), h -> contains({low}, h))"
 
 
 def matches_sql(line: str, ext: str, rules=SECRET_RULES, allow=()) -> str:
