@@ -10,13 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.severity import severity_name
-from auditlake.plans.samples import SAMPLES
+from auditlake.plans.samples import API_KEY, AWS_KEY, SAMPLES
 from auditlake.session import spread
 
 DIRECTORIES = ("src", "lib/core", "node_modules/pkg", "app/vendor/x", "build", "tests/fixtures",
                "pkg.egg-info", "docs", "dist/js", "web/coverage")
 
 
+PATCH_LINES = (f'+key = "{AWS_KEY}"', '-password = "hunter2' + 'secret99"', " context", f"+t = '{API_KEY}'", "+plain = 1")
+PATCH_PATHS = ("src/app.py", "vendor/lib.py", "conf/.env", "docs/a.md")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
@@ -70,11 +74,8 @@ def event_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def commit_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn as one commit of its conversation's repository."""
-    from auditlake.plans import samples as s
     turn, n = F.col("turn"), F.col("conv_id") * 7 + F.col("turn")
-    secret = pick([f'+key = "{s._KEY}"', f'-password = "hunter2{"secret99"}"', " context", f"+t = '{s._OPENAI}'",
-                   "+plain = 1"], n)
-    place = pick(["src/app.py", "vendor/lib.py", "conf/.env", "docs/a.md"], n)
+    secret, place = pick(PATCH_LINES, n), pick(PATCH_PATHS, n)
     body = F.concat(F.lit("+"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n+")))
     patch = F.concat(
         F.lit("diff --git a/first.txt b/first.txt\n--- a/first.txt\n+++ b/first.txt\n@@ -0,0 +1 @@\n"), body,

@@ -3,10 +3,10 @@
 Credential-looking values are assembled from parts, so that none stands in this file.
 """
 
-_KEY = "AKIA" + "QX7PLMN2RSTV4WYZ"
+AWS_KEY = "AKIA" + "QX7PLMN2RSTV4WYZ"
 _HASH = "gh" + "p_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8"
 _PAT = "github" + "_pat_" + "11ABCDEFG0abcdefghijkl_" + "Zx9Yw8Vu7Ts6Rq5Po4Nm3Lk2Ji1Hg0"
-_OPENAI = "s" + "k-live-" + "Qw3Er5Ty7Ui9Op1As3Df5Gh7Jk9Lz1Xc3V"
+API_KEY = "s" + "k-live-" + "Qw3Er5Ty7Ui9Op1As3Df5Gh7Jk9Lz1Xc3V"
 _SLACK = "xo" + "xb-" + "123456789012-abcdefGHIJKL"
 _JWT = "ey" + "JhbGciOiJIUzI1NiJ9.ey" + "JzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
 _STRIPE = "s" + "k_live_" + "4eC39HqLyjWDarjtT1zdp7dc"
@@ -86,9 +86,9 @@ SAMPLES = (
                   "      - name: 'run: ${{ github.head_ref }}'"),
     ("steps.yaml", "    - run: >-\n        make ${{ github.event.inputs.target }}\n    - if: ${{ github.event.action }}\n"
                    "    run : echo ${{ github.head_ref }}"),
-    ("keys.py", "ACCESS = \"" + _KEY + "\""),
+    ("keys.py", "ACCESS = \"" + AWS_KEY + "\""),
     ("keys.py", "gh = \"" + _HASH + "\"\nfine = \"" + _PAT + "\""),
-    ("keys.js", "const openai = '" + _OPENAI + "';\nconst slack = '" + _SLACK + "';"),
+    ("keys.js", "const openai = '" + API_KEY + "';\nconst slack = '" + _SLACK + "';"),
     ("keys.go", "jwt := \"" + _JWT + "\"\nstripe := \"" + _STRIPE + "\""),
     ("keys.sh", "export NPM=" + _NPM + "\nexport HF=" + _HF + "\nexport UP=" + _PYPI),
     ("keys.rb", "bot = '" + _BOT + "'\nurl = 'postgres://app:s3cr" + "etPw9@db.example.com/x'"),
@@ -97,7 +97,7 @@ SAMPLES = (
     ("bearer.py", "headers = {'Authorization': 'Bearer " + _LONG + "'}\nlow = 'Bearer " + "ab3" * 10 + "'"),
     (".env", "DB_PASSWORD=Tr0ub4dor" + "3xyz\nSECRET_KEY=\"supersecret" + "value99\"\nDEBUG=True\nPASSWORD=changeme"),
     ("pw.py", "password = \"hunter2" + "secret99\"\napi_key = \"aaaaaaaaaaaa\"\ntoken: str = \"<your-token>\"\npassword = get_password()"),
-    ("poetry.lock", "eval(x)\nkey = \"" + _KEY + "\""),
+    ("poetry.lock", "eval(x)\nkey = \"" + AWS_KEY + "\""),
     ("quiet.py", "eval(a)  # audit-ignore SEC020\neval(b)  # audit-ignore SEC021\neval(c)  # audit-ignore\neval('audit-ignore')"),
     ("quiet.js", "// audit-ignore-next-line SEC020,SEC031\neval(a)\neval(b) // audit-ignore SEC020X\neval(d) // audit-ignore *"),
     ("quiet.py", "password = \"kR8mZq2vXw" + "9TfLp0BnY3\"  # audit-ignore sec014\n# AUDIT-IGNORE-next-line\nos.system(x)"),
