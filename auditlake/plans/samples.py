@@ -97,6 +97,7 @@ SAMPLES = (
     ("bearer.py", "headers = {'Authorization': 'Bearer " + _LONG + "'}\nlow = 'Bearer " + "ab3" * 10 + "'"),
     (".env", "DB_PASSWORD=Tr0ub4dor" + "3xyz\nSECRET_KEY=\"supersecret" + "value99\"\nDEBUG=True\nPASSWORD=changeme"),
     ("pw.py", "password = \"hunter2" + "secret99\"\napi_key = \"aaaaaaaaaaaa\"\ntoken: str = \"<your-token>\"\npassword = get_password()"),
+    ("tok.py", "refresh_token = '24be64439e3e49cf" + "46b2d7c90f3602a3'\nprivate_key: 'aaaabbbb'"),
     ("poetry.lock", "eval(x)\nkey = \"" + AWS_KEY + "\""),
     ("quiet.py", "eval(a)  # audit-ignore SEC020\neval(b)  # audit-ignore SEC021\neval(c)  # audit-ignore\neval('audit-ignore')"),
     ("quiet.js", "// audit-ignore-next-line SEC020,SEC031\neval(a)\neval(b) // audit-ignore SEC020X\neval(d) // audit-ignore *"),
