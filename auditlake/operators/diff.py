@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.operators.findings import report_order
+from auditlake.session import materialize
 
 RANK_BLOCK = 100_000
 EXACT = ["repo", "stable_id", "rule_id", "path", "line", "message80"]
@@ -59,39 +60,56 @@ def diff_reports(old: DataFrame, new: DataFrame, block: int = RANK_BLOCK) -> Rep
     """
     shared = [c for c in new.columns if c in old.columns]
     sides = old.select(*shared, F.lit(False).alias("is_new")).unionByName(
-        new.select(*shared, F.lit(True).alias("is_new"))).withColumn(
-        "message80", F.substring("message", 1, 80))
-
-    keys = sides.groupBy(*EXACT).agg(
-        F.count_if(~F.col("is_new")).alias("c_old"), F.count_if("is_new").alias("c_new"),
-        F.min(F.when(~F.col("is_new"), F.col("pos"))).alias("first_old"))
-    matched = F.least("c_old", "c_new")
-    # Old leftovers are ordered by the first position of their key, then by occurrence.
-    earlier_keys = Window.partitionBy(*GROUP).orderBy("first_old").rowsBetween(Window.unboundedPreceding, -1)
-    keys = (keys
-            .withColumn("left_old", F.col("c_old") - matched)
-            .withColumn("left_new", F.col("c_new") - matched)
-            .withColumn("old_before", F.coalesce(F.sum("left_old").over(earlier_keys), F.lit(0))))
+        new.select(*shared, F.lit(True).alias("is_new"))).withColumns({
+            "message80": F.substring("message", 1, 80), "block": F.floor(F.col("pos") / block)})
+
+    # Key level, from counts per block: what follows never sees a key's copies row by row.
+    blocks = sides.groupBy(*EXACT, "is_new", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+    of_key = Window.partitionBy(*EXACT)
+    before = Window.partitionBy(*EXACT, "is_new").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    is_old = ~F.col("is_new")
+    blocks = blocks.withColumns({
+        "offset": F.coalesce(F.sum("n").over(before), F.lit(0)),
+        "c_old": F.coalesce(F.sum(F.when(is_old, F.col("n"))).over(of_key), F.lit(0)),
+        "c_new": F.coalesce(F.sum(F.when(F.col("is_new"), F.col("n"))).over(of_key), F.lit(0)),
+    }).withColumn("matched", F.least("c_old", "c_new"))
+    # small next to the reports, and the source of everything below
+    blocks = materialize(blocks, "diff-blocks")
+    keys = blocks.groupBy(*EXACT).agg(
+        F.max("c_old").alias("c_old"), F.max("c_new").alias("c_new"), F.max("matched").alias("matched"),
+        F.min(F.when(is_old, F.col("first"))).alias("first_old"))
     groups = keys.groupBy(*GROUP).agg(
-        F.sum(matched).alias("exact"), F.sum("left_old").alias("n_old"), F.sum("left_new").alias("n_new"))
+        F.sum("matched").alias("exact"), F.sum(F.col("c_old") - F.col("matched")).alias("n_old"),
+        F.sum(F.col("c_new") - F.col("matched")).alias("n_new"))
     moved = F.least("n_old", "n_new")
-    pairs = groups.select(*GROUP, moved.alias("moved"))
-
-    # Only keys that differ between the snapshots go on to row level.
-    changed = keys.where((F.col("left_old") > 0) | (F.col("left_new") > 0)).select(
-        *EXACT, "c_old", "c_new", "left_old", "left_new", "old_before")
-    rows = ranked(sides.join(changed, EXACT), [*EXACT, "is_new"], "pos", "occurrence", block)
-    matched = F.least("c_old", "c_new")
-
-    old_left = (rows.where(~F.col("is_new") & (F.col("occurrence") <= F.col("left_old")))
-                .withColumn("rank", F.col("old_before") + F.col("occurrence")))
-    new_left = ranked(rows.where(F.col("is_new") & (F.col("occurrence") > matched)), GROUP, "pos", "rank", block)
-    out = (old_left.unionByName(new_left).join(pairs, GROUP)
-           .where(F.col("rank") > F.col("moved"))
-           .select(F.when(F.col("is_new"), "added").otherwise("removed").alias("status"), *shared))
     counts = groups.groupBy("repo").agg(
         F.sum(F.col("n_new") - moved).alias("added"), F.sum(F.col("n_old") - moved).alias("removed"),
         F.sum(F.col("exact") + moved).alias("unchanged"))
+
+    # Row level, only for blocks that hold leftovers: new ones follow the matched
+    # occurrences, old ones precede them (the last old occurrences are matched first).
+    left_old = F.col("c_old") - F.col("matched")
+    touched = blocks.where(F.when(F.col("is_new"), F.col("offset") + F.col("n") > F.col("matched"))
+                           .otherwise(F.col("offset") < left_old)).select(
+        *EXACT, "is_new", "block", "offset", "matched", left_old.alias("left_old"))
+    inside = Window.partitionBy(*EXACT, "is_new", "block").orderBy("pos")
+    rows = (sides.join(touched, [*EXACT, "is_new", "block"])
+            .withColumn("occurrence", F.col("offset") + F.row_number().over(inside)))
+
+    # Old leftovers are ordered by the first position of their key, then by occurrence.
+    earlier = Window.partitionBy(*GROUP).orderBy("first_old").rowsBetween(Window.unboundedPreceding, -1)
+    old_keys = (keys.where(F.col("c_old") > F.col("matched"))
+                .withColumn("old_before", F.coalesce(F.sum(F.col("c_old") - F.col("matched")).over(earlier), F.lit(0)))
+                .select(*EXACT, "old_before"))
+    old_left = (rows.where(is_old & (F.col("occurrence") <= F.col("left_old")))
+                .join(old_keys, EXACT).withColumn("rank", F.col("old_before") + F.col("occurrence")))
+    new_left = ranked(rows.where(F.col("is_new") & (F.col("occurrence") > F.col("matched"))), GROUP, "pos", "rank", block)
+    pairs = groups.where((F.col("n_old") > 0) | (F.col("n_new") > 0)).select(*GROUP, moved.alias("moved"))
+    keep = [*GROUP, *[c for c in shared if c not in GROUP], "is_new", "rank"]
+    out = (old_left.select(*keep).unionByName(new_left.select(*keep)).join(pairs, GROUP)
+           .where(F.col("rank") > F.col("moved"))
+           .select(F.when(F.col("is_new"), "added").otherwise("removed").alias("status"), *shared))
     return ReportDiff(out, counts)
 
 
