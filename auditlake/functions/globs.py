@@ -59,6 +59,17 @@ def is_excluded(path: Column, patterns) -> Column:
 
 def shell_translator():
     """The shell-pattern translator, built so that executors receive it by value."""
+    def members(text: str) -> str:
+        """The inside of a character class; reversed ranges hold nothing."""
+        out, at = [], 0
+        while at < len(text):
+            width = 3 if text[at + 1:at + 2] == "-" and at + 2 < len(text) else 1
+            low, high = text[at], text[at + width - 1]
+            if low <= high:
+                out.append("-".join(re.sub(r"([\\\[\]^&~|-])", r"\\\1", c) for c in ([low, high] if width == 3 else [low])))
+            at += width
+        return "".join(out)
+
     def shell_regex(pattern: str) -> str:
         """A shell pattern as an anchored expression: ``*`` and ``?`` also match ``/``."""
         out, i = [], 0
@@ -76,8 +87,9 @@ def shell_translator():
                 if end < 0:
                     out.append(r"\[")
                     continue
-                members = re.sub(r"([\\\[\]^&~|])", r"\\\1", pattern[first:end])
-                out.append(f"[{'^' if first > i else ''}{members}]")
+                inside, negated = members(pattern[first:end]), first > i
+                # an empty set matches nothing, its negation any character
+                out.append(f"[{'^' if negated else ''}{inside}]" if inside else "." if negated else "(?!)")
                 i = end + 1
             else:
                 out.append(re.escape(char))

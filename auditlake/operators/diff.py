@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.operators.findings import report_order
@@ -36,20 +36,23 @@ class ReportDiff:
         return self.rows.where("status = 'removed'").drop("status")
 
 
-def ranked(df: DataFrame, keys: list[str], position: str, out: str, block: int = RANK_BLOCK) -> DataFrame:
-    """Add the 1-based rank of ``position`` within ``keys`` without one task per key.
+def ranked(df: DataFrame, keys: list[str], position: str, out: str, block: int = RANK_BLOCK,
+           weight: Column | None = None) -> DataFrame:
+    """Add the running total of ``weight`` by ``position`` within ``keys``; by default the rank.
 
-    ``position`` is a non-negative ordinal, unique within ``keys``; a task ranks at most
-    ``block`` rows of a key.
+    ``position`` is a non-negative ordinal, unique within ``keys``. Totals per block are
+    summed first, so that a task orders at most ``block`` positions of a key.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(position) / block))
+    weight = F.lit(1) if weight is None else weight
+    blocked = df.withColumns({"_block": F.floor(F.col(position) / block), "_weight": weight})
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
-               .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(position)
+    offsets = (blocked.groupBy(*keys, "_block").agg(F.sum("_weight").alias("_total"))
+               .withColumn("_offset", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total"))
+    inside = (Window.partitionBy(*keys, "_block").orderBy(position)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (blocked.join(offsets, [*keys, "_block"])
-            .withColumn(out, F.col("_offset") + F.row_number().over(inside))
-            .drop("_block", "_offset"))
+            .withColumn(out, F.col("_offset") + F.sum("_weight").over(inside))
+            .drop("_block", "_weight", "_offset"))
 
 
 def diff_reports(old: DataFrame, new: DataFrame, block: int = RANK_BLOCK) -> ReportDiff:
@@ -98,10 +101,9 @@ def diff_reports(old: DataFrame, new: DataFrame, block: int = RANK_BLOCK) -> Rep
             .withColumn("occurrence", F.col("offset") + F.row_number().over(inside)))
 
     # Old leftovers are ordered by the first position of their key, then by occurrence.
-    earlier = Window.partitionBy(*GROUP).orderBy("first_old").rowsBetween(Window.unboundedPreceding, -1)
-    old_keys = (keys.where(F.col("c_old") > F.col("matched"))
-                .withColumn("old_before", F.coalesce(F.sum(F.col("c_old") - F.col("matched")).over(earlier), F.lit(0)))
-                .select(*EXACT, "old_before"))
+    left = F.col("c_old") - F.col("matched")
+    old_keys = (ranked(keys.where(left > 0), GROUP, "first_old", "old_upto", block, weight=left)
+                .select(*EXACT, (F.col("old_upto") - left).alias("old_before")))
     old_left = (rows.where(is_old & (F.col("occurrence") <= F.col("left_old")))
                 .join(old_keys, EXACT).withColumn("rank", F.col("old_before") + F.col("occurrence")))
     new_left = ranked(rows.where(F.col("is_new") & (F.col("occurrence") > F.col("matched"))), GROUP, "pos", "rank", block)

@@ -49,6 +49,11 @@ def _salted(rules: DataFrame) -> DataFrame:
     return rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
+def _spread(findings: DataFrame) -> DataFrame:
+    """Findings with a salt, as one (repo, rule, path) may hold a large share of them."""
+    return findings.withColumn("salt", F.pmod(F.xxhash64("line", "message"), F.lit(SALTS)).cast("int"))
+
+
 def matched_targets(findings: DataFrame, suppressions: DataFrame,
                     today: Column | None = None) -> DataFrame:
     """The distinct (repo, rule, path) triples that an active suppression covers."""
@@ -76,14 +81,15 @@ def matched_targets(findings: DataFrame, suppressions: DataFrame,
 def split_suppressed(findings: DataFrame, suppressions: DataFrame,
                      today: Column | None = None) -> DataFrame:
     """Findings with a ``suppressed`` flag (one left join, so both halves come from one pass)."""
-    covered = matched_targets(findings, suppressions, today).withColumn("suppressed", F.lit(True))
-    return findings.join(covered, TARGET, "left").withColumn(
-        "suppressed", F.coalesce("suppressed", F.lit(False)))
+    covered = _salted(matched_targets(findings, suppressions, today)).withColumn("suppressed", F.lit(True))
+    return _spread(findings).join(covered, [*TARGET, "salt"], "left").withColumn(
+        "suppressed", F.coalesce("suppressed", F.lit(False))).drop("salt")
 
 
 def apply_suppressions(findings: DataFrame, suppressions: DataFrame,
                        today: Column | None = None) -> DataFrame:
-    return findings.join(matched_targets(findings, suppressions, today), TARGET, "left_anti")
+    covered = _salted(matched_targets(findings, suppressions, today))
+    return _spread(findings).join(covered, [*TARGET, "salt"], "left_anti").drop("salt")
 
 
 def baseline_of(findings: DataFrame) -> DataFrame:
