@@ -61,13 +61,15 @@ def fold_text():
     return F.pandas_udf(fold_batch, LINES)
 
 
-def with_logical_lines(files: DataFrame, needed: Column) -> DataFrame:
+def with_logical_lines(files: DataFrame, needed: Column, exact: bool = False) -> DataFrame:
     """Add ``physical`` and ``logical`` line arrays to rows with ``text``.
 
     ``logical`` is filled only where ``needed``. Files without an open line stay in the
     JVM; the text of the others goes to Python once, because the end of one statement
-    decides where the next begins.
+    decides where the next begins. Rules match alike with and without outer white space,
+    so whole short lines keep it unless ``exact`` asks for the stripped text.
     """
+    short = strip if exact else (lambda text: text)
     folds = F.exists("physical", lambda l: continues(l["text"]))
     return (
         files
@@ -80,7 +82,7 @@ def with_logical_lines(files: DataFrame, needed: Column) -> DataFrame:
                         l["line"].alias("line"),
                         F.when(F.length(l["text"]) > PROBE_MAX,
                                F.substring(strip(l["text"]), 1, PROBE_MAX))
-                        .otherwise(l["text"]).alias("text"))))
+                        .otherwise(short(l["text"])).alias("text"))))
                     .otherwise(F.array().cast(LINES)))
         .drop("_logical_wanted", "_fold_wanted", "_folded")
     )
@@ -92,7 +94,6 @@ def explode_physical(files: DataFrame) -> DataFrame:
 
 
 def explode_logical(files: DataFrame) -> DataFrame:
-    """One row per logical line, at most ``PROBE_MAX`` characters, stripped."""
-    return (with_logical_lines(files.select("repo", "path", "text"), F.lit(True))
-            .select("repo", "path", F.inline_outer("logical")).where(F.col("line").isNotNull())
-            .withColumn("text", strip(F.col("text"))))
+    """One row per logical line, at most ``PROBE_MAX`` characters."""
+    return (with_logical_lines(files.select("repo", "path", "text"), F.lit(True), exact=True)
+            .select("repo", "path", F.inline_outer("logical")).where(F.col("line").isNotNull()))
