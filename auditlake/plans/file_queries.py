@@ -14,7 +14,7 @@ from auditlake.operators.secrets import SECRET_RULES
 from auditlake.options import DEFAULT_EXCLUDES, CustomRule, ScanOptions
 from auditlake.plans import corpus
 from auditlake.plans import oracle_sql as sql
-from auditlake.plans.registry import query
+from auditlake.plans.registry import ORACLES, query
 from auditlake.sources.files import changed_since, discover, discovery_stats, is_scannable, staged
 
 # ---------------------------------------------------------------- discovery
@@ -335,11 +335,44 @@ def finding_fingerprints(spark, sf_dir):
 @query("repository_posture", f"""{_SECRET_SQL}, s AS (SELECT repo, count(*) AS findings, sum(CASE sev WHEN 4 THEN 25 ELSE 10 END) AS d, max(sev) AS worst,
   count(*) FILTER (WHERE sev = 4) AS "CRITICAL", count(*) FILTER (WHERE sev = 3) AS "HIGH" FROM (
     SELECT DISTINCT repo, rule_id, path, line, shown, sev FROM hits) GROUP BY repo)
-SELECT repo, CAST(greatest(0, 100 - d) AS INT) AS score, findings, "CRITICAL", "HIGH",
-  CASE WHEN greatest(0, 100 - d) >= 80 AND worst = 4 THEN 'D' WHEN 100 - d >= 90 THEN 'A' WHEN 100 - d >= 80 THEN 'B'
-    WHEN 100 - d >= 70 THEN 'C' WHEN 100 - d >= 50 THEN 'D' ELSE 'F' END AS grade FROM s""")
+SELECT r.repo, CAST(greatest(0, 100 - coalesce(d, 0)) AS INT) AS score, coalesce(findings, 0) AS findings,
+  coalesce("CRITICAL", 0) AS "CRITICAL", coalesce("HIGH", 0) AS "HIGH",
+  CASE WHEN 100 - coalesce(d, 0) >= 80 AND worst = 4 THEN 'D' WHEN 100 - coalesce(d, 0) >= 90 THEN 'A' WHEN 100 - d >= 80 THEN 'B'
+    WHEN 100 - d >= 70 THEN 'C' WHEN 100 - d >= 50 THEN 'D' ELSE 'F' END AS grade
+FROM (SELECT DISTINCT source AS repo FROM documents) r LEFT JOIN s ON r.repo = s.repo""")
 def repository_posture(spark, sf_dir):
     from auditlake.operators.findings import dedupe
     found = dedupe(scan_files(corpus.files(spark, sf_dir), ScanOptions(inline_suppressions=False),
                               line_rules=(), file_rules=(), state_rules_on=False))
-    return score.posture(found).select("repo", "score", "findings", "CRITICAL", "HIGH", "grade")
+    return score.posture(found, corpus.files(spark, sf_dir)).select("repo", "score", "findings", "CRITICAL", "HIGH", "grade")
+
+
+# ---------------------------------------------------------------- the plan as a whole
+
+@query("scan_findings", f"""WITH RECURSIVE {sql.FILES}, {sql.phys()}, {sql.LOGICAL}, hits AS ({sql.line_hits()}),
+{sql.secret_values('phys')}, {_INLINE_SQL},
+live AS (SELECT repo, rule_id, path, line FROM all_hits h WHERE NOT ends_with(path, '/poetry.lock') AND NOT EXISTS (SELECT 1 FROM marks m WHERE m.repo = h.repo AND m.path = h.path
+  AND m.line = h.line AND (list_contains(m.ids, '*') OR list_contains(m.ids, h.rule_id))))
+SELECT DISTINCT * FROM (SELECT * FROM live
+  UNION ALL SELECT repo, rule_id, path, line FROM ({ORACLES['file_rules']})
+  UNION ALL SELECT repo, 'SEC041', path, line FROM ({ORACLES['workflow_script_injection']})
+  UNION ALL SELECT repo, 'SEC070', path, line FROM ({ORACLES['dockerfile_untagged_image']})
+  UNION ALL SELECT repo, 'SEC050', path, 0 FROM files WHERE tracked AND regexp_matches(path, '/\\.env$')
+  UNION ALL SELECT repo, 'SEC053', '.gitignore', 0 FROM files WHERE tracked AND regexp_matches(path, '/\\.env$')
+  UNION ALL SELECT repo, 'SEC074', '.dockerignore', 0 FROM files WHERE ext = '.dockerfile')""")
+def scan_findings(spark, sf_dir):
+    """The findings of ``scan`` over the corpus: file pass, repository checks, deduplication."""
+    from auditlake.plans.scan import scan
+    return scan(corpus.files(spark, sf_dir)).findings.select("repo", "rule_id", "path", "line").distinct()
+
+
+@query("scan_statistics", f"""WITH RECURSIVE {sql.FILES}, {sql.phys()}, {sql.LOGICAL}, hits AS ({sql.line_hits()}),
+{sql.secret_values('phys')}, {_INLINE_SQL},
+quiet AS (SELECT repo FROM all_hits h WHERE EXISTS (SELECT 1 FROM marks m WHERE m.repo = h.repo AND m.path = h.path
+  AND m.line = h.line AND (list_contains(m.ids, '*') OR list_contains(m.ids, h.rule_id))))
+SELECT f.repo, n - k AS files_scanned, k AS files_skipped, coalesce(s, 0) AS suppressed
+FROM (SELECT repo, count(*) AS n, count(*) FILTER (WHERE ends_with(path, '/poetry.lock')) AS k FROM files GROUP BY repo) f
+LEFT JOIN (SELECT repo, count(*) AS s FROM quiet GROUP BY repo) q ON f.repo = q.repo""")
+def scan_statistics(spark, sf_dir):
+    from auditlake.plans.scan import scan
+    return scan(corpus.files(spark, sf_dir)).stats
