@@ -123,3 +123,13 @@ def test_tolerant_items(spark):
                        '{"ruleId": "C", "locations": [], "level": "ERROR"}, {"ruleId": "D", "partialFingerprints": {"otherStable/v1": "x"}}]}]}')
     assert [(r.rule_id, r.severity, r.message) for r in rows] == [("A", "MEDIUM", "plain"), ("C", "HIGH", ""), ("D", "MEDIUM", "")]
     assert rows[2].stable_id == "x"
+
+
+def test_written_diff(spark, found, stats):
+    docs = written(documents.sarif(found, stats))
+    new = reports.load_reports(spark.createDataFrame(list(docs.items()), "repo string, payload string"))
+    out = tempfile.mkdtemp(prefix="run-")
+    tables.write_diff(diff.diff_reports(new.where("rule_id <> 'A'"), new.where("rule_id <> 'B'")), out)
+    rows = spark.read.parquet(f"{out}/rows").collect()
+    assert sorted((r.status, r.rule_id) for r in rows) == [("added", "A")] * 3 + [("removed", "B")]
+    assert spark.read.parquet(f"{out}/counts").where("repo = 'r'").first().unchanged == 2
