@@ -16,26 +16,21 @@ RECOMMENDED_CONF = {
     # Repository files are wide rows: keep Arrow batches small in rows.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     # Text partitions are CPU-bound on regular expressions: prefer many small splits.
-    "spark.sql.files.maxPartitionBytes": "64m",
+    "spark.sql.files.maxPartitionBytes": "16m",
 }
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a table with fewer splits than cores one partition per core.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``.
 
-    The file pass is bound by regular expressions, so one small parquet file must not keep
-    a single core busy. A large table has many splits and passes through unshuffled.
+    Every executor has to see it, so a cluster must name one. Only a session whose driver is its
+    sole process (master ``local`` or ``local[...]``, as in tests) gets a folder of its own.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; own scratch folder only when unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     created = tempfile.mkdtemp(prefix="auditlake-")
     spark.conf.set("spark.checkpoint.dir", created)
