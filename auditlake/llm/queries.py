@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditlake.llm import exact_dedup, simhash
+from auditlake.llm import bwt_merge, exact_dedup, fm_index, line_dedup, mixing, simhash, url_filter, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op1_url_filters", url_filter.oracle())
+def op1(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+@query("op2_source_mixing")
+def op2(spark, sf_dir):
+    return mixing.mix_sizes(documents(spark, sf_dir))
+
+
 @query("op3_exact_dedup", """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -35,6 +46,40 @@ def op3(spark, sf_dir):
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+@query("op4_line_dedup", """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents),
+l AS (SELECT rid, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),
+m AS (SELECT rid, source, line, pos, trim(line, ' ' || chr(9) || chr(13)) AS body FROM l),
+c AS (SELECT source, body, count(DISTINCT rid) AS pages FROM m WHERE body <> '' GROUP BY source, body),
+t AS (SELECT source, count(*) AS total FROM d GROUP BY source),
+b AS (SELECT c.source, c.body, true AS gone FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE pages >= 5 AND pages > 0.02::DOUBLE * total),
+k AS (SELECT m.rid, count(*) AS n_lines, count(gone) AS n_dropped, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE gone IS NULL) AS kept
+  FROM m LEFT JOIN b ON m.source IS NOT DISTINCT FROM b.source AND m.body = b.body GROUP BY m.rid)
+SELECT doc_id, d.source, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.rid = k.rid
+""")
+def op4(spark, sf_dir):
+    out = line_dedup.drop_boilerplate(documents(spark, sf_dir).select("doc_id", "source", "text"), lines="n_lines", dropped="n_dropped")
+    return out.select("doc_id", "source", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op5_substring_dedup")
+def op5(spark, sf_dir):
+    out = fm_index.drop_repeated_passages(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_suffix_array_dedup")
+def op6(spark, sf_dir):
+    out = bwt_merge.drop_repeated_strings(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op8_simhash_near_dedup")
 def op8(spark, sf_dir):
     return simhash.simhash_components(documents(spark, sf_dir), shingle=3, max_bits=2)
+
+
+@query("op10_embedding_near_dedup")
+def op10(spark, sf_dir):
+    return vectors.link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
