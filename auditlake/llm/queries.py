@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditlake.llm import bwt_merge, exact_dedup, fm_index, line_dedup, mixing, simhash, url_filter, vectors
+from auditlake.llm import bwt_merge, exact_dedup, fm_index, line_dedup, mixing, simhash, toxicity, unigram, url_filter, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,6 +75,13 @@ def op6(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op7_sentencepiece")
+def op7(spark, sf_dir):
+    out = unigram.decode(unigram.encode(documents(spark, sf_dir).select("doc_id", "text")))
+    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(unigram.SPACE), F.lit(" "))
+    return out.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.xxhash64("tokens").alias("tokens_xxhash64"), same.alias("decodes"))
+
+
 @query("op8_simhash_near_dedup")
 def op8(spark, sf_dir):
     return simhash.simhash_components(documents(spark, sf_dir), shingle=3, max_bits=2)
@@ -83,3 +90,10 @@ def op8(spark, sf_dir):
 @query("op10_embedding_near_dedup")
 def op10(spark, sf_dir):
     return vectors.link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
