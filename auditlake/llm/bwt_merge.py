@@ -8,56 +8,82 @@ from pyspark.sql import DataFrame
 
 from auditlake.llm.common import slices
 from auditlake.llm.fm_index import suffix_order
-from auditlake.llm.passages import Passages, byte_cut, byte_symbols, covered, keyed, repeated_ranges, with_ranges
+from auditlake.llm.passages import Passages, byte_cut, byte_symbols, covered, keyed, repeated_ranges, unpacked, with_ranges
 
 #: Bytes of one transform before merging.
-PART = 250_000
+PART = 100_000
 
 
 class Transform:
-    """Burrows-Wheeler transform of several byte strings, each with a terminator of its own (symbol 0)."""
+    """Burrows-Wheeler transform of byte strings with a terminator after each, kept as text, suffix order and its inverse.
+
+    The transform's symbol of a row is what stands before the row's suffix; :meth:`before` gives several symbols at once.
+    """
 
     def __init__(self, strings: list[bytes]):
-        joined = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8).astype(np.uint16) + 1
-        sizes = np.array([len(s) + 1 for s in strings])
-        ends = np.cumsum(sizes) - 1
-        joined[ends] = 0
-        unique = joined.astype(np.int64) + len(ends)
-        unique[ends] = np.arange(len(ends))
-        self.order = suffix_order(unique, int(sizes.max()))
-        self.symbols = joined[self.order - 1]
-        self.back = np.empty(len(joined), dtype=np.int64)  # row of the suffix that starts one symbol earlier
-        self.back[np.argsort(self.symbols, kind="stable")] = np.arange(len(joined))
-        # terminators sort first, in the order of their strings; a row whose symbol is a terminator has no earlier suffix
+        self.text = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8)
+        ends = np.cumsum([len(s) + 1 for s in strings]) - 1
+        values = self.text.astype(np.uint16) + 1
+        values[ends] = 0
+        self.terminators = np.zeros(len(values) + 1, dtype=np.int32)
+        self.terminators[ends + 1] = 1
+        np.cumsum(self.terminators, out=self.terminators)
+        self.order = suffix_order(values)
+        self.row = np.empty(len(values), dtype=np.int32)
+        self.row[self.order] = np.arange(len(values), dtype=np.int32)
+
+    def before(self, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each row: whether ``step`` symbols of its string stand before its suffix, these symbols as one number, and
+        the row of the suffix that starts with them."""
+        at = self.order
+        fits = at >= step
+        fits[fits] = self.terminators[at[fits]] == self.terminators[at[fits] - step]
+        symbols = np.zeros(len(at), dtype=np.uint64)
+        start = np.where(fits, at - step, 0)
+        for k in range(step):
+            symbols = symbols << np.uint64(8) | self.text[start + k]
+        return fits, symbols, self.row[start]
+
+
+def _steps(parts: list[Transform], depth: int):
+    """The largest step that divides ``depth`` and whose different symbol groups fit a 16-bit distribution."""
+    for step in (8, 5, 4, 2, 1):
+        if depth % step:
+            continue
+        fits, symbols, back = (np.concatenate(x) for x in zip(*(p.before(step) for p in parts), strict=True))
+        kinds, symbols = np.unique(symbols, return_inverse=True)
+        if len(kinds) <= 1 << 16:
+            return step, fits, symbols.astype(np.uint16), back
 
 
 def merge(parts: list[Transform], depth: int) -> np.ndarray:
-    """Longest prefix, up to ``depth``, that each row's suffix shares with another suffix of any part.
+    """Longest prefix, up to ``depth``, that each row's suffix shares with another suffix of any part, in whole steps.
 
-    Iterative interleave refinement (Holt and McMillan): the interleave of all rows is refined by one symbol per round,
-    rows being sent to the place of the suffix one symbol longer by a stable distribution on the transform's symbols;
-    suffixes are never sorted again. A row that is alone in its block has its common prefix decided and leaves the
-    interleave, as no longer suffix that ends in it can share more. Rows are numbered through all parts.
+    Iterative interleave refinement (Holt and McMillan): the interleave of all rows is refined round by round. In a round,
+    rows are distributed stably by the transform's symbols to the places of the suffixes that are longer by these symbols,
+    so suffixes are never sorted again. As many symbols are taken per round as a 16-bit distribution allows. A row that is
+    alone in its block has its common prefix decided and leaves the interleave, as no longer suffix that ends in it can
+    share more. Rows are numbered through all parts.
     """
-    symbols = np.concatenate([p.symbols for p in parts])
-    offsets = np.cumsum([0, *(len(p.symbols) for p in parts)])
-    back = np.concatenate([p.back + o for p, o in zip(parts, offsets, strict=False)])
+    step, fits, symbols, back = _steps(parts, depth)
+    sizes = [len(p.order) for p in parts]
+    back = back + np.repeat(np.cumsum([0, *sizes[:-1]]), sizes).astype(np.int32)
     common = np.zeros(len(symbols), dtype=np.int32)
-    rows, block = np.arange(len(symbols)), np.zeros(len(symbols), dtype=np.int64)
-    for length in range(1, depth + 1):
+    rows, block = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), dtype=np.int32)
+    for length in range(step, depth + 1, step):
+        more = fits[rows]
+        rows, block = rows[more], block[more]
         s = symbols[rows]
-        more = s > 0
-        rows, block, s = rows[more], block[more], s[more]
         order = np.argsort(s, kind="stable")
         rows, block, s = back[rows[order]], block[order], s[order]
-        new = np.r_[True, (s[1:] != s[:-1]) | (block[1:] != block[:-1])] if len(s) else np.empty(0, bool)
-        begins = np.flatnonzero(new)
-        size = np.diff(np.r_[begins, len(s)])
-        shared = np.repeat(size > 1, size)
-        block = (np.cumsum(new) - 1)[shared]
-        rows = rows[shared]
         if not len(rows):
             break
+        new = np.empty(len(rows) + 1, dtype=bool)
+        new[0] = new[-1] = True
+        new[1:-1] = (s[1:] != s[:-1]) | (block[1:] != block[:-1])
+        shared = ~(new[:-1] & new[1:])
+        block = np.cumsum(new[:-1], dtype=np.int32)[shared]
+        rows = rows[shared]
         common[rows] = length
     return common
 
@@ -103,10 +129,10 @@ def drop_repeated_strings(docs: DataFrame, window: int = 200, gram: int = 100) -
     ranges = repeated_ranges(docs, spec, lambda table: _intervals(table, window), by_order=False)
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "packed"):
             counts, removed, spans, kept = [], [], [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("ranges"), strict=True):
-                data = np.frombuffer((text or "").encode(), dtype=np.uint8)
+            for text, found in zip(unpacked(batch), batch.column("ranges"), strict=True):
+                data = np.frombuffer(text.encode(), dtype=np.uint8)
                 gone = covered(len(data), found.values if found.is_valid else (), window)
                 counts.append(len(data))
                 removed.append(int(gone.sum()))

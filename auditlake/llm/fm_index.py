@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from auditlake.llm.common import slices
-from auditlake.llm.passages import Passages, covered, keyed, repeated_ranges, with_ranges, word_cut, word_symbols
+from auditlake.llm.passages import Passages, covered, keyed, repeated_ranges, unpacked, with_ranges, word_cut, word_symbols
 
 
 class Bits:
@@ -44,18 +44,34 @@ class WaveletMatrix:
         return at - low
 
 
-def suffix_order(values: np.ndarray, longest: int) -> np.ndarray:
-    """Suffixes in order. Prefix doubling; ``longest`` is the distance after which every suffix has met a unique end."""
-    rank = np.unique(values, return_inverse=True)[1].astype(np.int64)
-    order, have = np.argsort(rank, kind="stable"), 1
-    while have <= longest:
-        after = np.zeros_like(rank)
-        after[:-have] = rank[have:] + 1 if have < len(rank) else 0
-        key = rank * (len(rank) + 2) + after
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        rank = np.empty_like(rank)
-        rank[order] = np.cumsum(np.r_[0, ranked[1:] != ranked[:-1]])
+def suffix_order(values: np.ndarray) -> np.ndarray:
+    """Suffixes of a sequence of small non-negative numbers in order.
+
+    Prefix doubling that starts with as many symbols as fit into 63 bits and sorts again only what still shares its rank.
+    """
+    n, bits = len(values), max(1, int(values.max(initial=0)).bit_length())
+    have = 63 // bits
+    key = np.zeros(n, dtype=np.int64)
+    for k in range(min(have, n)):
+        key[:n - k] |= values[k:].astype(np.int64) << (bits * (have - 1 - k))
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    new = np.r_[True, ranked[1:] != ranked[:-1]] if n else np.empty(0, bool)
+    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = start
+    places = np.flatnonzero(~(new & np.r_[new[1:], True]))  # a rank is the first place of those that share it
+    while len(places):
+        items = order[places]
+        # a suffix that ends first comes first; the padding of the first keys did not tell
+        after = np.where(items + have < n, rank[np.minimum(items + have, n - 1)] + have + 1, n - items)
+        key = rank[items] * (n + have + 2) + after
+        sort = np.argsort(key, kind="stable")
+        items, key = items[sort], key[sort]
+        order[places] = items
+        new = np.r_[True, key[1:] != key[:-1]]
+        rank[items] = places[np.maximum.accumulate(np.where(new, np.arange(len(places)), 0))]
+        places = places[~(new & np.r_[new[1:], True])]
         have *= 2
     return order
 
@@ -66,9 +82,7 @@ class FMIndex:
     def __init__(self, words: np.ndarray, ends: np.ndarray, least: np.ndarray):
         """words: symbols from 1 on, with 0 after every sequence (at ``ends``); least: the smallest doc_id of each sequence."""
         sizes = np.diff(np.r_[-1, ends])
-        unique = words + len(ends)
-        unique[ends] = np.arange(len(ends))
-        order = suffix_order(unique, int(sizes.max()))
+        order = suffix_order(words)
         transform = words[order - 1]
         self.top = int(words.max()) + 1
         self.tree = WaveletMatrix(transform, max(1, int(self.top).bit_length()))
@@ -139,10 +153,10 @@ def drop_repeated_passages(docs: DataFrame, window: int = 13, gram: int = 5) ->
     ranges = repeated_ranges(docs, spec, lambda table: _intervals(table, window), by_order=True)
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "packed"):
             counts, removed, kept = [], [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("ranges"), strict=True):
-                words = (text or "").encode().split()
+            for text, found in zip(unpacked(batch), batch.column("ranges"), strict=True):
+                words = text.encode().split()
                 gone = covered(len(words), found.values if found.is_valid else (), window)
                 counts.append(len(words))
                 removed.append(int(gone.sum()))

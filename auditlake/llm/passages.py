@@ -6,11 +6,11 @@ corpus. Windows are therefore routed by content first:
 
 1. Each window's *anchor* is its smallest m-gram in a hash order. Equal windows have equal anchors, so consecutive
    windows with one anchor form a *segment*, and only segments with equal anchors can share a window.
-2. Anchors are counted with map-side partial sums; those of a single place are dropped.
-3. If all segments of an anchor are equal (copies), the counts answer for all their windows.
-4. Otherwise one text per different segment is fetched and goes to the shard of its anchor, where the operator's index
+2. Anchors are counted with map-side partial sums; those of a single place are dropped. If all segments of an anchor are
+   equal (copies), its sums answer for all their windows.
+3. Otherwise one text per different segment is fetched and goes to the shard of its anchor, where the operator's index
    decides window by window.
-5. The decided ranges go back to their documents.
+4. The decided ranges go back to their documents.
 
 No step holds a whole group: hot anchors meet as sums and in joins that adaptive execution splits, and an anchor with
 very many different segments is cut into single windows, which are counted by their hashes.
@@ -18,6 +18,7 @@ very many different segments is cut into single windows, which are counted by th
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from auditlake.llm.common import slices, small_side
+from auditlake.llm.common import slices
 from auditlake.session import materialize
 
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -34,8 +35,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 PIECE = 400_000
 #: Different segments of one anchor above which it is cut into single windows.
 MANY = 2_000
-#: Symbols of the segments that are indexed together as one shard.
-SHARD = 1_000_000
+#: Bytes of the segments that are indexed together as one shard.
+SHARD = 400_000
 
 
 @dataclass(frozen=True)
@@ -113,7 +114,7 @@ def running_sums(symbols: np.ndarray) -> np.ndarray:
 def segments_of(symbols: np.ndarray, ends: np.ndarray, spec: Passages):
     """Segments of texts that stand one after the other in ``symbols`` (``ends``: where each ends).
 
-    Gives arrays: text number, first window, number of windows, anchor hash, segment hash (48 bits).
+    Gives arrays: text number, first window, number of windows, anchor hash, segment hash (40 bits).
     """
     n, wide, choices = len(symbols), spec.window, spec.window - spec.gram + 1
     none = np.empty(0, np.int64)
@@ -139,7 +140,7 @@ def segments_of(symbols: np.ndarray, ends: np.ndarray, spec: Passages):
     new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (t[1:] != t[:-1])])
     count = np.diff(np.r_[new, len(starts)])
     first = starts[new]
-    whole = range_hashes(sums, first, first + count + wide - 1) >> np.uint64(16)
+    whole = range_hashes(sums, first, first + count + wide - 1) >> np.uint64(24)
     return t[new], first, count, grams[a[new]], whole
 
 
@@ -179,8 +180,23 @@ def _places(docs: DataFrame, spec: Passages) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a hash of the text that tells rows with one doc_id apart."""
-    return docs.select("doc_id", "text", F.hash("text").alias("row"))
+    """doc_id, text and ``row``, a hash of the text where ids repeat, to tell such rows apart, else 0."""
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return docs.select("doc_id", "text", F.hash("text").alias("row") if repeated else F.lit(0).alias("row"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Documents as they are sent to their ranges: the text compressed (null as empty), about half of what Spark would send."""
+    def run(batches):
+        for batch in slices(batches, "text"):
+            texts = [zlib.compress((t or "").encode(), 1) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(texts, pa.binary())], names=["doc_id", "row", "packed"])
+
+    return docs.mapInArrow(run, "doc_id long, row int, packed binary")
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[str]:
+    return (zlib.decompress(x).decode() for x in batch.column("packed").to_pylist())
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, spec: Passages, width: int) -> DataFrame:
@@ -188,15 +204,15 @@ def _fetch(docs: DataFrame, wanted: DataFrame, spec: Passages, width: int) -> Da
 
     ``wanted`` (doc_id, row, anchor, seg, first, n, least, times) has one row per different segment.
     """
-    lists = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("anchor", "seg", "first", "n", "least", "times")).alias("want"))
-    lists = materialize(lists, "wanted")
-    lists = small_side(lists, F.size("want") * 48 + 64)
-    joined = docs.join(lists, docs.doc_id.eqNullSafe(lists.doc_id) & docs.row.eqNullSafe(lists.row)).select("text", "want")
+    lists = wanted.groupBy(F.col("doc_id").alias("of"), F.col("row").alias("of_row")).agg(
+        F.collect_list(F.struct("anchor", "seg", "first", "n", "least", "times")).alias("want"))
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & F.col("row").eqNullSafe(F.col("of_row"))
+    joined = packed(docs).join(lists, same).select("packed", "want")
 
     def run(batches):
         names = ("anchor", "seg", "n", "least", "times")
-        for batch in slices(batches, "text"):
-            for text, want in zip(batch.column("text").to_pylist(), batch.column("want"), strict=True):
+        for batch in batches:
+            for text, want in zip(unpacked(batch), batch.column("want"), strict=True):
                 want = want.as_py()
                 cuts = spec.cut(text, [(w["first"], w["first"] + w["n"] + width - 1) for w in want])
                 yield pa.RecordBatch.from_arrays(
@@ -261,30 +277,34 @@ def repeated_ranges(docs: DataFrame, spec: Passages, index, by_order: bool) -> D
     """
     order = F.coalesce("doc_id", F.lit(2**63 - 1))
     places = _places(docs, spec)
+    sums = [F.min("seg").alias("seg_low"), F.max("seg").alias("seg_high")]
     if by_order:
-        shared = places.groupBy("anchor").agg(F.min(order).alias("low"), F.max(order).alias("high")).where("low <> high")
+        shared = places.groupBy("anchor").agg(F.min(order).alias("low"), F.max(order).alias("high"), *sums).where("low <> high")
     else:
-        shared = places.groupBy("anchor").agg(F.count("*").alias("high")).where("high > 1")
-    hits = materialize(places.join(shared.select("anchor"), "anchor"), "shared-anchors")
-    kinds = hits.groupBy("anchor", "seg").agg(F.min(order).alias("least"), F.count("*").alias("times"),
-                                              F.min(F.struct("doc_id", "row", "first", "n")).alias("one"))
+        shared = places.groupBy("anchor").agg(F.count("*").alias("low"), *sums).where("low > 1")
+    shared = shared.select("anchor", "low", F.expr("seg_low = seg_high").alias("alike"))
+    hits = places.join(shared, "anchor")
+    if by_order:
+        hits = hits.where(~F.col("alike") | (F.col("low") < order))
+    hits = materialize(hits.drop("low"), "shared-anchors")
+    alike, mixed = hits.where("alike").select("doc_id", "row", "first", "n"), hits.where("NOT alike").drop("alike")
+
+    kinds = mixed.groupBy("anchor", "seg").agg(F.min(order).alias("least"), F.count("*").alias("times"),
+                                               F.min(F.struct("doc_id", "row", "first", "n")).alias("one"))
     kinds = materialize(kinds, "segments")
     spread = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    kinds = materialize(kinds.join(spread, "anchor"), "segment-kinds")
-
-    whole = kinds.where("kinds = 1").select("anchor", "seg", F.lit(0).alias("at"), F.col("one.n").alias("len"), "least", "times")
-    wanted = kinds.where("kinds > 1").select("anchor", "seg", "least", "times", "kinds", "one.*")
-    few = _fetch(docs, wanted.where(F.col("kinds") <= MANY).drop("kinds"), spec, spec.window)
-    many = _fetch(docs, wanted.where(F.col("kinds") > MANY).drop("kinds"), spec, spec.window)
-    decided = whole.union(_by_index(few, index)).union(_by_window(many, spec).select("anchor", "seg", "at", "len", "least", "times"))
+    wanted = kinds.join(spread, "anchor").select("anchor", "seg", "least", "times", "kinds", "one.*")
+    texts = materialize(_fetch(docs, wanted.drop("kinds"), spec, spec.window).join(spread, "anchor"), "segment-texts")
+    few, many = texts.where(F.col("kinds") <= MANY), texts.where(F.col("kinds") > MANY)
+    decided = _by_index(few, index).union(_by_window(many, spec))
     decided = materialize(decided if by_order else decided.where("times > 1"), "decided")
 
-    found = hits.join(decided, ["anchor", "seg"])
+    found = mixed.join(decided.withColumnRenamed("least", "smallest"), ["anchor", "seg"])
     if by_order:
-        found = found.where(F.col("least") < order)
-    found = found.select("doc_id", "row", (F.col("first") + F.col("at")).alias("first"), F.col("len").alias("n"))
+        found = found.where(F.col("smallest") < order)
+    found = found.select("doc_id", "row", (F.col("first") + F.col("at")).alias("first"), F.col("len").alias("n")).union(alike)
     # equal rows (one doc_id, one text) find the same ranges: a set, so that they do not add up
-    return materialize(found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "n")).alias("ranges")), "ranges")
+    return found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "n")).alias("ranges"))
 
 
 def covered(length: int, ranges, window: int) -> np.ndarray:
@@ -298,7 +318,7 @@ def covered(length: int, ranges, window: int) -> np.ndarray:
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Documents and their ranges (null: none)."""
-    ranges = small_side(ranges, F.size("ranges") * 24 + 64)
-    same = docs.doc_id.eqNullSafe(ranges.doc_id) & docs.row.eqNullSafe(ranges.row)
-    return docs.join(ranges, same, "left").select(docs.doc_id, docs.text, "ranges")
+    """doc_id, packed text and ranges (null: none) of all documents."""
+    ranges = materialize(ranges.withColumnsRenamed({"doc_id": "of", "row": "of_row"}), "ranges")
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & F.col("row").eqNullSafe(F.col("of_row"))
+    return packed(docs).join(ranges, same, "left").select("doc_id", "packed", "ranges")

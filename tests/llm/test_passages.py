@@ -5,9 +5,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from auditlake.llm import passages
+from auditlake.llm import bwt_merge, passages
 from auditlake.llm.bwt_merge import Transform, drop_repeated_strings, merge
-from auditlake.llm.fm_index import FMIndex, WaveletMatrix, drop_repeated_passages
+from auditlake.llm.fm_index import FMIndex, WaveletMatrix, drop_repeated_passages, suffix_order
 
 
 def plain_words(rows, window):
@@ -116,19 +116,23 @@ def test_matching_statistics():
             assert high[e] - low[e] == occurs(query[e - want + 1:e + 1].tolist())
 
 
-def test_merged_transforms_give_common_prefixes():
+@pytest.mark.parametrize("depth", [8, 10, 7])
+def test_merged_transforms_give_common_prefixes(depth):
     rnd = random.Random(4)
-    strings = [bytes(rnd.choices(b"ab", k=rnd.randrange(1, 25))) for _ in range(12)]
+    strings = [bytes(rnd.choices(b"ab\0", [5, 5, 1], k=rnd.randrange(1, 40))) for _ in range(12)]
     parts = [Transform(strings[:5]), Transform(strings[5:6]), Transform(strings[6:])]
-    common = merge(parts, 8)
+    step = bwt_merge._steps(parts, depth)[0]
+    common = merge(parts, depth)
     suffixes = [s[i:] for s in strings for i in range(len(s) + 1)]
     at = 0
     for part, group in zip(parts, (strings[:5], strings[5:6], strings[6:])):
         own = [s[i:] for s in group for i in range(len(s) + 1)]
         for row, start in enumerate(part.order):
             me = own[start]
-            best = max((len(p) for p in (me[:k] for k in range(9)) if sum(s[:len(p)] == p and len(s) >= len(p) for s in suffixes) > 1), default=0)
-            assert common[at + row] == min(best, 8)
+            if start in np.cumsum([len(s) + 1 for s in group]) - 1:
+                continue  # a terminator
+            best = max((len(p) for p in (me[:k] for k in range(depth + 1)) if sum(s[:len(p)] == p and len(s) >= len(p) for s in suffixes) > 1), default=0)
+            assert common[at + row] == best // step * step
         at += len(part.order)
 
 
@@ -136,3 +140,10 @@ def test_hash_of_kept_text_is_that_of_the_words(spark):
     df = spark.createDataFrame([(1, " a\tb \n c ")], "doc_id long, text string")
     row = drop_repeated_passages(df).first()
     assert hashlib.sha256(row.kept.encode()).hexdigest() == hashlib.sha256(b"a b c").hexdigest()
+
+
+def test_suffix_order():
+    rnd = random.Random(6)
+    for top in (1, 3, 300, 100_000):
+        values = np.array([rnd.randrange(top) for _ in range(500)] * 2)
+        assert suffix_order(values).tolist() == sorted(range(1000), key=lambda i: values[i:].tolist())
