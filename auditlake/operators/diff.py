@@ -16,7 +16,7 @@ from auditlake.operators.findings import report_order
 from auditlake.session import materialize
 
 RANK_BLOCK = 100_000
-EXACT = ["repo", "stable_id", "rule_id", "path", "line", "message80"]
+EXACT = ["repo", "stable_id", "rule_id", "path", "line", "message"]
 GROUP = ["repo", "stable_id"]
 
 
@@ -64,7 +64,8 @@ def diff_reports(old: DataFrame, new: DataFrame, block: int = RANK_BLOCK) -> Rep
     shared = [c for c in new.columns if c in old.columns]
     sides = old.select(*shared, F.lit(False).alias("is_new")).unionByName(
         new.select(*shared, F.lit(True).alias("is_new"))).withColumns({
-            "message80": F.substring("message", 1, 80), "block": F.floor(F.col("pos") / block)})
+            "block": F.floor(F.col("pos") / block)})
+    sides = materialize(sides, "diff-sides")  # read for the blocks and again for the rows
 
     # Key level, from counts per block: what follows never sees a key's copies row by row.
     blocks = sides.groupBy(*EXACT, "is_new", "block").agg(

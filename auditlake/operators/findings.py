@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.identity import message80, with_identity
+from auditlake.functions.identity import with_identity
 from auditlake.functions.severity import severity_level
 from auditlake.operators.catalog import advice
 from auditlake.schemas import FINDING_COLUMNS, KEY
@@ -42,7 +42,7 @@ def union_findings(parts: list[DataFrame]) -> DataFrame:
 
 
 def dedupe(findings: DataFrame) -> DataFrame:
-    """One finding per (repo, rule, path, line, message start): most severe, then first reported.
+    """One finding per (repo, rule, path, line, message): most severe, then first reported.
 
     An aggregate rather than a window: copies of one key combine before the shuffle, so a
     key repeated across a third of the table costs one row per map task.
@@ -50,9 +50,8 @@ def dedupe(findings: DataFrame) -> DataFrame:
     rest = [c for c in FINDING_COLUMNS if c not in KEY and c not in ("sev", "scan_seq")]
     best = F.min(F.struct((-F.col("sev")).alias("neg_sev"), "scan_seq", *sorted(rest)))
     return (
-        findings.withColumn("message80", message80())
-        .groupBy(*KEY).agg(best.alias("best"))
-        .select("repo", "rule_id", "path", "line", (-F.col("best.neg_sev")).alias("sev"),
+        findings.groupBy(*KEY).agg(best.alias("best"))
+        .select(*KEY, (-F.col("best.neg_sev")).alias("sev"),
                 "best.scan_seq", *[F.col(f"best.{c}") for c in rest])
         .select(*FINDING_COLUMNS)
     )
@@ -68,6 +67,22 @@ def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy("repo", *report_order())
 
 
+def placed(findings: DataFrame, out: str = "place") -> DataFrame:
+    """Add each finding's place in its repository's report order.
+
+    Findings are counted per (severity, path, line) first; running totals of these few counts give the places before each
+    group, so that a task orders one line's findings and never a whole repository.
+    """
+    group = ["sev", "path", "line"]
+    order = [F.col("sev").desc(), F.col("path").asc(), F.col("line").asc()]
+    before = Window.partitionBy("repo").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    counts = findings.groupBy("repo", *group).agg(F.count(F.lit(1)).alias("_n")).select(
+        "repo", *group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("repo", *group).orderBy(*report_order()[3:], "rule_id")
+    return (findings.join(counts, ["repo", *group])
+            .withColumn(out, F.col("_before") + F.row_number().over(inside)).drop("_before"))
+
+
 def gating(findings: DataFrame) -> DataFrame:
     """Findings that count for a gate: everything above INFO."""
     return findings.where(F.col("sev") > 0)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.text import split_lines, strip
 
-PROBE_MAX = 10_000                      # fixed value: characters a code rule sees of one line
+FOLD_MAX = 10_000                       # fixed value: characters after which an open statement is no longer joined on
 LINES = "array<struct<line:int,text:string>>"
 
 
@@ -28,11 +28,11 @@ def continues(line: Column) -> Column:
     return (opened < closed) | line.rlike(r"(?U)[,(][\s\x1c-\x1f]*$")
 
 
-def folder(limit: int = PROBE_MAX):
+def folder(limit: int = FOLD_MAX):
     """The folding function. Built inside a function so that executors get it by value and
     need no installed copy of this package."""
     def fold(pieces: list[str]) -> list[tuple[int, str]]:
-        """Join open statements: (first physical line, text up to the probe limit)."""
+        """Join open statements: (first physical line, whole text). Every character is part of one of them."""
         folded: list[tuple[int, str]] = []
         first, held, depth, size = 1, [], 0, 0
         for number, raw in enumerate(pieces, 1):
@@ -44,7 +44,7 @@ def folder(limit: int = PROBE_MAX):
             depth += piece.count("(") - piece.count(")")
             is_open = depth > 0 or piece.endswith((",", "("))
             if size >= limit or not is_open or number == len(pieces):
-                folded.append((first, " ".join(held)[:limit]))
+                folded.append((first, " ".join(held)))
                 held, depth, size = [], 0, 0
         return folded
     return fold
@@ -67,7 +67,7 @@ def with_logical_lines(files: DataFrame, needed: Column, exact: bool = False) ->
     ``logical`` is filled only where ``needed``. Files without an open line stay in the
     JVM; the text of the others goes to Python once, because the end of one statement
     decides where the next begins. Rules match alike with and without outer white space,
-    so whole short lines keep it unless ``exact`` asks for the stripped text.
+    so unfolded lines keep it unless ``exact`` asks for the stripped text. Lines are never cut.
     """
     short = strip if exact else (lambda text: text)
     folds = F.exists("physical", lambda l: continues(l["text"]))
@@ -80,9 +80,7 @@ def with_logical_lines(files: DataFrame, needed: Column, exact: bool = False) ->
         .withColumn("logical", F.when(F.col("_fold_wanted"), F.col("_folded"))
                     .when(F.col("_logical_wanted"), F.transform("physical", lambda l: F.struct(
                         l["line"].alias("line"),
-                        F.when(F.length(l["text"]) > PROBE_MAX,
-                               F.substring(strip(l["text"]), 1, PROBE_MAX))
-                        .otherwise(short(l["text"])).alias("text"))))
+                        short(l["text"]).alias("text"))))
                     .otherwise(F.array().cast(LINES)))
         .drop("_logical_wanted", "_fold_wanted", "_folded")
     )
@@ -94,6 +92,6 @@ def explode_physical(files: DataFrame) -> DataFrame:
 
 
 def explode_logical(files: DataFrame) -> DataFrame:
-    """One row per logical line, at most ``PROBE_MAX`` characters."""
+    """One row per logical line."""
     return (with_logical_lines(files.select("repo", "path", "text"), F.lit(True), exact=True)
             .select("repo", "path", F.inline_outer("logical")).where(F.col("line").isNotNull()))

@@ -1,9 +1,11 @@
-"""Configured suppressions and baselines: anti joins on exact keys.
-
-A suppression concerns (repo, rule, path) only, so it is matched against the distinct
-triples of the findings table. Exact paths and directories become equi joins on every
-parent of the path; only shell patterns compare text, and only within their own rule.
-No side is force-broadcast: both can grow with the organisation, Spark picks by size.
+"""Configured suppressions and baselines: equi joins on exact keys.
+
+A suppression concerns (repo, rule, path) only, so it is matched against the distinct triples of the findings table, and
+always by equality on the repository: a suppression for every repository is spelled out for each repository that has
+findings. Suppressions without a path join on (repo, rule). Exact paths and directories join on every parent of the path.
+Shell patterns join on their literal leading directory as well and only then compare text. So a suppression never meets a
+finding of another repository, and what a join makes is bounded by the matches of a triple. No side is force-broadcast and
+nothing is salted: joins that one key makes large are split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from auditlake.functions.text import posix
 from auditlake.schemas import SUPPRESSIONS
 
 TARGET = ["repo", "rule_id", "path"]
-SALTS = 32
 
 
 def suppression_table(spark: SparkSession, entries) -> DataFrame:
@@ -34,24 +35,16 @@ def active(suppressions: DataFrame, today: Column | None = None) -> DataFrame:
     return suppressions.where((expires == "") | F.coalesce(on >= today, F.lit(False)))
 
 
-def _path_keys(path: Column) -> Column:
-    """Everything a non-pattern suppression path may equal: any path, the path, each parent."""
+def _parents(path: Column) -> Column:
+    """The directories above a path, from "" for the root downwards."""
     parts = F.split(path, "/")
-    parents = F.when(F.size(parts) > 1, F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1),
-        lambda n: F.concat(F.lit("d:"), F.array_join(F.slice(parts, 1, n), "/")))
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.array(F.lit("any"), F.concat(F.lit("f:"), path)), parents)
-
-
-def _salted(rules: DataFrame) -> DataFrame:
-    """Suppressions once per salt: a wildcard rule or a top directory may cover most targets."""
-    return rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return F.when(F.size(parts) > 1, F.concat(F.array(F.lit("")), F.transform(
+        F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/")))).otherwise(F.array(F.lit("")))
 
 
-def _spread(findings: DataFrame) -> DataFrame:
-    """Findings with a salt, as one (repo, rule, path) may hold a large share of them."""
-    return findings.withColumn("salt", F.pmod(F.xxhash64("line", "message"), F.lit(SALTS)).cast("int"))
+def _literal_directory(pattern: Column) -> Column:
+    """The directories in front of a pattern's first special character: every path it matches lies below them."""
+    return F.regexp_extract(pattern, r"\A((?:[^*?\[/]*/)*)[^/]*?[*?\[]", 1)
 
 
 def matched_targets(findings: DataFrame, suppressions: DataFrame,
@@ -59,37 +52,44 @@ def matched_targets(findings: DataFrame, suppressions: DataFrame,
     """The distinct (repo, rule, path) triples that an active suppression covers."""
     rules = active(suppressions, today).select(
         F.col("repo").alias("s_repo"), F.coalesce("rule_id", F.lit("*")).alias("rule_key"),
-        posix(F.coalesce("path", F.lit(""))).alias("s_path"))
-    plain = rules.select("s_repo", "rule_key", F.explode(F.when(F.col("s_path") == "", F.array(F.lit("any")))
-                         .otherwise(F.array(F.concat(F.lit("f:"), "s_path"),
-                                            F.concat(F.lit("d:"), F.rtrim("s_path", F.lit("/"))))))
-                         .alias("path_key")).distinct()
-    patterns = (rules.where(F.col("s_path").rlike(r"[*?\[]")).distinct()
-                .withColumn("rx", shell_regex_column("s_path")))
-
-    targets = (findings.select(*TARGET).distinct()
-               .withColumn("salt", F.pmod(F.xxhash64("repo", "path"), F.lit(SALTS)).cast("int"))
-               .withColumn("rule_key", F.explode(F.array_distinct(F.array(F.lit("*"), "rule_id")))))
-    here = F.col("s_repo").isNull() | (F.col("s_repo") == F.col("repo"))
-    by_key = (targets.withColumn("path_key", F.explode(_path_keys(posix(F.col("path")))))
-              .join(_salted(plain), ["rule_key", "path_key", "salt"]).where(here))
-    by_pattern = (targets.join(_salted(patterns), ["rule_key", "salt"])
-                  .where(here & F.expr("replace(path, '\\\\', '/') rlike rx")))
-    return by_key.select(*TARGET).unionByName(by_pattern.select(*TARGET)).distinct()
+        posix(F.coalesce("path", F.lit(""))).alias("s_path")).distinct()
+    targets = findings.select(*TARGET).distinct()
+    repos = targets.select("repo").distinct()
+    rules = (rules.where("s_repo is not null").withColumnRenamed("s_repo", "repo")
+             .unionByName(_everywhere(rules, repos)))
+    keyed = targets.withColumn("rule_key", F.explode(F.array_distinct(F.array(F.lit("*"), "rule_id"))))
+    slashed = posix(F.col("path"))
+
+    whole = keyed.join(rules.where("s_path = ''"), ["repo", "rule_key"], "left_semi")
+    # an exact path and a directory may look alike, so each row says which one it is
+    plain = rules.where("s_path <> ''").select("repo", "rule_key", F.explode(F.array(
+        F.concat(F.lit("f:"), "s_path"), F.concat(F.lit("d:"), F.rtrim("s_path", F.lit("/"))))).alias("path_key")).distinct()
+    paths = keyed.withColumn("path_key", F.explode(F.concat(
+        F.array(F.concat(F.lit("f:"), slashed)), F.transform(_parents(slashed), lambda p: F.concat(F.lit("d:"), p)))))
+    by_key = paths.join(plain, ["repo", "rule_key", "path_key"], "left_semi")
+    patterns = rules.where(F.col("s_path").rlike(r"[*?\[]")).select(
+        "repo", "rule_key", F.rtrim(_literal_directory(F.col("s_path")), F.lit("/")).alias("under"), shell_regex_column("s_path").alias("rx"))
+    by_pattern = (keyed.withColumn("under", F.explode(_parents(slashed))).join(patterns, ["repo", "rule_key", "under"])
+                  .where(F.expr("replace(path, '\\\\', '/') rlike rx")))
+    return (whole.select(*TARGET).unionByName(by_key.select(*TARGET)).unionByName(by_pattern.select(*TARGET))).distinct()
+
+
+def _everywhere(rules: DataFrame, repos: DataFrame) -> DataFrame:
+    """Suppressions for every repository, once per repository with findings (joined on a constant: that many rows are meant)."""
+    shared = rules.where("s_repo is null").select(F.lit(1).alias("_all"), "rule_key", "s_path")
+    return repos.withColumn("_all", F.lit(1)).join(shared, "_all").select("repo", "rule_key", "s_path")
 
 
 def split_suppressed(findings: DataFrame, suppressions: DataFrame,
                      today: Column | None = None) -> DataFrame:
     """Findings with a ``suppressed`` flag (one left join, so both halves come from one pass)."""
-    covered = _salted(matched_targets(findings, suppressions, today)).withColumn("suppressed", F.lit(True))
-    return _spread(findings).join(covered, [*TARGET, "salt"], "left").withColumn(
-        "suppressed", F.coalesce("suppressed", F.lit(False))).drop("salt")
+    covered = matched_targets(findings, suppressions, today).withColumn("suppressed", F.lit(True))
+    return findings.join(covered, TARGET, "left").withColumn("suppressed", F.coalesce("suppressed", F.lit(False)))
 
 
 def apply_suppressions(findings: DataFrame, suppressions: DataFrame,
                        today: Column | None = None) -> DataFrame:
-    covered = _salted(matched_targets(findings, suppressions, today))
-    return _spread(findings).join(covered, [*TARGET, "salt"], "left_anti").drop("salt")
+    return findings.join(matched_targets(findings, suppressions, today), TARGET, "left_anti")
 
 
 def baseline_of(findings: DataFrame) -> DataFrame:
@@ -110,27 +110,46 @@ def subtract_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
             .drop("message80", "stable_fingerprint"))
 
 
-def accept_finding(findings: DataFrame, suppressions: DataFrame, prefix: str,
-                   reason: str = "", today: Column | None = None) -> DataFrame:
-    """Resolve a fingerprint prefix to one finding and return the suppression to append.
+def accept_findings(findings: DataFrame, suppressions: DataFrame, wanted: DataFrame,
+                    reason: str = "", today: Column | None = None) -> DataFrame:
+    """Resolve fingerprint prefixes (``wanted``: repo, prefix) and give the suppressions to append.
 
-    The result is empty when the finding is already covered; a prefix that is too short,
-    unknown or ambiguous raises. ``findings`` is the table before suppressions.
+    One row per wanted prefix: repo, prefix, ``status`` and the suppression's rule_id, path, reason and expires. The status
+    is accepted, covered (a suppression holds already), unknown, ambiguous or short (under 6 characters); only accepted rows
+    carry a suppression. ``findings`` is the table before suppressions. All repositories are resolved in one join.
     """
     from auditlake.functions.identity import fingerprint
 
-    wanted = prefix.strip().lower()
-    if len(wanted) < 6:
+    asked = wanted.select("repo", F.lower(F.trim("prefix")).alias("prefix")).distinct().withColumn("head", F.substring("prefix", 1, 6))
+    printed = findings.select("repo", "rule_id", "path", fingerprint().alias("fingerprint")).withColumn("head", F.substring("fingerprint", 1, 6))
+    hits = (printed.join(asked, ["repo", "head"]).where(F.col("fingerprint").startswith(F.col("prefix")))
+            .groupBy("repo", "prefix").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rule_id", "path", "fingerprint")).alias("f")))
+    found = asked.join(hits, ["repo", "prefix"], "left").select("repo", "prefix", "n", "f.*")
+    covered = matched_targets(found.where("n = 1"), suppressions, today).withColumn("covered", F.lit(True))
+    status = (F.when(F.length("prefix") < 6, "short").when(F.col("n").isNull(), "unknown").when(F.col("n") > 1, "ambiguous")
+              .when(F.coalesce("covered", F.lit(False)), "covered").otherwise("accepted"))
+    accepted = F.col("status") == "accepted"
+    text = F.lit(reason) if reason else F.concat(F.lit("accepted finding ("), "fingerprint", F.lit(")"))
+    return found.join(covered, TARGET, "left").withColumn("status", status).select(
+        "repo", "prefix", "status", F.when(accepted, F.col("rule_id")).alias("rule_id"), F.when(accepted, posix(F.col("path"))).alias("path"),
+        F.when(accepted, text).alias("reason"), F.when(accepted, F.lit("")).alias("expires"))
+
+
+def accept_finding(findings: DataFrame, suppressions: DataFrame, prefix: str,
+                   reason: str = "", today: Column | None = None) -> DataFrame:
+    """The suppression for the one finding whose fingerprint starts with ``prefix``, in whatever repository.
+
+    Empty when the finding is already covered; a prefix that is too short, unknown or ambiguous raises. ``findings`` is the
+    table before suppressions.
+    """
+    wanted = findings.select("repo").distinct().withColumn("prefix", F.lit(prefix))
+    rows = accept_findings(findings, suppressions, wanted, reason, today)
+    counts = {r.status: r["count"] for r in rows.groupBy("status").count().collect()}   # at most five rows
+    if counts.get("short"):
         raise ValueError("a fingerprint prefix needs at least 6 characters")
-    hits = (findings.withColumn("fingerprint", fingerprint())
-            .where(F.col("fingerprint").startswith(wanted)))
-    seen = hits.limit(2).count()                        # at most two rows reach the driver's count
-    if seen == 0:
-        raise ValueError(f"no finding matches fingerprint {wanted!r}")
-    if seen > 1:
-        raise ValueError(f"fingerprint {wanted!r} is ambiguous")
-    text = F.lit(reason) if reason else F.concat(
-        F.lit("accepted finding ("), "fingerprint", F.lit(")"))
-    return apply_suppressions(hits, suppressions, today).select(
-        "repo", "rule_id", posix(F.col("path")).alias("path"), text.alias("reason"),
-        F.lit("").alias("expires"))
+    matched = counts.get("accepted", 0) + counts.get("covered", 0)
+    if counts.get("ambiguous") or matched > 1:
+        raise ValueError(f"fingerprint {prefix!r} is ambiguous")
+    if not matched:
+        raise ValueError(f"no finding matches fingerprint {prefix!r}")
+    return rows.where("status = 'accepted'").select("repo", "rule_id", "path", "reason", "expires")

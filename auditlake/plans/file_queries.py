@@ -32,19 +32,27 @@ SCANNABLE_SQL = (
 
 
 @query("file_discovery", f"""WITH {sql.PLACED}
-SELECT repo, path, size_bytes FROM placed WHERE NOT {EXCLUDED_SQL} AND {SCANNABLE_SQL} AND size_bytes <= 2000000""")
+SELECT repo, path, size_bytes FROM placed WHERE NOT {EXCLUDED_SQL} AND {SCANNABLE_SQL}""")
 def file_discovery(spark, sf_dir):
     return discover(corpus.placed_files(spark, sf_dir)).select("repo", "path", "size_bytes")
 
 
 @query("discovery_stats", f"""WITH {sql.PLACED}
-SELECT repo, count(*) FILTER (WHERE NOT {EXCLUDED_SQL} AND {SCANNABLE_SQL} AND size_bytes <= 2000000) AS files_scanned,
-  count(*) FILTER (WHERE {EXCLUDED_SQL} OR ({SCANNABLE_SQL} AND size_bytes > 2000000)) AS files_skipped
+SELECT repo, count(*) FILTER (WHERE NOT {EXCLUDED_SQL} AND {SCANNABLE_SQL}) AS files_scanned,
+  count(*) FILTER (WHERE {EXCLUDED_SQL}) AS files_skipped
 FROM placed GROUP BY repo""")
 def stats(spark, sf_dir):
     return discovery_stats(corpus.placed_files(spark, sf_dir))
 
 
+@query("size_limited_stats", f"""WITH {sql.PLACED}
+SELECT repo, count(*) FILTER (WHERE NOT {EXCLUDED_SQL} AND {SCANNABLE_SQL} AND size_bytes <= 1000000) AS files_scanned,
+  count(*) FILTER (WHERE {EXCLUDED_SQL} OR ({SCANNABLE_SQL} AND size_bytes > 1000000)) AS files_skipped
+FROM placed GROUP BY repo""")
+def size_limited_stats(spark, sf_dir):
+    return discovery_stats(corpus.placed_files(spark, sf_dir), ScanOptions(max_file_bytes=1_000_000))
+
+
 def _changed(spark, sf_dir):
     """Labelled documents as changed files, plus entries that name no file."""
     docs = corpus.placed_files(spark, sf_dir).withColumn("doc_id", F.regexp_extract("path", r"/d(\d+)/", 1).cast("long"))
@@ -63,21 +71,21 @@ changed AS (SELECT p.repo, CASE WHEN p.doc_id % 10 = 7 THEN 'gone/' || p.path WH
 
 @query("changed_since_files", f"""WITH {_CHANGED_SQL}
 SELECT DISTINCT p.repo, p.path FROM placed p JOIN changed c ON p.repo = c.repo AND p.path = c.path
-WHERE kind IN ('committed', 'uncommitted', 'untracked') AND NOT {EXCLUDED_SQL} AND size_bytes <= 2000000""")
+WHERE kind IN ('committed', 'uncommitted', 'untracked') AND NOT {EXCLUDED_SQL}""")
 def changed_since_files(spark, sf_dir):
     return discover(corpus.placed_files(spark, sf_dir), None, changed_since(_changed(spark, sf_dir))).select("repo", "path")
 
 
 @query("staged_files", f"""WITH {_CHANGED_SQL}
 SELECT DISTINCT p.repo, p.path FROM placed p JOIN changed c ON p.repo = c.repo AND p.path = c.path
-WHERE kind = 'staged' AND NOT {EXCLUDED_SQL} AND size_bytes <= 2000000""")
+WHERE kind = 'staged' AND NOT {EXCLUDED_SQL}""")
 def staged_files(spark, sf_dir):
     return discover(corpus.placed_files(spark, sf_dir), None, staged(_changed(spark, sf_dir))).select("repo", "path")
 
 
 @query("restricted_scan_stats", f"""WITH {_CHANGED_SQL},
 listed AS (SELECT DISTINCT repo, path FROM changed WHERE kind IN ('committed', 'untracked')),
-judged AS (SELECT l.repo, p.path IS NOT NULL AND NOT {EXCLUDED_SQL} AND size_bytes <= 2000000 AS ok
+judged AS (SELECT l.repo, p.path IS NOT NULL AND NOT {EXCLUDED_SQL} AS ok
   FROM listed l LEFT JOIN placed p ON l.repo = p.repo AND l.path = p.path)
 SELECT r.repo, count(*) FILTER (WHERE ok IS TRUE) AS files_scanned, count(*) FILTER (WHERE j.repo IS NOT NULL AND ok IS NOT TRUE) AS files_skipped
 FROM (SELECT DISTINCT repo FROM placed) r LEFT JOIN judged j ON r.repo = j.repo GROUP BY r.repo""")
@@ -359,7 +367,8 @@ SELECT DISTINCT * FROM (SELECT * FROM live
   UNION ALL SELECT repo, 'SEC070', path, line FROM ({ORACLES['dockerfile_untagged_image']})
   UNION ALL SELECT repo, 'SEC050', path, 0 FROM files WHERE tracked AND regexp_matches(path, '/\\.env$')
   UNION ALL SELECT repo, 'SEC053', '.gitignore', 0 FROM files WHERE tracked AND regexp_matches(path, '/\\.env$')
-  UNION ALL SELECT repo, 'SEC074', '.dockerignore', 0 FROM files WHERE ext = '.dockerfile')""")
+  UNION ALL SELECT repo, 'SEC074', '.dockerignore', 0 FROM files WHERE ext = '.dockerfile'
+  UNION ALL SELECT repo, 'GIT-SKIP', '-', 0 FROM files UNION ALL SELECT repo, 'DEPS-SKIP', '-', 0 FROM files)""")
 def scan_findings(spark, sf_dir):
     """The findings of ``scan`` over the corpus: file pass, repository checks, deduplication."""
     from auditlake.plans.scan import scan

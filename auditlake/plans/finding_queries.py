@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.identity import stable_fingerprint, with_identity
 from auditlake.functions.severity import parse_severity, severity_level
-from auditlake.operators import diff, findings, score, suppress
+from auditlake.operators import catalog, diff, findings, score, suppress
+from auditlake.operators.secrets import SECRET_RULES
 from auditlake.options import Suppression
 from auditlake.plans import corpus
 from auditlake.plans import oracle_sql as sql
-from auditlake.plans.registry import query
+from auditlake.plans import file_queries, repo_queries  # noqa: F401  their SQL is part of the full scan's
+from auditlake.plans.registry import ORACLES, query
 from auditlake.sinks import documents
 from auditlake.sources import reports
 
@@ -52,9 +54,7 @@ def scanner_union(spark, sf_dir):
 @query("ordered_findings", f"""WITH {DEDUPED} SELECT repo, rule_id, path, line,
   row_number() OVER (PARTITION BY repo ORDER BY sev DESC, path, line, message, evidence) AS place FROM dd""")
 def ordered_findings(spark, sf_dir):
-    # the place within a repository, ranked over the sorted table
-    ordered = findings.ordered(_deduped(spark, sf_dir)).withColumn("pos", F.monotonically_increasing_id())
-    return diff.ranked(ordered, ["repo"], "pos", "place", block=1 << 33).select("repo", "rule_id", "path", "line", "place")
+    return findings.placed(_deduped(spark, sf_dir)).select("repo", "rule_id", "path", "line", "place")
 
 
 @query("gating_findings", f"WITH {DEDUPED} SELECT repo, count(*) AS gating FROM dd WHERE sev > 0 GROUP BY repo")
@@ -185,13 +185,30 @@ def baseline_entries(spark, sf_dir):
     return suppress.baseline_of(_deduped(spark, sf_dir))
 
 
-@query("accept_finding", f"""WITH {DEDUPED}, f AS (SELECT *, {sql.fingerprint()} AS fp FROM dd WHERE repo = 'u1')
-SELECT repo, rule_id, path, 'accepted finding (' || fp || ')' AS reason, '' AS expires FROM f ORDER BY fp LIMIT 1""")
+@query("accept_finding", f"""WITH {DEDUPED}, f AS (SELECT *, {sql.fingerprint()} AS fp FROM dd),
+w AS (SELECT repo, min(fp) AS fp FROM f GROUP BY repo), l AS (SELECT repo, max(fp) AS fp FROM f GROUP BY repo)
+SELECT f.repo, f.fp AS prefix, CASE WHEN f.rule_id = 'EVVIEW' THEN 'covered' ELSE 'accepted' END AS status, CASE WHEN f.rule_id <> 'EVVIEW' THEN f.rule_id END AS rule_id,
+  CASE WHEN f.rule_id <> 'EVVIEW' THEN path END AS path, CASE WHEN f.rule_id <> 'EVVIEW' THEN 'accepted finding (' || f.fp || ')' END AS reason
+FROM f JOIN (SELECT * FROM w UNION SELECT * FROM l) x ON f.repo = x.repo AND f.fp = x.fp
+UNION ALL SELECT DISTINCT repo, 'zzzzzz', 'unknown', NULL, NULL, NULL FROM dd UNION ALL SELECT DISTINCT repo, 'abc', 'short', NULL, NULL, NULL FROM dd""")
 def accept_finding(spark, sf_dir):
-    # fingerprints identify findings within a repository
-    mine = _deduped(spark, sf_dir).where("repo = 'u1'")
-    lowest = with_identity(mine).agg(F.min("fingerprint")).first()[0]
-    return suppress.accept_finding(mine, suppress.suppression_table(spark, [Suppression("EVNONE", "x")]), lowest)
+    """The lowest and the highest fingerprint of every repository, and two prefixes that name nothing."""
+    found = _deduped(spark, sf_dir)
+    ends = with_identity(found).groupBy("repo").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b"))
+    wanted = ends.select("repo", F.explode(F.array("a", "b", F.lit("ZZZZZZ "), F.lit("abc"))).alias("prefix"))
+    rules = suppress.suppression_table(spark, [Suppression("EVVIEW", "")])
+    return suppress.accept_findings(found, rules, wanted).drop("expires")
+
+
+@query("one_suppression_per_repository", f"""WITH {DEDUPED} SELECT repo, rule_id, path, line, message,
+  (rule_id = 'EVCLICK' OR (path LIKE 'd1/f%' AND regexp_matches(path, '^d1/f[^/]*[.]py$'))) AS suppressed FROM dd""")
+def one_suppression_per_repository(spark, sf_dir):
+    """A suppression without a path and one with a pattern for every repository."""
+    found = _deduped(spark, sf_dir)
+    each = found.select("repo").distinct().select("repo", F.explode(F.array(
+        F.struct(F.lit("EVCLICK").alias("rule_id"), F.lit("").alias("path")), F.struct(F.lit("*"), F.lit("d1/f*.py")))).alias("s"))
+    rules = each.select("repo", "s.rule_id", "s.path", F.lit("").alias("reason"), F.lit("").alias("expires"))
+    return suppress.split_suppressed(found, rules, F.lit(TODAY)).select("repo", "rule_id", "path", "line", "message", "suppressed")
 
 
 # ---------------------------------------------------------------- diff
@@ -372,6 +389,19 @@ def report_sources(spark, sf_dir):
     return reports.load_reports(_reports(spark, sf_dir)).drop("severity")
 
 
+@query("report_errors", """WITH d AS (SELECT 'd' || doc_id AS repo, text, doc_id % 4 AS k FROM documents)
+SELECT repo, CASE k WHEN 0 THEN 'not a findings or SARIF report' WHEN 1 THEN '1 findings but none parseable' END AS error FROM d WHERE k < 2""")
+def report_errors(spark, sf_dir):
+    """Each document's own text as a broken report, or as the message of a finding whose line no integer holds."""
+    text = F.to_json(F.struct(F.col("text").alias("message")))
+    kinds = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("{"), "text")).when(
+        F.col("doc_id") % 4 == 1, F.concat(F.lit('{"findings": ['), text, F.lit("]}"))).when(
+        F.col("doc_id") % 4 == 2, F.concat(F.lit('{"findings": [{"rule_id": "R", "line": 99999999999}, {"rule_id": "S", "message": '), text, F.lit("}]}"))).otherwise(
+        F.lit('{"findings": []}'))
+    return reports.report_errors(corpus.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("repo"), kinds.alias("payload")))
+
+
 def _baseline_documents(spark, sf_dir):
     doc = F.col("doc_id").cast("string")
     texts = ['{"version": 1, "findings": [{"rule_id": "R@", "path": "p", "line": 4, "message": "m@", "stable_id": "s@"}, {"rule_id": "Q"}, 5]}',
@@ -394,13 +424,28 @@ def baseline_errors(spark, sf_dir):
 
 # ---------------------------------------------------------------- the whole scan
 
-@query("full_scan")
+_SCAN_SUPPRESSIONS = [Suppression("SEC020", "", repo="src3"), Suppression("SEC023", "src/d1*/*"), Suppression("SEC055", "", expires="2025-12-31")]
+_LEVELS = ", ".join(f"('{r.rule_id}', {severity_level(r.severity)})" for r in (*catalog.LINE_RULES, *catalog.FILE_RULES, *SECRET_RULES)) + \
+    ", ('SEC041', 3), ('SEC050', 4), ('SEC053', 1), ('SEC070', 2), ('SEC074', 1)"
+
+
+@query("full_scan", f"""WITH located AS (
+  SELECT repo, rule_id, path, line, NULL::INT AS sev FROM ({ORACLES['scan_findings']}) WHERE rule_id NOT LIKE '%-SKIP'
+  UNION ALL SELECT DISTINCT 'src' || (CAST(substr(repo, 2) AS INT) % 20), 'SEC055', '<git-history>', 0, 4 FROM ({ORACLES['history_secrets']})
+  UNION ALL SELECT d.source, rule_id, path, 0, max(sev) FROM ({ORACLES['audit_report_findings']}) a JOIN documents d ON a.repo = 'a' || d.doc_id
+    WHERE rule_id NOT LIKE '%-SKIP' GROUP BY d.source, rule_id, path),
+kept AS (SELECT l.*, coalesce(l.sev, v.sev) AS level FROM located l LEFT JOIN (VALUES {_LEVELS}) v(rule_id, sev) ON l.rule_id = v.rule_id
+  WHERE NOT (l.rule_id = 'SEC020' AND repo = 'src3') AND NOT (l.rule_id = 'SEC023' AND regexp_matches(path, '^src/d1[^/]*/')))
+SELECT repo, rule_id, count(*) AS places, bool_or(level >= 3) AS gating FROM kept GROUP BY repo, rule_id""")
 def full_scan(spark, sf_dir):
-    """Every check over the whole corpus, with history and audit reports, scored per repository."""
+    """Every check over the whole corpus, history, reports and suppressions included: places and gate per rule."""
     from auditlake.plans.repo_queries import _tool_reports
     from auditlake.plans.scan import scan
 
-    result = scan(corpus.files(spark, sf_dir), patches=corpus.commit_patches(spark, sf_dir),
-                  tool_reports=_tool_reports(spark, sf_dir), suppressions=suppress.suppression_table(spark, _SUPPRESSIONS),
-                  today=F.lit(TODAY))
-    return result.posture()
+    source = F.concat(F.lit("src"), (F.substring("repo", 2, 20).cast("long") % 20).cast("string"))
+    of = corpus.table(spark, sf_dir, "documents").select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("repo"), "source")
+    reports_ = _tool_reports(spark, sf_dir).join(of, "repo").withColumn("repo", F.col("source")).drop("source")
+    result = scan(corpus.files(spark, sf_dir), patches=corpus.commit_patches(spark, sf_dir).withColumn("repo", source), tool_reports=reports_,
+                  suppressions=suppress.suppression_table(spark, _SCAN_SUPPRESSIONS), today=F.lit(TODAY))
+    found = result.findings.where("rule_id not like '%-SKIP'")
+    return found.groupBy("repo", "rule_id").agg(F.countDistinct("path", "line").alias("places"), F.bool_or(F.col("sev") >= 3).alias("gating"))

@@ -101,7 +101,7 @@ walk AS (
         length(replace(buf, '(', '')) < length(replace(buf, ')', '')) OR right(piece, 1) IN (',', '('))) AS done
     FROM walk) w ON p.repo = w.repo AND p.path = w.path AND p.line = w.line + 1),
 logical AS (
-  SELECT repo, path, ext, start AS line, left(buf, 10000) AS text FROM walk
+  SELECT repo, path, ext, start AS line, buf AS text FROM walk
   WHERE line = n OR length(buf) >= 10000 OR NOT (
     length(replace(buf, '(', '')) < length(replace(buf, ')', '')) OR right(piece, 1) IN (',', '(')))"""
 

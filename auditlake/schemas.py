@@ -64,4 +64,4 @@ FINDING_COLUMNS = [
     "evidence", "fix", "cwe", "confidence", "scanner", "scan_seq",
 ]
 
-KEY = ["repo", "rule_id", "path", "line", "message80"]
+KEY = ["repo", "rule_id", "path", "line", "message"]

@@ -41,6 +41,11 @@ def _prepared(findings: DataFrame) -> DataFrame:
     return with_identity(findings).withColumn("neg_sev", -F.col("sev"))
 
 
+def _said() -> Column:
+    """What a document shows as the message: the title where a finding has none."""
+    return F.when(F.coalesce("message", F.lit("")) != "", F.col("message")).otherwise(F.col("title"))
+
+
 def _key() -> Column:
     return F.struct(*ORDER)
 
@@ -52,12 +57,18 @@ def _null_key() -> Column:
 
 
 def _json_items(items: DataFrame, section: int) -> DataFrame:
-    """Lines of a JSON list: a comma leads every element but the first of its repository."""
-    first = items.groupBy("repo").agg(F.min("key").alias("key")).withColumn("first", F.lit(True))
+    """Lines of a JSON list: a comma leads every element but the first of its repository.
+
+    Equal elements are counted and spelled out again, so that exactly one of them can be the first.
+    """
+    counted = items.groupBy("repo", "key", "text").agg(F.count(F.lit(1)).alias("copies"))
+    first = counted.groupBy("repo").agg(F.min(F.struct("key", "text")).alias("f")).select(
+        "repo", "f.key", "f.text", F.lit(True).alias("first"))
     # joined on the full key: a large repository spreads over its findings
-    return items.join(first, ["repo", "key"], "left").select(
-        "repo", F.lit(section).alias("section"), "key",
-        F.concat(F.when(F.col("first"), "").otherwise(","), "text").alias("text"))
+    return (counted.join(first, ["repo", "key", "text"], "left")
+            .withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+            .select("repo", F.lit(section).alias("section"), "key",
+                    F.concat(F.when(F.col("first") & (F.col("copy") == 1), "").otherwise(","), "text").alias("text")))
 
 
 def _fixed_line(repos: DataFrame, section: int, text: Column) -> DataFrame:
@@ -108,7 +119,7 @@ def sarif(findings: DataFrame, repos: DataFrame) -> DataFrame:
         region.alias("region")).alias("physicalLocation"))
     results = rows.select("repo", _key().alias("key"), F.to_json(F.struct(
         F.col("rule_id").alias("ruleId"), _named(F.col("severity"), SARIF_LEVEL).alias("level"),
-        F.struct(F.col("message").alias("text")).alias("message"),
+        F.struct(_said().alias("text")).alias("message"),
         F.array(location).alias("locations"),
         F.create_map(F.lit(STABLE_PRINT), "stable_fingerprint").alias("partialFingerprints"),
         F.struct("severity", "cwe", "confidence").alias("properties"))).alias("text"))
@@ -133,7 +144,7 @@ def sarif(findings: DataFrame, repos: DataFrame) -> DataFrame:
 def gitlab(findings: DataFrame, repos: DataFrame) -> DataFrame:
     """GitLab Code Quality list per repository."""
     items = _prepared(findings).select("repo", _key().alias("key"), F.to_json(F.struct(
-        F.lit("issue").alias("type"), F.col("rule_id").alias("check_id"), F.col("message").alias("description"),
+        F.lit("issue").alias("type"), F.col("rule_id").alias("check_id"), _said().alias("description"),
         _named(F.col("severity"), GITLAB_SEVERITY).alias("severity"),
         F.when(F.col("confidence").isin("low", "medium", "high"), F.col("confidence")).otherwise("medium").alias("confidence"),
         F.col("stable_fingerprint").alias("fingerprint"),
@@ -154,7 +165,7 @@ def annotation_text() -> Column:
     props = F.concat_ws(",", F.concat(F.lit("file="), _escape_annotation(posix(F.col("path")), True)),
                         F.when(F.col("line") > 0, F.concat(F.lit("line="), F.col("line").cast("string"))),
                         F.concat(F.lit("title="), _escape_annotation(F.concat("rule_id", F.lit(" "), "title"), True)))
-    body = F.concat("message", F.when(F.col("evidence") != "", F.concat(F.lit(" ["), "evidence", F.lit("]"))).otherwise(""))
+    body = F.concat(_said(), F.when(F.col("evidence") != "", F.concat(F.lit(" ["), "evidence", F.lit("]"))).otherwise(""))
     command = F.when(F.col("sev") >= severity_level("HIGH"), "error").otherwise("warning")
     return F.concat(F.lit("::"), command, F.lit(" "), props, F.lit("::"),
                     _escape_annotation(F.substring(body, 1, ANNOTATION_MAX)))
@@ -181,7 +192,7 @@ def _attribute(text: Column) -> Column:
 def junit_case() -> Column:
     """One failing test case per finding."""
     name = F.concat("path", F.when(F.col("line") > 0, F.concat(F.lit(":"), F.col("line").cast("string"))).otherwise(""))
-    message = F.substring(F.concat("severity", F.lit(": "), "message"), 1, JUNIT_MESSAGE_MAX)
+    message = F.substring(F.concat("severity", F.lit(": "), _said()), 1, JUNIT_MESSAGE_MAX)
     body = F.concat_ws("\n", F.when(F.col("evidence") != "", F.col("evidence")),
                        F.when(F.col("fix") != "", F.concat(F.lit("fix: "), "fix")))
     shown = _xml(F.substring(F.regexp_replace(body, XML_INVALID, ""), 1, JUNIT_BODY_MAX))

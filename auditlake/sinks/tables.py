@@ -19,12 +19,18 @@ def write_findings(findings: DataFrame, path: str) -> None:
     _by_repo(to_report_rows(findings)).write.mode("overwrite").partitionBy("repo").parquet(path)
 
 
-def write_baseline(findings: DataFrame, path: str) -> None:
-    """Replace the baseline of the repositories in ``findings``; others stay as they are.
+def write_baseline(findings: DataFrame, path: str, scanned: DataFrame | None = None) -> None:
+    """Replace the baseline of the ``scanned`` repositories (default: those in ``findings``); others stay as they are.
 
-    ``findings`` must not have been filtered by the old baseline, or its entries would go.
+    A scanned repository without findings is replaced, too: a row with an empty rule_id, which no finding matches, takes the
+    place of its old entries. ``findings`` must not have been filtered by the old baseline, or its entries would go.
     """
-    stamped = baseline_of(findings).withColumn("generated", F.date_format(F.now(), "yyyy-MM-dd'T'HH:mm:ss"))
+    entries = baseline_of(findings)
+    if scanned is not None:
+        clean = scanned.select("repo").distinct().join(findings.select("repo").distinct(), "repo", "left_anti")
+        entries = entries.unionByName(clean.select("repo", *[F.lit("").alias(c) for c in ("rule_id", "path")], F.lit(0).alias("line"),
+                                                   *[F.lit("").alias(c) for c in ("message80", "stable_id")]))
+    stamped = entries.withColumn("generated", F.date_format(F.now(), "yyyy-MM-dd'T'HH:mm:ss"))
     (_by_repo(stamped).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(path))
 
 

@@ -4,38 +4,98 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from auditlake.functions.globs import is_excluded
 from auditlake.functions.text import basename, decode_utf8, is_dockerfile, suffix
 from auditlake.operators.catalog import SCANNED_EXTENSIONS, SCANNED_NAMES
-from auditlake.options import MAX_FILE_BYTES, ScanOptions
+from auditlake.options import ScanOptions
 
 
-def read_tree(spark: SparkSession, root: str, repo: str | None = None,
-              max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """A directory tree as a files table.
+def read_tree(spark: SparkSession, root: str, repo: str | None = None, tracked: DataFrame | None = None,
+              parallelism: int | None = None) -> DataFrame:
+    """A directory tree, hidden files included, as a files table.
 
-    Contents above the size limit are never read: their rows come from a listing that
-    prunes the content column, the others from a read with the size filter pushed down.
-    With ``repo=None`` the first directory below ``root`` names the repository.
+    ``root`` is a path or a URI that pyarrow opens, in a place all executors reach. With ``repo=None`` the first directory
+    below it names the repository. ``tracked`` lists the (repo, path) pairs under version control; where it has none of a
+    repository, or is not given, ``tracked`` is null: unknown, which the checks of tracked files report as skipped.
     """
-    base = root.rstrip("/") + "/"
-    tail = base.split("://", 1)[-1]
-    reader = lambda: (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root))
-    small = reader().where(F.col("length") <= max_file_bytes).select(
-        "path", "length", decode_utf8(F.col("content")).alias("text"))
-    large = reader().where(F.col("length") > max_file_bytes).select(
-        "path", "length", F.lit(None).cast("string").alias("text"))
-    relative = F.substr("path", F.instr("path", tail) + F.lit(len(tail)))
-    rows = small.unionByName(large).withColumn("rel", relative)
+    spark.dataSource.register(TreeSource)
+    chunks = parallelism or 4 * spark.sparkContext.defaultParallelism
+    rows = spark.read.format("auditlake_tree").option("chunks", chunks).load(root)
     if repo is None:
-        named = [F.substring_index("rel", "/", 1).alias("repo"),
-                 F.substr("rel", F.instr("rel", "/") + 1).alias("path")]
-        rows = rows.where(F.instr("rel", "/") > 0)
+        rows = rows.where(F.instr("rel", "/") > 0).select(
+            F.substring_index("rel", "/", 1).alias("repo"), F.substr("rel", F.instr("rel", "/") + 1).alias("path"), "size_bytes", "content")
     else:
-        named = [F.lit(repo).alias("repo"), F.col("rel").alias("path")]
-    return rows.select(*named, F.col("length").alias("size_bytes"), "text",
-                       F.lit(True).alias("tracked"))
+        rows = rows.select(F.lit(repo).alias("repo"), F.col("rel").alias("path"), "size_bytes", "content")
+    rows = rows.withColumn("text", decode_utf8(F.col("content"))).drop("content")
+    if tracked is None:
+        return rows.withColumn("tracked", F.lit(None).cast("boolean"))
+    listed = tracked.select("repo", "path").distinct().withColumn("listed", F.lit(True))
+    known = tracked.select("repo").distinct().withColumn("known", F.lit(True))
+    return (rows.join(listed, ["repo", "path"], "left").join(known, "repo", "left")
+            .select("repo", "path", "size_bytes", "text", F.when(F.col("known"), F.coalesce("listed", F.lit(False))).alias("tracked")))
+
+
+class TreeSource(DataSource):
+    """Files below a directory: rel, size_bytes, content. Names starting with a dot or an underscore are files like others,
+    which Spark's own file readers leave out."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "auditlake_tree"
+
+    def schema(self) -> str:
+        return "rel string, size_bytes long, content binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return TreeReader(self.options["path"], int(self.options.get("chunks", 32)))
+
+
+class TreePart(InputPartition):
+    def __init__(self, entries):
+        super().__init__(entries)
+        self.entries = entries
+
+
+class TreeReader(DataSourceReader):
+    """The driver lists two levels of directories; tasks walk what lies below, and read every file once."""
+
+    def __init__(self, root: str, chunks: int):
+        self.root, self.chunks = root, chunks
+
+    def _open(self):
+        from pyarrow import fs
+
+        if "://" in self.root or self.root.startswith("file:"):
+            system, base = fs.FileSystem.from_uri(self.root)
+        else:
+            system, base = fs.LocalFileSystem(), self.root
+        return system, base.rstrip("/")
+
+    def partitions(self):
+        from pyarrow import fs
+
+        system, base = self._open()
+        entries, level = [], [base]
+        for depth in range(2):
+            found = [i for d in level for i in system.get_file_info(fs.FileSelector(d))]
+            entries += [(i.path, False) for i in found if i.type == fs.FileType.File]
+            level = [i.path for i in found if i.type == fs.FileType.Directory]
+        entries += [(d, True) for d in level]
+        entries.sort()
+        return [TreePart(entries[k::self.chunks]) for k in range(min(self.chunks, len(entries)))] or [TreePart([])]
+
+    def read(self, partition):
+        from pyarrow import fs
+
+        system, base = self._open()
+        for path, is_directory in partition.entries:
+            infos = system.get_file_info(fs.FileSelector(path, recursive=True)) if is_directory else [system.get_file_info(path)]
+            for info in sorted((i for i in infos if i.type == fs.FileType.File), key=lambda i: i.path):
+                with system.open_input_stream(info.path) as stream:
+                    data = stream.read()
+                yield info.path[len(base) + 1:], len(data), data
 
 
 def is_scannable(path: Column) -> Column:
@@ -65,6 +125,10 @@ def staged(changed_files: DataFrame) -> DataFrame:
     return changed_files.where("kind = 'staged'").select("repo", "path").distinct()
 
 
+def _too_big(options: ScanOptions) -> Column:
+    return F.lit(False) if options.max_file_bytes is None else F.col("size_bytes") > options.max_file_bytes
+
+
 def discover(files: DataFrame, options: ScanOptions | None = None,
              only: DataFrame | None = None) -> DataFrame:
     """Files a scan reads. A restricted list replaces the extension filter.
@@ -72,8 +136,7 @@ def discover(files: DataFrame, options: ScanOptions | None = None,
     All conditions are on path and size, so they run before the text column is touched.
     """
     options = options or ScanOptions()
-    fits = (~is_excluded(F.col("path"), options.excludes)
-            & (F.col("size_bytes") <= options.max_file_bytes))
+    fits = ~is_excluded(F.col("path"), options.excludes) & ~_too_big(options)
     if only is None:
         return files.where(fits & is_scannable(F.col("path")))
     listed = only.select("repo", "path").distinct()
@@ -85,7 +148,7 @@ def discovery_stats(files: DataFrame, options: ScanOptions | None = None,
     """files_scanned and files_skipped per repository, from paths and sizes alone."""
     options = options or ScanOptions()
     excluded = is_excluded(F.col("path"), options.excludes)
-    too_big = F.col("size_bytes") > options.max_file_bytes
+    too_big = _too_big(options)
     if only is None:
         known = is_scannable(F.col("path"))
         return files.groupBy("repo").agg(

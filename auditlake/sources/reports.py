@@ -33,7 +33,7 @@ def _whole_number(value: Column) -> Column:
     """What Python's int() makes of a JSON value; NULL where it would raise."""
     text = F.trim(value.cast("string"))
     return (F.when(_is(value, "BIGINT", "DECIMAL", "DOUBLE", "FLOAT"),
-                   F.try_variant_get(value, "$", "double").cast("int"))
+                   F.try_variant_get(value, "$", "double").try_cast("int"))
             .when(_is(value, "BOOLEAN"), F.try_variant_get(value, "$", "boolean").cast("int"))
             .when(_is(value, "STRING") & text.rlike(r"\A[+-]?\d+\z"), text.try_cast("int")))
 
@@ -42,13 +42,13 @@ def _text_or(value: Column, missing: str) -> Column:
     return F.coalesce(value.cast("string"), F.lit(missing))
 
 
-def load_reports(reports: DataFrame) -> DataFrame:
+def load_reports(reports: DataFrame, strict: bool = True) -> DataFrame:
     """Findings of SARIF 2.1.0 and JSON reports (``repo``, ``payload``), with ``pos`` as ordinal.
 
-    A document that is no report, or whose findings are all unusable, raises: an unreadable
-    report must not look like a clean one.
+    A document that is no report, or whose findings are all unusable, must not look like a clean one: it raises, or, with
+    ``strict=False``, gives no rows here and one in :func:`report_errors`, so that it stops no other repository.
     """
-    parsed = report_shape(reports)
+    parsed = report_shape(reports, strict)
     sarif = (parsed.where("shape = 'sarif'").select("repo", F.posexplode("runs").alias("run_no", "run"))
              .where(_is(F.col("run"), "OBJECT"))
              .select("repo", "run_no", F.posexplode(_get(F.col("run"), "$.results", "array<variant>")).alias("item_no", "item")))
@@ -59,8 +59,13 @@ def load_reports(reports: DataFrame) -> DataFrame:
             .select(*PARSED))
 
 
-def report_shape(reports: DataFrame) -> DataFrame:
-    """Parse and classify each document; raises on the first unusable one."""
+def report_errors(reports: DataFrame) -> DataFrame:
+    """(repo, error) of each document :func:`load_reports` cannot use."""
+    return report_shape(reports, strict=False).where("error is not null").select("repo", "error")
+
+
+def report_shape(reports: DataFrame, strict: bool = True) -> DataFrame:
+    """Parse and classify each document; an unusable one raises if ``strict``, else it has shape ``none`` and an ``error``."""
     doc = F.col("doc")
     shaped = (
         reports.select("repo", "payload", F.try_parse_json("payload").alias("doc"))
@@ -75,13 +80,13 @@ def report_shape(reports: DataFrame) -> DataFrame:
     usable = F.when(F.col("shape") == "sarif", F.exists("runs", lambda run: F.coalesce(F.exists(
         _get(run, "$.results", "array<variant>"), _sarif_usable), F.lit(False)))
     ).otherwise(F.exists("items", _json_usable))
+    error = (F.when(F.col("shape") == "none", F.lit("not a findings or SARIF report"))
+             .when((F.col("raw") > 0) & ~F.coalesce(usable, F.lit(False)), F.concat(F.col("raw").cast("string"), F.lit(" findings but none parseable"))))
+    judged = counted.withColumn("error", error)
+    bad = F.col("error").isNotNull()
     # The check sits in the column the rows come from, so it cannot be pruned away.
-    verdict = (F.when(F.col("shape") == "none", F.raise_error(F.concat(
-        F.lit("not a findings or SARIF report: "), "repo")))
-        .when((F.col("raw") > 0) & ~usable, F.raise_error(F.concat(
-            F.col("raw").cast("string"), F.lit(" findings but none parseable: "), "repo")))
-        .otherwise(F.col("shape")))
-    return counted.withColumn("shape", verdict.cast("string")).drop("payload", "raw")
+    verdict = F.when(bad, F.raise_error(F.concat("error", F.lit(": "), "repo")) if strict else F.lit("none")).otherwise(F.col("shape"))
+    return judged.withColumn("shape", verdict.cast("string")).drop("payload", "raw")
 
 
 def _has(doc: Column, key: str) -> Column:

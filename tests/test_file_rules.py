@@ -6,7 +6,7 @@ import pytest
 
 from auditlake.operators.catalog import LINE_RULES
 from auditlake.operators.file_scan import scan_files
-from auditlake.operators.lines import PROBE_MAX, folder
+from auditlake.operators.lines import folder
 from auditlake.options import CustomRule, ScanOptions
 from auditlake.plans.samples import SAMPLES
 
@@ -84,8 +84,8 @@ def test_fold_cases():
     assert fold(["a = 1", "b = 2"]) == [(1, "a = 1"), (2, "b = 2")]
     assert fold(["", "  ", "f(", "", ")"]) == [(1, ""), (2, ""), (3, "f(  )")]
     assert fold(["f(", "x"]) == [(1, "f( x")]
-    assert [(n, len(t)) for n, t in fold(["x" * 180_000, "y"])] == [(1, PROBE_MAX), (2, 1)]
-    assert [n for n, _ in fold(["f("] + ["x" * 6000] * 4)] == [1, 4, 5]
+    assert [(n, len(t)) for n, t in fold(["x" * 180_000, "y"])] == [(1, 180_000), (2, 1)]
+    assert [(n, len(t)) for n, t in fold(["f("] + ["x" * 6000] * 4)] == [(1, 12_004), (4, 6000), (5, 6000)]
 
 
 def test_fold_decides_rules(hits):
@@ -95,7 +95,7 @@ def test_fold_decides_rules(hits):
     assert found["a.py"] == set()
     assert found["b.js"] == {("SEC026", 1)}
     assert found["c.py"] == {("SEC020", 1)}
-    assert found["d.py"] == set()
+    assert found["d.py"] == {("SEC020", 1)}
 
 
 def test_lock_files_only_get_secrets(hits):

@@ -95,6 +95,40 @@ def test_accept_finding(spark):
             suppress.accept_finding(now, none, bad)
     with pytest.raises(ValueError):
         suppress.accept_finding(now.union(now), none, prints["A"])
+    wanted = spark.createDataFrame([("r", prints["A"][:8]), ("r", prints["B"]), ("other", prints["A"])], "repo string, prefix string")
+    rows = suppress.accept_findings(now, suppress.suppression_table(spark, [Suppression("B", "")]), wanted).collect()
+    assert sorted((r.repo, r.status, r.rule_id) for r in rows if r.status != "covered") == [("other", "unknown", None), ("r", "accepted", "A")]
+    assert [r.prefix for r in rows if r.status == "covered"] == [prints["B"]]
+
+
+def test_suppressions_stay_in_their_repository(spark):
+    rows = [(rule, 3, path, 1, "m", "") for rule in "AB" for path in ("p/q.py", "x.py", "p/r/s.py")]
+    both = table(spark, rows).union(table(spark, rows).withColumn("repo", F.lit("s")))
+    rules = [Suppression("A", "", repo="r"), Suppression("B", "p/*.py", repo="s"), Suppression("*", "x.py")]
+    out = suppress.split_suppressed(both, suppress.suppression_table(spark, rules)).where("suppressed").collect()
+    assert {(r.repo, r.rule_id, r.path) for r in out} == {("r", "A", "p/q.py"), ("r", "A", "x.py"), ("r", "A", "p/r/s.py"), ("s", "B", "p/q.py"), ("s", "B", "p/r/s.py"),
+                                                         ("r", "B", "x.py"), ("s", "A", "x.py"), ("s", "B", "x.py")}
+    plan = suppress.matched_targets(both, suppress.suppression_table(spark, rules))._jdf.queryExecution().optimizedPlan().toString()
+    assert "repo" in plan and "Join Inner, (rule_key" not in plan
+
+
+def test_baseline_of_a_repository_that_became_clean(spark):
+    import tempfile
+
+    from auditlake.sinks.tables import write_baseline
+    out = tempfile.mkdtemp(prefix="run-") + "/baseline"
+    now = table(spark, [("A", 3, "p", 5, "m", "ev")])
+    scanned = now.select("repo").distinct()
+    write_baseline(now, out, scanned)
+    assert [r.rule_id for r in spark.read.parquet(out).collect()] == ["A"]
+    write_baseline(now.where("false"), out, scanned)
+    known = spark.read.parquet(out)
+    assert [r.rule_id for r in known.collect()] == [""] and suppress.subtract_baseline(now, known).count() == 1
+
+
+def test_long_messages_are_not_one_finding(spark):
+    rows = table(spark, [("A", 3, "p", 5, "m" * 80 + "1", ""), ("A", 3, "p", 5, "m" * 80 + "2", "")])
+    assert findings.dedupe(rows).count() == 2 and sorted(r.place for r in findings.placed(rows).collect()) == [1, 2]
 
 
 def paired(old, new):
@@ -143,15 +177,15 @@ def test_diff_against_pairing(spark, block):
             assert (c.added, c.removed, c.unchanged) == (len(added), len(removed), same)
 
 
-def test_options_from_mapping():
+def test_options_from_mapping(spark):
     opts = ScanOptions.from_mapping({
         "exclude": ["x/"], "allow_secrets": "abc", "history": "False", "history_commits": True, "fail_on": "severe", "bogus": 1,
         "deps_cves": "maybe", "max_file_bytes": 10, "suppressions": [{"rule_id": "A"}, 5],
         "custom_rules": [{"id": "C1", "pattern": "a", "severity": "bad", "extensions": ["PY", ".js"]}, {"id": "C2", "pattern": "("},
-                         {"pattern": "x"}, {"id": "C3"}, 7]})
+                         {"pattern": "x"}, {"id": "C3"}, 7, {"id": "C4", "pattern": "(?P<n>ab)(?P=n)"}], "baseline": "known.json"})
     assert opts.excludes[-1] == "x/" and len(opts.excludes) == 23
-    assert (opts.allow_secrets, opts.history, opts.history_commits, opts.fail_on, opts.max_file_bytes) == ([], False, 500, "high", 10)
-    assert [r.id for r in opts.custom_rules] == ["C1"]
+    assert (opts.allow_secrets, opts.history, opts.history_commits, opts.fail_on, opts.max_file_bytes) == ([], False, None, "high", 10)
+    assert [r.id for r in opts.custom_rules] == ["C1", "C4"] and opts.baseline == "known.json"
     assert opts.custom_rules[0].severity == "MEDIUM" and opts.custom_rules[0].extensions == (".py", ".js")
     assert opts.suppressions == [Suppression("A")]
     assert len(opts.notes) == 10

@@ -12,7 +12,8 @@ from auditlake.streaming.incremental import read_file_stream, start_scan
 
 
 def ids(result):
-    return sorted((r.rule_id, r.path, r.line) for r in result.findings.collect())
+    """Findings without the notes on checks that could not run."""
+    return sorted((r.rule_id, r.path, r.line) for r in result.findings.collect() if not r.rule_id.endswith("-SKIP"))
 
 
 def test_full_scan(spark, files):
@@ -20,7 +21,7 @@ def test_full_scan(spark, files):
         ("app.py", "eval(a)\neval(b)  # audit-ignore\n"), ("node_modules/x.py", "eval(a)"), ("Dockerfile", "FROM alpine"),
         ("requirements.txt", "flask"), ("big.py", "eval(a)"), ("img.png", "eval(a)"), ("k.pem", "x"), (".gitignore", ".env*"),
     ).withColumn("size_bytes", F.when(F.col("path") == "big.py", 2_000_001).otherwise(F.col("size_bytes")))
-    result = scan(table, ScanOptions(notes=["hello"]))
+    result = scan(table, ScanOptions(notes=["hello"], max_file_bytes=2_000_000))
     assert ids(result) == [("SEC020", "app.py", 1), ("SEC051", "k.pem", 0), ("SEC060", "requirements.txt", 1),
                            ("SEC070", "Dockerfile", 1), ("SEC074", ".dockerignore", 0)]
     stats = result.stats.first()
@@ -65,14 +66,69 @@ def test_read_tree(spark):
     for name, content in {"one/a.py": b"\xef\xbb\xbfeval(x)\xff", "one/sub/b.txt": b"x", "two/c.js": b"eval(" + b" " * 50 + b")"}.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(content)
-    rows = {(r.repo, r.path): r for r in read_tree(spark, str(root), max_file_bytes=40).collect()}
+    rows = {(r.repo, r.path): r for r in read_tree(spark, str(root)).collect()}
     assert set(rows) == {("one", "a.py"), ("one", "sub/b.txt"), ("two", "c.js")}
-    assert rows["one", "a.py"].text == "eval(x)�" and rows["two", "c.js"].text is None and rows["two", "c.js"].size_bytes == 56
+    assert rows["one", "a.py"].text == "eval(x)�" and rows["two", "c.js"].size_bytes == len(rows["two", "c.js"].text) == 56
     single = read_tree(spark, str(root / "one"), repo="me")
     assert {(r.repo, r.path) for r in single.collect()} == {("me", "a.py"), ("me", "sub/b.txt")}
     assert ids(scan(single)) == [("SEC020", "a.py", 1)]
 
 
+WORKFLOW = "on: issues\njobs:\n  a:\n    steps:\n      - run: echo ${{ github.event.issue.title }}\n"
+
+
+def test_hidden_files_of_a_tree(spark):
+    root = Path(tempfile.mkdtemp(prefix="run-"))
+    key = "AKIA" + "Q" * 16
+    names = {".env": f"AWS={key}\n", ".gitignore": "*.log\n", ".github/workflows/ci.yml": WORKFLOW, "pkg/__init__.py": "eval(x)", "_conf.yml": "a: 1",
+             "pkg/a.py": "", "my file.py": "eval(y)", "a/b/c/.d/_e.py": "eval(z)"}
+    for name, text in names.items():
+        (root / "r" / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / "r" / name).write_text(text)
+    tree = read_tree(spark, str(root))
+    assert {r.path: r.text for r in tree.collect()} == names
+    assert {r.tracked for r in tree.collect()} == {None}
+    found = ids(scan(tree))
+    assert {("SEC041", ".github/workflows/ci.yml", 5), ("SEC020", "pkg/__init__.py", 1), ("SEC020", "a/b/c/.d/_e.py", 1)} <= set(found)
+    assert any(path == ".env" for _, path, _ in found) and not any(rule in ("SEC050", "SEC053") for rule, _, _ in found)
+    listed = spark.createDataFrame([("r", ".env"), ("r", "pkg/a.py")], "repo string, path string")
+    known = read_tree(spark, str(root), tracked=listed)
+    assert {r.path for r in known.where("tracked").collect()} == {".env", "pkg/a.py"}
+    assert {"SEC050", "SEC053"} <= {rule for rule, _, _ in ids(scan(known))}
+    assert read_tree(spark, tempfile.mkdtemp(prefix="run-")).count() == 0
+
+
+def test_missing_inputs_leave_notes(spark, files):
+    notes = lambda result: sorted((r.repo, r.rule_id, r.message[:12]) for r in result.findings.where("rule_id like '%-SKIP'").collect())
+    assert notes(scan(files(("a.txt", "")))) == [("r", "DEPS-SKIP", "No CVE data:"), ("r", "GIT-SKIP", "git: log -p "), ("r", "GIT-SKIP", "git: remote ")]
+    unknown = files(("a.txt", "")).withColumn("tracked", F.lit(None).cast("boolean"))
+    assert len(notes(scan(unknown, ScanOptions(history=False, deps_cves=False)))) == 2
+    broken = files(("package.json", "{\"dependencies\": "))
+    assert ("r", "DEPS-SKIP", "package.json") in notes(scan(broken, ScanOptions(deps_cves=False)))
+
+
+def test_a_repository_with_history_alone_fails_its_gate(spark, files):
+    patch = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n+k = \"AKIA" + "Z" * 16 + "\"\n"
+    patches = spark.createDataFrame([("bare", 600, "c" * 40, patch)], "repo string, commit_seq int, commit string, patch string")
+    result = scan(files(("a.txt", "")), patches=patches)
+    assert {r.repo: r.failed for r in result.gate().collect()} == {"r": False, "bare": True}
+    assert {r.repo: r.CRITICAL for r in result.posture().collect()} == {"r": 0, "bare": 1}
+    assert {r.repo: r.files_scanned for r in result.stats.collect()} == {"r": 1, "bare": 0}
+
+
+def test_nothing_is_cut_by_default(spark, files):
+    key = "AKIA" + "R" * 16
+    long = "x = 1; " * 2_000 + "eval(a)"
+    table = files(("far.py", long), ("big.py", "# pad\n" * 400_000 + "eval(b)\nk = '" + key + "'\n"), ("open.py", "f(" + "1,\n" * 6_000 + "eval(c))"))
+    found = ids(scan(table))
+    assert {("SEC020", "far.py", 1), ("SEC020", "big.py", 400_001)} <= set(found)
+    assert any(path == "big.py" and line == 400_002 for _, path, line in found) and any(path == "open.py" for _, path, _ in found)
+    patches = spark.createDataFrame([("r", n, f"{n:040d}", "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n" + ("+" + "y" * 99 + "\n") * (90_000 if n == 0 else 1)
+                                      + ("+k = '" + key + "'\n" if n == 501 else "")) for n in (0, 1, 501)],
+                                    "repo string, commit_seq int, commit string, patch string")
+    assert "SEC055" in {rule for rule, _, _ in ids(scan(files(("a.txt", "")), patches=patches))}
+
+
 def test_discovery_runs_before_the_text_is_read(spark, files):
     out = tempfile.mkdtemp(prefix="run-") + "/files"
     files(("a.py", "x"), ("dist/b.py", "x")).write.parquet(out)
