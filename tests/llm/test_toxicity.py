@@ -7,9 +7,9 @@ from auditlake.llm.toxicity import FEATURES, _Words, drop_toxic, features, held_
 
 
 def test_features_of_plain_texts():
-    words = _Words({"idiot": 3.0, "mor*": 1.0, "vequ*": 2.0})
+    words = _Words({"idiot": 3.0, "vequ*": 2.0})
     row = dict(zip(FEATURES, features("You IDIOT!! a more vequons 1d10t you", words)))
-    assert row["lexicon_hits"] == pytest.approx(1.6094, abs=1e-3) and row["capital_words"] == pytest.approx(1 / 7)
+    assert row["lexicon_hits"] == pytest.approx(1.3863, abs=1e-3) and row["capital_words"] == pytest.approx(1 / 7)
     assert row["near_second_person"] == 0.75 or row["near_second_person"] == 1.0
     assert row["obfuscated_hits"] == pytest.approx(1 / 7) and row["second_person"] == pytest.approx(2 / 7)
     for text in (None, "", " \n", "x" * 300_000, "!!! ???"):
