@@ -294,6 +294,7 @@ STATIC_RULES = (
     ("SEC062", "Known vulnerable dependency (npm audit)", "HIGH"),
     ("SEC074", "Dockerfile without .dockerignore", "LOW"),
 )
+# Fixed value: the message takes part in fingerprints.
 SEC041_MESSAGE = ("Untrusted GitHub context interpolated into a shell run step — "
                   "a malicious PR/issue title becomes arbitrary code.")
 

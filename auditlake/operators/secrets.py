@@ -30,9 +30,9 @@ class SecretRule:
     unquoted: str | None = None     # second shape, only in configuration files
 
 
-_QUOTED = r"[A-Za-z0-9_-]{0,40}['\"]?\s{0,20}(?::=|=>|=|:)\s{0,20}['\"]([^'\"\s]{8,})['\"]"
-_BARE = r"[A-Za-z0-9_.-]{0,40}\s{0,20}[=:]\s{0,20}([^\s'\"#;(){}<>$]{8,})\s*(?:#.*)?$"
-_LINE_START = r"(?i)^[+-]?\s*(?:export\s+)?[A-Za-z0-9_.-]{0,80}?"
+_QUOTED = r"[A-Za-z0-9_-]*['\"]?\s*(?::=|=>|=|:)\s*['\"]([^'\"\s]{8,})['\"]"
+_BARE = r"[A-Za-z0-9_.-]*\s*[=:]\s*([^\s'\"#;(){}<>$]{8,})\s*(?:#.*)?$"
+_LINE_START = r"(?i)^[+-]?\s*(?:export\s+)?[A-Za-z0-9_.-]*?"
 _PASSWORD = r"(?:passw(?:or)?d|passphrase|pwd|api[-_]?key)"
 _TOKEN = r"(?:token|secret|credential|private[-_]?key|access[-_]?key)"
 _APP_KEY = r"(?:secret[-_]?key|jwt[-_]?secret|session[-_]?secret|signing[-_]?key|encryption[-_]?key)"
@@ -42,9 +42,9 @@ SECRET_RULES = (
     SecretRule("SEC001", "AWS access key id", "CRITICAL", "CWE-798", ("akia",),
                r"(?<![A-Za-z0-9])(AKIA[0-9A-Z]{16})(?![A-Za-z0-9])"),
     SecretRule("SEC002", "GitHub token", "CRITICAL", "CWE-798", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
-               r"(?<![A-Za-z0-9])(gh[pousr]_[A-Za-z0-9]{36,255})"),
+               r"(?<![A-Za-z0-9])(gh[pousr]_[A-Za-z0-9]{36,})"),
     SecretRule("SEC003", "GitHub fine-grained token", "CRITICAL", "CWE-798", ("github_pat_",),
-               r"(?<![A-Za-z0-9])(github_pat_[A-Za-z0-9_]{40,255})"),
+               r"(?<![A-Za-z0-9])(github_pat_[A-Za-z0-9_]{40,})"),
     SecretRule("SEC004", "OpenAI-style API key", "CRITICAL", "CWE-798", ("sk-",),
                r"(?<![A-Za-z0-9_-])(sk-[A-Za-z0-9_-]{20,})"),
     SecretRule("SEC005", "Slack token", "CRITICAL", "CWE-798", ("xox",),
@@ -52,7 +52,7 @@ SECRET_RULES = (
     SecretRule("SEC006", "JSON Web Token", "HIGH", "CWE-798", ("eyj",),
                r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
     SecretRule("SEC007", "Database URL with a password", "CRITICAL", "CWE-798", ("://",),
-               r"(?i)(?:postgres|postgresql|mysql|mariadb|mongodb|redis|rediss|amqp|amqps|mssql)(?:\+[a-z0-9]{1,20})?"
+               r"(?i)(?:postgres|postgresql|mysql|mariadb|mongodb|redis|rediss|amqp|amqps|mssql)(?:\+[a-z0-9]+)?"
                r"://[^\s:@/'\"]*:([^\s:@/'\"]+)@"),
     SecretRule("SEC008", "Stripe key", "CRITICAL", "CWE-798", ("k_live_", "k_test_"),
                r"(?<![A-Za-z0-9])((?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,})"),
@@ -67,13 +67,13 @@ SECRET_RULES = (
     SecretRule("SEC013", "Credentials embedded in a URL", "HIGH", "CWE-798", ("://",),
                r"(?i)https?://[^\s:@/'\"]+:([^\s:@/'\"]+)@"),
     SecretRule("SEC016", "AWS secret access key", "CRITICAL", "CWE-798", ("aws",),
-               r"(?i)aws[A-Za-z0-9_.-]{0,40}secret[A-Za-z0-9_.-]{0,40}['\"]?\s{0,20}[:=]\s{0,20}['\"]?"
+               r"(?i)aws[A-Za-z0-9_.-]*secret[A-Za-z0-9_.-]*['\"]?\s*[:=]\s*['\"]?"
                r"([A-Za-z0-9/+=]{40})(?![A-Za-z0-9/+=])"),
     SecretRule("SEC017", "Credential in a URL query string", "HIGH", "CWE-598", ("key=", "token=", "secret=", "password="),
                r"(?i)[?&](?:api[-_]?key|access[-_]?token|auth[-_]?token|client[-_]?secret|token|secret|password)"
                r"=([A-Za-z0-9._~%+/-]{8,})"),
     SecretRule("SEC018", "Hardcoded bearer token", "HIGH", "CWE-798", ("bearer",),
-               r"(?i)bearer\s{1,20}([A-Za-z0-9._~+/-]{20,}=*)", entropy=True),
+               r"(?i)bearer\s+([A-Za-z0-9._~+/-]{20,}=*)", entropy=True),
     SecretRule("SEC019", "Hardcoded application secret key", "HIGH", "CWE-798", ("secret", "key"),
                "(?i)" + _APP_KEY + _QUOTED, entropy=True,
                unquoted=_LINE_START + _APP_KEY + _BARE),

@@ -133,3 +133,13 @@ def test_written_diff(spark, found, stats):
     rows = spark.read.parquet(f"{out}/rows").collect()
     assert sorted((r.status, r.rule_id) for r in rows) == [("added", "A")] * 3 + [("removed", "B")]
     assert spark.read.parquet(f"{out}/counts").where("repo = 'r'").first().unchanged == 2
+
+
+def test_findings_without_a_message_show_their_title(spark, stats):
+    bare = table(spark, [("A", 3, "p", 1, "", ""), ("A", 3, "p", 1, "", "")])
+    title = bare.first().title
+    sarif = json.loads(written(documents.sarif(bare, stats))["r"])["runs"][0]
+    assert [r["message"]["text"] for r in sarif["results"]] == [title, title]
+    assert [i["description"] for i in json.loads(written(documents.gitlab(bare, stats))["r"])] == [title, title]
+    assert title in bare.select(documents.annotation_text().alias("t")).first().t.split("::")[2]
+    assert f'message="HIGH: {title}"' in written(documents.junit(bare, stats))["r"]

@@ -100,7 +100,7 @@ def test_hidden_files_of_a_tree(spark):
 
 def test_missing_inputs_leave_notes(spark, files):
     notes = lambda result: sorted((r.repo, r.rule_id, r.message[:12]) for r in result.findings.where("rule_id like '%-SKIP'").collect())
-    assert notes(scan(files(("a.txt", "")))) == [("r", "DEPS-SKIP", "No CVE data:"), ("r", "GIT-SKIP", "git: log -p "), ("r", "GIT-SKIP", "git: remote ")]
+    assert notes(scan(files(("a.txt", "")))) == [("r", "DEPS-SKIP", "No CVE data:"), ("r", "GIT-SKIP", "The history "), ("r", "GIT-SKIP", "The remotes ")]
     unknown = files(("a.txt", "")).withColumn("tracked", F.lit(None).cast("boolean"))
     assert len(notes(scan(unknown, ScanOptions(history=False, deps_cves=False)))) == 2
     broken = files(("package.json", "{\"dependencies\": "))
