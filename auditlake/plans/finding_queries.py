@@ -206,7 +206,7 @@ def one_suppression_per_repository(spark, sf_dir):
     """A suppression without a path and one with a pattern for every repository."""
     found = _deduped(spark, sf_dir)
     each = found.select("repo").distinct().select("repo", F.explode(F.array(
-        F.struct(F.lit("EVCLICK").alias("rule_id"), F.lit("").alias("path")), F.struct(F.lit("*"), F.lit("d1/f*.py")))).alias("s"))
+        F.struct(F.lit("EVCLICK").alias("rule_id"), F.lit("").alias("path")), F.struct(F.lit("*").alias("rule_id"), F.lit("d1/f*.py").alias("path")))).alias("s"))
     rules = each.select("repo", "s.rule_id", "s.path", F.lit("").alias("reason"), F.lit("").alias("expires"))
     return suppress.split_suppressed(found, rules, F.lit(TODAY)).select("repo", "rule_id", "path", "line", "message", "suppressed")
 
