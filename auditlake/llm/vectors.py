@@ -10,13 +10,13 @@ from auditlake.llm.common import components, small_side
 from auditlake.session import materialize
 
 #: Vectors the model is fitted on at most; it holds at most MAX_LISTS centroids. Both bound what is collected and broadcast.
-SAMPLE = 32_768
+SAMPLE = 16_384
 MAX_LISTS = 4_096
 SUBSPACES, CODES = 8, 64
 #: Vectors of one list, and queries to it, that one task compares at a time.
 TILE = 3_000
 #: Standard deviations of a near-duplicate's offset towards another list's border that probing covers.
-SIGMAS = 5.0
+SIGMAS = 3.0
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -51,16 +51,14 @@ class Quantiser:
         self.parts = [p for p in np.array_split(np.arange(x.shape[1]), SUBSPACES) if len(p)]
         residual = x - self.centers[_nearest(x, self.centers)]
         self.books = [_kmeans(residual[:, p], CODES) for p in self.parts]
-        gaps = np.linalg.norm(self.centers[:, None, :] - self.centers[None, :, :], axis=2) if len(self.centers) <= 512 else None
-        self.gaps = gaps
         # An offset of length ``radius`` in any direction moves a vector past a border by radius / sqrt(dimensions) in the
         # standard deviation, and never by more than the radius itself. What the sample shows is covered, too.
         self.slack = min(radius, max(SIGMAS * radius / np.sqrt(x.shape[1]), 1.1 * self._observed(x)))
 
     def _observed(self, x: np.ndarray) -> float:
         home, most = _nearest(x, self.centers), 0.0
-        for at in range(0, min(len(x), 4096), 256):
-            near = (2 - 2 * (x[at:at + 256] @ x.T)) <= self.radius**2
+        for at in range(0, min(len(x), 4096), 128):
+            near = (2 - 2 * (x[at:at + 128] @ x.T)) <= self.radius**2
             i, j = np.nonzero(near)
             differ = home[i + at] != home[j]
             i, j = i[differ] + at, j[differ]
@@ -78,8 +76,8 @@ class Quantiser:
         """(home list, lists to probe, codes, length of the quantisation error) of unit vectors."""
         square = (x**2).sum(1)[:, None] + (self.centers**2).sum(1) - 2 * (x @ self.centers.T)
         home = square.argmin(axis=1)
-        gap = self.gaps[home] if self.gaps is not None else np.sqrt(np.maximum(
-            0, (self.centers[home]**2).sum(1)[:, None] + (self.centers**2).sum(1) - 2 * (self.centers[home] @ self.centers.T)))
+        own, length = self.centers[home], (self.centers**2).sum(1)
+        gap = np.sqrt(np.maximum(0, length[home][:, None] + length - 2 * (own @ self.centers.T)))
         margin = (square - square[np.arange(len(x)), home][:, None]) / (2 * np.maximum(gap, 1e-12))
         margin[np.arange(len(x)), home] = 0
         residual = x - self.centers[home]
@@ -98,17 +96,17 @@ class Quantiser:
         return np.nonzero(np.sqrt(total) <= self.radius + errors[None, :] + 1e-9)
 
 
-def _floats(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(len(column), -1)
+def _floats(column, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), -1).astype(np.float64)
 
 
-def _tile(model: Quantiser, threshold: float, queries: pa.Table, entries: pa.Table) -> pa.Table:
+def _tile(model: Quantiser, threshold: float, kind: str, queries: pa.Table, entries: pa.Table) -> pa.Table:
     """Links of one tile, summed: per query the linked vectors, and a spanning forest of the links."""
     none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
     if not len(queries) or not len(entries):
         return none
     home = entries.column("home")[0].as_py()
-    q, e = _floats(queries.column("asked")), _floats(entries.column("vector"))
+    q, e = _floats(queries.column("asked"), kind), _floats(entries.column("vector"), kind)
     uq, ue = _unit(q), _unit(e)
     codes = np.frombuffer(b"".join(entries.column("codes").to_pylist()), dtype=np.uint8).reshape(len(e), -1)
     errors, ids, mates = entries.column("error").to_numpy(), queries.column("asker").to_numpy(), entries.column("rep").to_numpy()
@@ -173,7 +171,9 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, sample: int = SAMPL
     total = classes.count()
     fit = classes.select("v").orderBy(F.xxhash64("rep"), "rep").limit(sample).toPandas()["v"]
     radius = float(np.sqrt(2 - 2 * threshold)) if threshold < 1 else 1e-6
-    model = Quantiser(np.stack(fit.to_list()), int(2 * np.sqrt(total)), radius)
+    model = Quantiser(np.stack(fit.to_list()), int(np.sqrt(total)), radius)
+    # single-precision components travel as such and are exact in double precision, too
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
     shared = vectors.sparkSession.sparkContext.broadcast(model)
 
     def assign(batches):
@@ -183,7 +183,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, sample: int = SAMPL
                 flat = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                 home, probes, codes, error = shared.value.assign(_unit(flat))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rep"), part.column("n"), pa.array([r.astype("<f8").tobytes() for r in flat], pa.binary()), pa.array(home.astype(np.int32)),
+                    [part.column("rep"), part.column("n"), pa.array([r.astype(kind).tobytes() for r in flat], pa.binary()), pa.array(home.astype(np.int32)),
                      pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
                     names=["rep", "n", "vector", "home", "probes", "codes", "error"])
 
@@ -201,7 +201,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, sample: int = SAMPL
         "*", F.expr("CAST(pmod(xxhash64(asker), turns) AS INT)").alias("turn"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
     key = ["home", "part", "turn"]
     found = queries.drop("parts", "turns").groupBy(*key).cogroup(entries.drop("parts", "turns").groupBy(*key)).applyInArrow(
-        lambda q, e: _tile(shared.value, threshold, q, e), "a long, b long, n long")
+        lambda q, e: _tile(shared.value, threshold, kind, q, e), "a long, b long, n long")
     found = materialize(found, "vector-links")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
