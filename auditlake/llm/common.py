@@ -14,6 +14,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 48_000_000
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session told to hand whole texts to Python a few hundred rows at a time, unless it has a setting of
+    its own: at Spark's default of 10,000 rows, batches of texts are most of a worker's memory."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(key, "10000") == "10000":
+        conf.set(key, "500")
+    return df
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or the first variant of it that no column of ``df`` has (case is ignored)."""
     taken = {c.lower() for c in df.columns}

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from auditlake.llm.common import slices
+from auditlake.llm.common import slices, small_batches
 from auditlake.session import materialize
 
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -181,7 +181,7 @@ def _places(docs: DataFrame, spec: Passages) -> DataFrame:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and ``row``, a hash of the text where ids repeat, to tell such rows apart, else 0."""
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    repeated = small_batches(docs).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     return docs.select("doc_id", "text", F.hash("text").alias("row") if repeated else F.lit(0).alias("row"))
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from auditlake.llm.common import components, free_name, slices
+from auditlake.llm.common import components, free_name, slices, small_batches
 from auditlake.session import materialize
 
 SEED = 42
@@ -43,7 +43,7 @@ def with_fingerprints(docs: DataFrame, name: str, shingle: int = 3, text: str =
             prints = np.array([fingerprint(t, shingle) for t in part.column(text).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints.view(np.int64))], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def _masks(max_bits: int) -> list[int]:
