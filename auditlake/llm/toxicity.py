@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from auditlake.llm.common import free_name, slices
+from auditlake.llm.common import free_name, slices, small_batches
 from auditlake.session import materialize
 
-#: Labelled rows the trees and the calibration are fitted on at most.
-SAMPLE = 20_000
+#: Labelled documents that are learned from at most, and those of them the trees and the calibration are fitted on.
+LEARNED, SAMPLE = 100_000, 20_000
 #: Entries of the learned lexicon at most.
 LEXICON = 600
 STEMS = (4, 5)
@@ -51,13 +51,13 @@ def _tally(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))],
                                              names=["token", "toxic", "clean"])
 
-    return rows.mapInArrow(run, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return small_batches(rows).mapInArrow(run, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
     """Tokens that mark toxic documents, with their smoothed log odds: at most ``size``, by significance, then by name.
 
-    A token counts if its log odds are at least 2 and 3 standard errors from 0, over all labelled learning rows.
+    A token counts if its log odds are at least 2 and 3 standard errors from 0, over all learning rows.
     """
     toxic, clean = rows.agg(F.count(F.when(F.col("toxic") == 1, 1)), F.count(F.when(F.col("toxic") == 0, 1))).first()
     a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
@@ -77,7 +77,7 @@ class _Words(dict):
         return max((self.lexicon.get(t, 0.0) for t in tokens(word)), default=0.0)
 
     def __missing__(self, raw: str):
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         bare = raw.strip(PUNCTUATION)
         word = bare.lower()
@@ -120,7 +120,7 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], name: str) -> Data
             rows = [features(t, words) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.list_(pa.float64()))], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType()))]))
+    return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType()))]))
 
 
 def held_out() -> Column:
@@ -128,25 +128,34 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of labelled rows that are not held out. Of several labels of a document the largest counts."""
+def learning_labels(labels: DataFrame, most: int = LEARNED, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, toxic, fit) of at most ``most`` labelled documents that are not held out; ``fit`` marks ``sample`` of them.
+
+    Of several labels of a document the largest counts. Documents are taken in the order of a hash of their ids, so the
+    choice does not depend on how the table lies.
+    """
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").where(~held_out()).join(known, "doc_id")
+    order = [F.xxhash64("doc_id", F.lit(9)), F.col("doc_id")]
+    some = known.where(~held_out()).orderBy(*order).limit(most)
+    return some.withColumn("fit", F.row_number().over(Window.orderBy(*order)) <= sample)
+
+
+def learning_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic, fit) of the documents in ``chosen``. At most LEARNED rows are broadcast, so no text is sent."""
+    return docs.select("doc_id", "text").where(~held_out()).join(F.broadcast(chosen), "doc_id")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, score: str = "score", sample: int = SAMPLE) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, score: str = "score", learned: int = LEARNED, sample: int = SAMPLE) -> DataFrame:
     """``docs`` and column ``score``: the calibrated probability, 0 to 1, that a text is toxic. Nothing but the text is used.
 
-    A lexicon with log odds is learned from all learning rows. Boosted trees over the dense features are fitted on three
-    quarters, and the isotonic calibration on the rest, of at most ``sample`` learning rows (those first by a hash of the id,
-    so the choice does not depend on order). If they do not hold both labels, every text gets the share of toxic labels
-    (0 without any). Null and empty texts have features like any other. Repeated rows get equal scores. An empty table
+    At most ``learned`` labelled documents are learned from: a lexicon with log odds from all of them, boosted trees over the
+    dense features from three quarters of at most ``sample``, and the isotonic calibration from the other quarter. If the
+    parts do not hold both labels, every text gets the share of toxic labels (0 without any). Null and empty texts have features like any other. Repeated rows get equal scores. An empty table
     gives no rows; other columns are unchanged, whatever their names.
     """
-    rows = materialize(learning_rows(docs, labels), "labelled")
+    rows = learning_rows(docs, materialize(learning_labels(labels, learned, sample), "learning-labels"))
     lexicon = learn_lexicon(rows)
-    few = rows.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", "text").limit(sample)
-    few = materialize(with_features(few, lexicon, "row").select(
+    few = materialize(with_features(rows.where("fit").select("doc_id", "text", "toxic"), lexicon, "row").select(
         F.col("toxic").cast("double").alias("label"), "row", (F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(4)) == 0).alias("calibrate")), "features")
     few = few.coalesce(4).withColumn("vector", array_to_vector("row"))
     seen = {(r.calibrate, r.label): r["count"] for r in few.groupBy("calibrate", "label").count().collect()}

@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 
-from auditlake.llm.toxicity import FEATURES, _Words, drop_toxic, features, held_out, learn_lexicon, learning_rows, score_toxicity
+from auditlake.llm.toxicity import FEATURES, _Words, drop_toxic, features, held_out, learn_lexicon, learning_labels, learning_rows, score_toxicity
 
 
 def test_features_of_plain_texts():
@@ -42,7 +42,8 @@ def tables(spark):
 
 def test_lexicon_never_learns_from_held_out_rows(spark, tables):
     docs, labels = tables
-    rows = learning_rows(docs, labels)
+    rows = learning_rows(docs, learning_labels(labels))
+    assert learning_labels(labels, 50, 20).count() == 50 and learning_labels(labels, 50, 20).where("fit").count() == 20
     assert rows.where(held_out()).count() == 0
     lexicon = learn_lexicon(rows)
     assert {"scum", "idiot", "vequ*"} <= set(lexicon) and not any(t.startswith("w") for t in lexicon)
