@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 import struct
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from auditlake.llm.common import slices
+from auditlake.llm.common import slices, small_batches
 
 #: Where the public vocabulary lies; a parameter of the operator.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -25,7 +26,7 @@ USER_DISCOUNT = 0.1
 #: Chunks up to so many bytes are searched together, column by column; longer ones one by one.
 SHORT = 48
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-CACHE = 300_000
+CACHE = 150_000
 
 
 def _fields(data: bytes):
@@ -146,7 +147,7 @@ class Encoder:
 
     def __init__(self, model: Model):
         self.model = model
-        usable = [i for i, k in enumerate(model.kinds) if k in (NORMAL, USER) and model.pieces[i]]
+        usable = [i for i, k in enumerate(model.kinds) if k in (NORMAL, USER) and model.pieces[i] and "\0" not in model.pieces[i]]
         self.trie = DoubleArray([model.pieces[i].encode() for i in usable], usable)
         scores = model.scores.astype(np.float64)
         plain = scores[model.kinds == NORMAL]
@@ -157,6 +158,7 @@ class Encoder:
         # no piece goes on past a space that follows other characters, so such places split any text for the search
         self.splits = not any(SPACE in model.pieces[i].lstrip(SPACE) for i in usable)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.texts = [b"" if k == CONTROL else bytes([model.bytes_at.index(i)]) if k == BYTE and model.bytes_at else " ⁇ ".encode() if k == UNKNOWN
                       else p.replace(SPACE, " ").encode() for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True))]
 
@@ -171,22 +173,32 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
         split = [self.chunks(t or "") for t in texts]
-        cache = self.cache
-        new = {c for cs in split for c in cs if c not in cache}
-        if new:
-            if len(cache) + len(new) > CACHE:
-                cache = self.cache = {}
-                new = {c for cs in split for c in cs}
-            new = sorted(new)
-            cache.update(zip(new, self._search([c.encode() for c in new]), strict=True))
-        return [b"".join(map(cache.__getitem__, cs)) for cs in split]
+        here: dict[str, bytes] = dict.fromkeys(chain.from_iterable(split), b"")
+        # two generations: what was not asked for while one filled up is forgotten with the next
+        young, old = self.cache, self.older
+        new = []
+        for chunk in here:
+            ids = young.get(chunk)
+            if ids is None:
+                ids = old.get(chunk)
+                if ids is None:
+                    new.append(chunk)
+                    continue
+                young[chunk] = ids
+            here[chunk] = ids
+        here.update(zip(new, self._search([c.encode() for c in new]), strict=True))
+        for chunk in new:
+            young[chunk] = here[chunk]
+        if len(young) > CACHE:
+            self.cache, self.older = {}, young
+        return [b"".join(map(here.__getitem__, cs)) for cs in split]
 
     def _search(self, chunks: list[bytes]) -> list[bytes]:
         out: list[bytes] = [b""] * len(chunks)
         sizes = np.array([len(c) for c in chunks])
         for low, high in ((0, 8), (8, 14), (14, 24), (24, SHORT)):
             some = np.flatnonzero((sizes > low) & (sizes <= high))
-            for part in np.array_split(some, len(some) // 16384 + 1):
+            for part in np.array_split(some, len(some) // 4096 + 1):
                 for i, ids in zip(part, self._together([chunks[i] for i in part], high), strict=True):
                     out[i] = ids
         for i in np.flatnonzero(sizes > SHORT):
@@ -198,42 +210,63 @@ class Encoder:
         n = len(chunks)
         if not n:
             return []
-        text = np.frombuffer(b"".join(c.ljust(width + 1, b"\0") for c in chunks), dtype=np.uint8).reshape(n, width + 1)
+        # one row per place and one column per chunk, so that every step reads and writes one contiguous row
+        text = np.frombuffer(b"".join(c.ljust(width, b"\0") for c in chunks), dtype=np.uint8).reshape(n, width).T.astype(np.int32)
         size = np.array([len(c) for c in chunks])
-        best = np.full((n, width + 1), -np.inf)
-        best[:, 0] = 0
-        begin, piece = np.zeros((n, width + 1), dtype=np.int32), np.full((n, width + 1), -1, dtype=np.int32)
-        first = (text & 0xC0) != 0x80
+        best = np.full((width + 1, n), -np.inf)
+        best[0] = 0
+        begin, piece = np.zeros((width + 1, n), dtype=np.int32), np.full((width + 1, n), -1, dtype=np.int32)
+        starts = ((text & 0xC0) != 0x80) & (np.arange(width)[:, None] < size)
         long = np.select([text < 0x80, text < 0xE0, text < 0xF0], [1, 2, 3], 4)
         base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
         for s in range(width):
-            rows = np.flatnonzero((s < size) & first[:, s])
+            rows = np.flatnonzero(starts[s])
             if not len(rows):
                 continue
             single = np.zeros(n, dtype=bool)
-            here, state, at = rows, np.zeros(len(rows), dtype=np.int32), s
-            while len(here) and at < width:
-                inside = at < size[here]
-                here, state = here[inside], state[inside]
-                after = base[state] + text[here, at]
-                ok = check[after] == state
-                here, state, at = here[ok], after[ok], at + 1
-                found = value[state]
+            here, state, length = rows, np.zeros(len(rows), dtype=np.int32), long[s]
+            for at in range(s, width):  # no piece holds the zero byte that pads
+                after = base.take(state) + text[at].take(here)
+                ok = check.take(after) == state
+                here, state = here[ok], after[ok]
+                if not len(here):
+                    break
+                found = value.take(state)
                 hit = found >= 0
                 r, ids = here[hit], found[hit]
-                single[r[s + long[r, s] == at]] = True
-                score = best[r, s] + scores[ids]
-                better = score > best[r, at]
-                r, ids = r[better], ids[better]
-                best[r, at], begin[r, at], piece[r, at] = score[better], s, ids
+                if at < s + 4:
+                    single[r[length.take(r) == at + 1 - s]] = True
+                score = best[s].take(r) + scores.take(ids)
+                better = score > best[at + 1].take(r)
+                r = r[better]
+                best[at + 1][r], begin[at + 1][r], piece[at + 1][r] = score[better], s, ids[better]
             r = rows[~single[rows]]  # no piece is this one character: it may stay unknown
-            end = s + long[r, s]
-            score = best[r, s] + self.lost
-            better = score > best[r, end]
+            end = s + length[r]
+            score = best[s][r] + self.lost
+            better = score > best[end, r]
             r, end = r[better], end[better]
-            best[r, end], begin[r, end], piece[r, end] = score[better], s, self.model.unknown
-        starts, pieces = begin.tolist(), piece.tolist()
-        return [self._ids(c, starts[i], pieces[i]) for i, c in enumerate(chunks)]
+            best[end, r], begin[end, r], piece[end, r] = score[better], s, self.model.unknown
+        # back from the ends, all chunks at once
+        at, rows, back = size.astype(np.int32), np.arange(n), []
+        lost = np.zeros(n, dtype=bool)
+        while len(rows):
+            ids = piece[at, rows]
+            lost[rows[ids == self.model.unknown]] = True
+            back.append((rows, ids))
+            at = begin[at, rows]
+            rows, at = rows[at > 0], at[at > 0]
+        count = np.zeros(n, dtype=np.int64)
+        for rows, _ in back:
+            count[rows] += 1
+        ends = np.cumsum(count)
+        flat = np.empty(int(ends[-1]), dtype="<i4")
+        for step, (rows, ids) in enumerate(back):
+            flat[ends[rows] - 1 - step] = ids
+        data, bounds = flat.tobytes(), [0, *(ends * 4).tolist()]
+        out = [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        for i in np.flatnonzero(lost):  # characters to spell out
+            out[i] = self._ids(chunks[i], begin[:, i].tolist(), piece[:, i].tolist())
+        return out
 
     def _alone(self, chunk: bytes) -> bytes:
         """The same search for one long chunk."""
@@ -298,7 +331,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, text: str = "text", na
             flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), flat)], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, ArrayType(IntegerType()))]))
+    return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField(name, ArrayType(IntegerType()))]))
 
 
 def decode(rows: DataFrame, model_path: str = MODEL_PATH, tokens: str = "tokens", name: str = "decoded") -> DataFrame:
@@ -313,7 +346,7 @@ def decode(rows: DataFrame, model_path: str = MODEL_PATH, tokens: str = "tokens"
             texts = pa.array([encoder.decode(ids.values.to_pylist() if ids.is_valid else []) for ids in column], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, name])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, StringType())]))
+    return small_batches(rows).mapInArrow(run, StructType([*rows.schema.fields, StructField(name, StringType())]))
 
 
 def round_trip(text: str) -> str:
