@@ -18,8 +18,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that more than 2 % of their source's documents carry."""
-    return line_dedup.drop_boilerplate(docs, site="source")
+    """All documents, without the lines that more than 2 % of their source's different documents carry.
+
+    Copies count as one document here: the next stage keeps one of them, which must come whole."""
+    return line_dedup.drop_boilerplate(docs, site="source", copies_once=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,3 +80,14 @@ def test_stages_against_plain_versions(spark, corpus):
 def test_run_gives_the_last_stage(spark, corpus):
     out = corpus_pipeline.run(spark, corpus)
     assert out.columns == ["doc_id", "source", "tokens", "n_tokens", "decodes"] and out.count() > 100
+
+
+def test_one_whole_text_of_a_copy_group_survives_three_stages(spark):
+    copied = "a passage of several lines\nthat a third of a source copies\nand no other page has"
+    copies = [(i, copied + ("\n" if i % 3 else " \t\r\n\n"), "en", "a", 1) for i in range(100)]
+    others = [(1000 + i, f"menu\n{' '.join(f'w{i * 31 + k * 7}' for k in range(30))}", "en", "a", 1) for i in range(200)]
+    docs = spark.createDataFrame(copies + others, "doc_id long, text string, lang string, source string, n_chars long")
+    lines = corpus_pipeline.materialize(corpus_pipeline.drop_boilerplate(spark, docs, ""), "lines")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_near_copies(spark, lines, "").collect()}
+    assert [d for d in kept if d < 1000] == [0] and kept[0] == copies[0][1]
+    assert all(kept[d] == t.split("\n")[1] for d, t, *_ in others)
