@@ -73,3 +73,22 @@ def test_lookup_never_rules_out_a_near_vector():
             got = set(zip(i.tolist(), mine[j].tolist()))
             near = np.linalg.norm(x[:, None] - x[None, mine], axis=2) <= 0.6
             assert {(a, int(mine[b])) for a, b in zip(*np.nonzero(near))} <= got
+
+
+@pytest.mark.parametrize("inner,d", [(24, 256), (16, 33)])
+def test_pairs_unlike_the_sample_are_found_and_count_for_both(spark, inner, d):
+    dice = np.random.default_rng(inner)
+    base = vectors._unit(dice.normal(size=(900, inner)))
+    offset = dice.normal(size=base.shape)
+    offset = vectors._unit(offset - (offset * base).sum(1)[:, None] * base)
+    near = base + np.tan(np.arccos(dice.uniform(0.901, 0.93, size=(900, 1)))) * offset
+    x = np.concatenate([base, near]) @ np.linalg.qr(dice.normal(size=(d, inner)))[0].T
+    rows = list(enumerate(x.tolist()))
+    got = link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), sample=160).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute(rows, 0.9)
+
+
+def test_sketches_hold_their_error():
+    x = vectors._unit(np.random.default_rng(6).normal(size=(200, 7)))
+    back, blur = vectors._unsketched(vectors.pa.chunked_array([vectors._sketches(x)]), 7)
+    assert (np.linalg.norm(x - back, axis=1) <= blur + 1e-6).all() and blur.max() < 0.25
