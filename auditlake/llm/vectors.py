@@ -104,6 +104,32 @@ class Quantiser:
         return np.nonzero(self.possible(queries, home, codes, errors).T)
 
 
+class Models:
+    """A quantiser per dimension; the lists of all are numbered through."""
+
+    def __init__(self, models: list[Quantiser]):
+        self.models = models
+        self.first = np.cumsum([0, *(len(m.centers) for m in models)])
+        self.of = {m.centers.shape[1]: k for k, m in enumerate(models)}
+
+    def assign(self, vectors: list[np.ndarray]):
+        """Per vector: home list, lists to probe, codes, length of the quantisation error, sketch."""
+        out: list = [None] * len(vectors)
+        sizes = np.array([len(v) for v in vectors])
+        for d in np.unique(sizes):
+            at, k = np.flatnonzero(sizes == d), self.of[int(d)]
+            x = _unit(np.stack([vectors[i] for i in at]))
+            home, probes, codes, error = self.models[k].assign(x)
+            for i, *row in zip(at, home, probes, codes, error, _sketches(x), strict=True):
+                out[i] = (row[0] + self.first[k], row[1] + self.first[k], *row[2:])
+        return list(zip(*out, strict=True))
+
+    def list(self, number: int) -> tuple[Quantiser, int, int]:
+        """(quantiser, list in it, number of its first list) of a list."""
+        k = int(np.searchsorted(self.first, number, side="right")) - 1
+        return self.models[k], int(number - self.first[k]), int(self.first[k])
+
+
 def _floats(column, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), -1).astype(np.float64)
 
@@ -112,18 +138,19 @@ def _codes(entries: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(entries.column("codes").to_pylist()), dtype=np.uint8).reshape(len(entries), -1)
 
 
-def _screen(model: Quantiser, queries: pa.Table, entries: pa.Table) -> pa.Table:
+def _screen(models: Models, queries: pa.Table, entries: pa.Table) -> pa.Table:
     """The queries and entries of one tile that look-up and sketches leave a partner: id, asks, and the tile."""
     tile = {k: (queries if len(queries) else entries).column(k)[0].as_py() for k in ("home", "part", "turn")}
     asks, answers = np.zeros(len(queries), dtype=bool), np.zeros(len(entries), dtype=bool)
     ids, mates = queries.column("asker").to_numpy(), entries.column("rep").to_numpy()
     if len(ids) and len(mates):
+        model, home, _ = models.list(tile["home"])
         inside = queries.column("own").to_numpy() == tile["home"]
         (q, q_blur), (e, e_blur) = (_unsketched(c, model.centers.shape[1]) for c in (queries.column("asked"), entries.column("sketch")))
         codes, errors, length = _codes(entries), entries.column("error").to_numpy(), (e**2).sum(1)[:, None]
         for at in range(0, len(q), 500):
             part, blur = q[at:at + 500], q_blur[at:at + 500]
-            near = model.possible(part, tile["home"], codes, errors, blur)
+            near = model.possible(part, home, codes, errors, blur)
             if near.any():
                 reach = np.float32(model.radius + 1e-3) + e_blur[:, None] + blur
                 near &= length + (part**2).sum(1) - 2 * (e @ part.T) <= reach * reach
@@ -136,21 +163,21 @@ def _screen(model: Quantiser, queries: pa.Table, entries: pa.Table) -> pa.Table:
                      **{k: pa.array(np.full(len(found), v, dtype=np.int32)) for k, v in tile.items()}})
 
 
-def _tile(model: Quantiser, threshold: float, kind: str, queries: pa.Table, entries: pa.Table) -> pa.Table:
+def _tile(models: Models, threshold: float, kind: str, queries: pa.Table, entries: pa.Table) -> pa.Table:
     """Links of one tile, summed: per vector the linked rows, and a spanning forest of the links.
 
     A pair counts for both its ends in one tile: where either would find the other, in that in which the smaller id asks."""
     none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
     if not len(queries) or not len(entries):
         return none
-    home = entries.column("home")[0].as_py()
+    model, home, first = models.list(entries.column("home")[0].as_py())
     q, e = _floats(queries.column("asked"), kind), _floats(entries.column("vector"), kind)
     uq, ue = _unit(q), _unit(e)
     codes, errors = _codes(entries), entries.column("error").to_numpy()
-    ids, mates, own = queries.column("id").to_numpy(), entries.column("rep").to_numpy(), queries.column("own").to_numpy()
+    ids, mates, own = queries.column("id").to_numpy(), entries.column("rep").to_numpy(), queries.column("own").to_numpy() - first
     probes = entries.column("probes").combine_chunks()
     asks_back = np.zeros((len(e), len(model.centers)), dtype=bool)
-    asks_back[np.repeat(np.arange(len(e)), probes.value_lengths().to_numpy()), probes.flatten().to_numpy()] = True
+    asks_back[np.repeat(np.arange(len(e)), probes.value_lengths().to_numpy()), probes.flatten().to_numpy() - first] = True
     sizes = queries.column("asker_n").to_numpy(), entries.column("n").to_numpy()
     counts = np.zeros(len(q), dtype=np.int64), np.zeros(len(e), dtype=np.int64)
     left, right = [], []
@@ -202,22 +229,25 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, sample: int = SAMPL
     never all its pairs.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and neither do rows
-    without vec_id or whose dimension is not the table's most frequent one (the smallest of such). Repeated rows are vectors
-    of their own. Further columns are ignored; an empty table gives no rows.
+    without vec_id. Only vectors of one dimension link; each dimension has lists of its own, with its share of the sample.
+    Repeated rows are vectors of their own. Further columns are ignored; an empty table gives no rows.
     """
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     sound = ("vec_id IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity')) "
              "AND exists(v, x -> x <> 0)")
     good = rows.where(F.coalesce(F.expr(sound), F.lit(False)))
-    sizes = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if sizes is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    good = good.where(F.size("v") == sizes.d)
     classes = materialize(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vector-classes")
-    total = classes.count()
+    sizes = {r.d: r.n for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    # in the order of a hash, so dimensions have about their shares; the sample decides how lists are cut, not what links
     fit = classes.select("v").orderBy(F.xxhash64("rep"), "rep").limit(sample).toPandas()["v"]
     radius = float(np.sqrt(2 - 2 * threshold)) if threshold < 1 else 1e-6
-    model = Quantiser(np.stack(fit.to_list()), int(np.sqrt(total)), radius)
+    samples: dict[int, list] = {d: [] for d in sorted(sizes)}
+    for v in fit:
+        samples[len(v)].append(v)
+    lists = {d: min(int(np.sqrt(n)), max(1, MAX_LISTS * n // sum(sizes.values()))) for d, n in sizes.items()}
+    model = Models([Quantiser(np.stack(part or [np.eye(1, d)[0]]), lists[d], radius) for d, part in samples.items()])
     # single-precision components travel as such and are exact in double precision, too
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
     shared = vectors.sparkSession.sparkContext.broadcast(model)
@@ -226,11 +256,12 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, sample: int = SAMPL
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                flat = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                home, probes, codes, error = shared.value.assign(_unit(flat))
+                column = part.column("v")
+                flat = np.split(column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy())[:-1])
+                home, probes, codes, error, sketches = shared.value.assign(flat)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("rep"), part.column("n"), pa.array([r.astype(kind).tobytes() for r in flat], pa.binary()),
-                     pa.array(_sketches(_unit(flat)), pa.binary()), pa.array(home.astype(np.int32)),
+                     pa.array(sketches, pa.binary()), pa.array(home, pa.int32()),
                      pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
                     names=["rep", "n", "vector", "sketch", "home", "probes", "codes", "error"])
 

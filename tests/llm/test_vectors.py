@@ -92,3 +92,16 @@ def test_sketches_hold_their_error():
     x = vectors._unit(np.random.default_rng(6).normal(size=(200, 7)))
     back, blur = vectors._unsketched(vectors.pa.chunked_array([vectors._sketches(x)]), 7)
     assert (np.linalg.norm(x - back, axis=1) <= blur + 1e-6).all() and blur.max() < 0.25
+
+
+def test_every_dimension_links_within_itself(spark):
+    parts = [clustered(seed, n, d, 0.5) for seed, n, d in ((3, 300, 16), (4, 200, 24), (5, 100, 5))]
+    parts.append([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0])])
+    rows, want = [], []
+    for k, part in enumerate(parts):
+        rows += [(i + 1000 * k, v) for i, v in part]
+        want += brute([(i + 1000 * k, v) for i, v in part], 0.9)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for sample in (16_384, 20):
+        got = link_vectors(df, sample=sample).collect()
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(want)
