@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditlake.llm import bwt_merge, exact_dedup, fm_index, line_dedup, mixing, simhash, toxicity, unigram, url_filter, vectors
+from auditlake.llm import (bwt_merge, exact_dedup, fm_index, lexical_scan, line_dedup, mixing, pii, simhash, token_alignment, toxicity, unigram,
+                           url_filter, vectors)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +98,35 @@ def op9(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     out = toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op11_token_alignment")
+def op11(spark, sf_dir):
+    return token_alignment.link_statistics(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query("op12_pii")
+def op12(spark, sf_dir):
+    found = pii.find_personal_data(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "personal_data")
+    spans = F.col("personal_data")
+    counts = [pii.count_of(spans, kind).alias(f"n_{kind}") for kind in pii.BASE]
+    base = pii.listed(F.filter(spans, lambda s: s["base"]))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+
+
+@query("op13_lexical_search", r"""
+WITH letters AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS upper, 'abcdefghijklmnopqrstuvwxyz' AS lower),
+t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, upper, lower), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents, letters),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, upper, lower), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark, letters),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+s AS (SELECT count(*)::BIGINT AS docs, coalesce(sum(n), 0)::BIGINT AS terms FROM n),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, s GROUP BY term),
+p AS (SELECT f.doc_id, f.term, w.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // terms)))) AS points
+  FROM f JOIN n ON f.doc_id = n.doc_id JOIN w ON f.term = w.term, s),
+r AS (SELECT item_id, doc_id, sum(points)::BIGINT AS score FROM q JOIN p ON q.term = p.term GROUP BY item_id, doc_id),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 10
+""")
+def op13(spark, sf_dir):
+    return lexical_scan.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
