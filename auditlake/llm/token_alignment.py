@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,9 @@ MARKER = "\u2581"
 #: so a text is cut there and every different chunk is encoded and aligned once.
 INK = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x21, 0x7E), (0xA1, 0x167F), (0x1681, 0x180D), (0x180F, 0x1FFF), (0x2C00, 0x2FFF), (0x3001, 0xD7FF)))
 CUT = re.compile(f"(?<=[{INK}]) (?=[{INK}])")
+MEET = re.compile(f"[{INK}] [{INK}]")
+#: Characters of chunks that are encoded in one call.
+TOGETHER = 1000
 #: Bytes of finished chunks a task remembers, twice.
 CACHE_BYTES = 48_000_000
 #: At most so many pair counts are sent to every task, the most frequent ones; the others are joined.
@@ -62,6 +66,9 @@ class Aligner:
                         else p.replace(MARKER, " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(t) for t in table], dtype=np.int64) for table in (self.a_bytes, self.b_bytes))
         self.b_space = self.b.piece_to_id(MARKER)
+        # a token's id in the text of groups: A's end in a comma or bar, B's in a comma or semicolon
+        self.words = [b"%d%s" % (i, mark) for table, marks in ((self.a_bytes, (b",", b"|")), (self.b_bytes, (b",", b";"))) for i in range(len(table)) for mark in marks]
+        self.word_size = np.array([len(w) for w in self.words], dtype=np.int64)
         # a piece with a marker behind other characters could reach over a cut
         self.cuts = not any(MARKER in p.lstrip(MARKER) for p in pieces)
         self.young: dict[str, tuple | None] = {}
@@ -102,25 +109,40 @@ class Aligner:
         self.young[chunk] = found
         return found
 
+    def _a_ids(self, chunks: list[str]) -> tuple[list[int], np.ndarray]:
+        """A's tokens of chunks laid end to end, and where those of each chunk end. Chunks that meet in a cut are encoded together."""
+        runs, sizes = [], []
+        for chunk in chunks:
+            if runs and sizes[-1] < TOGETHER and self.cuts and MEET.match(runs[-1][-1][-1] + chunk[:2]):
+                runs[-1].append(chunk)
+                sizes[-1] += len(chunk)
+            else:
+                runs.append([chunk])
+                sizes.append(len(chunk))
+        found = [e.ids for e in self.a.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(found), dtype=np.int64, count=sum(map(len, found)))
+        ends = np.cumsum([len(c.encode()) for c in chunks])
+        return flat, np.searchsorted(np.cumsum(self.a_size[flat]), ends, side="right")
+
     def _align_new(self, chunks: list[str]) -> list[tuple | None]:
+        """What ``align`` gives for each chunk; None for one that is not spelled by its tokens."""
         if not chunks:
             return []
-        a_ids = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
+        a, a_ends = self._a_ids(chunks)
         b_ids = [ids or [self.b_space] for ids in self.b.encode([c[1:] for c in chunks], num_threads=1)]
-        out: list[tuple | None] = [None] * len(chunks)
-        good = []
-        for i, chunk in enumerate(chunks):
-            data = chunk.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a_ids[i])) == data == b"".join(map(self.b_bytes.__getitem__, b_ids[i])):
-                good.append(i)
-        if good:
-            for i, found in zip(good, self._groups([a_ids[i] for i in good], [b_ids[i] for i in good]), strict=True):
-                out[i] = found
-        return out
-
-    def _groups(self, a_ids: list[list[int]], b_ids: list[list[int]]) -> list[tuple]:
+        b, b_ends = np.fromiter(chain.from_iterable(b_ids), dtype=np.int64, count=sum(map(len, b_ids))), np.cumsum([len(i) for i in b_ids])
+        data, ends = "".join(chunks).encode(), np.cumsum([len(c.encode()) for c in chunks])
+        whole = b"".join(map(self.a_bytes.__getitem__, a.tolist())) == data == b"".join(map(self.b_bytes.__getitem__, b.tolist()))
+        if whole and (np.cumsum(self.a_size[a])[a_ends - 1] == ends).all() and (np.cumsum(self.b_size[b])[b_ends - 1] == ends).all():
+            return self._groups(a, a_ends, b, b_ends)
+        if len(chunks) == 1:
+            return [None]
+        # some chunk is not spelled: look for it in halves
+        half = len(chunks) // 2
+        return self._align_new(chunks[:half]) + self._align_new(chunks[half:])
+
+    def _groups(self, a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> list[tuple]:
         """(A tokens, B tokens, groups, linked pairs as 64-bit numbers, groups as text) of chunks laid end to end."""
-        a, b = (np.concatenate([np.asarray(i, dtype=np.int64) for i in ids]) for ids in (a_ids, b_ids))
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         a_start, b_start = a_end - self.a_size[a], b_end - self.b_size[b]
         start, end = np.r_[a_start, b_start], np.r_[a_end, b_end]
@@ -131,21 +153,27 @@ class Aligner:
         group = np.empty(len(order), dtype=np.int64)
         group[order] = np.cumsum(breaks) - 1
         a_group, b_group = group[:len(a)], group[len(a):]
+        n_groups = int(group.max()) + 1
         # within a group, a token of A overlaps the tokens of B from the first that ends behind its start to the last before its end
         low, high = np.searchsorted(b_end, a_start, side="right"), np.searchsorted(b_start, a_end, side="left")
         many = high - low
         token = np.repeat(np.arange(len(a)), many)
         other = np.arange(len(token)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-        pairs = a[token] << 32 | b[other]
-        n_a, n_b = (np.cumsum([0, *map(len, ids)]) for ids in (a_ids, b_ids))
-        links = np.r_[0, np.cumsum(many)][n_a]
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        n_groups = int(group.max()) + 1
-        a_at, b_at = np.searchsorted(a_group, np.arange(n_groups + 1)).tolist(), np.searchsorted(b_group, np.arange(n_groups + 1)).tolist()
-        texts = [f"{','.join(a_text[a_at[g]:a_at[g + 1]])}|{','.join(b_text[b_at[g]:b_at[g + 1]])}" for g in range(n_groups)]
-        first = np.r_[a_group[n_a[:-1]], n_groups].tolist()
-        return [(int(n_a[i + 1] - n_a[i]), int(n_b[i + 1] - n_b[i]), first[i + 1] - first[i], pairs[links[i]:links[i + 1]].astype("<i8").tobytes(),
-                 ";".join(texts[first[i]:first[i + 1]]).encode()) for i in range(len(a_ids))]
+        pairs = (a[token] << 32 | b[other]).astype("<i8").tobytes()
+        # ids as text, each with what follows it: A's tokens of a group, then B's
+        a_first, b_first = np.searchsorted(a_group, np.arange(n_groups + 1)), np.searchsorted(b_group, np.arange(n_groups + 1))
+        a_last, b_last = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+        a_last[a_first[1:] - 1] = b_last[b_first[1:] - 1] = 1
+        word = np.empty(len(order), dtype=np.int64)
+        word[np.arange(len(a)) + b_first[a_group]] = 2 * a + a_last
+        word[np.arange(len(b)) + a_first[b_group + 1]] = 2 * (len(self.a_bytes) + b) + b_last
+        text = b"".join(map(self.words.__getitem__, word.tolist()))
+        places = np.r_[0, np.cumsum(self.word_size[word])]
+        n_a, n_b = np.r_[0, a_ends], np.r_[0, b_ends]
+        at, links = places[n_a + n_b].tolist(), (8 * np.r_[0, np.cumsum(many)][n_a]).tolist()
+        groups = np.diff(np.r_[a_group[n_a[:-1]], n_groups])
+        return [(x, y, g, pairs[links[i]:links[i + 1]], text[at[i]:at[i + 1] - 1])
+                for i, (x, y, g) in enumerate(zip(np.diff(n_a).tolist(), np.diff(n_b).tolist(), groups.tolist(), strict=True))]
 
 
 COLUMNS = [StructField("n_a", LongType()), StructField("n_b", LongType()), StructField("n_groups", LongType()), StructField("n_links", LongType()),
