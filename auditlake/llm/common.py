@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auditlake.session import materialize
 
@@ -23,6 +24,19 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+class Sent:
+    """A value of this package's classes, broadcast as bytes that workers without the package can load, once per task."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._bytes, self._loaded = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    @property
+    def value(self):
+        if not self._loaded:
+            self._loaded.append(cloudpickle.loads(self._bytes.value))
+        return self._loaded[0]
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or the first variant of it that no column of ``df`` has (case is ignored)."""
     taken = {c.lower() for c in df.columns}

@@ -78,9 +78,8 @@ def op6(spark, sf_dir):
 
 @query("op7_sentencepiece")
 def op7(spark, sf_dir):
-    out = unigram.decode(unigram.encode(documents(spark, sf_dir).select("doc_id", "text")))
-    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(unigram.SPACE), F.lit(" "))
-    return out.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.xxhash64("tokens").alias("tokens_xxhash64"), same.alias("decodes"))
+    out = unigram.encode(documents(spark, sf_dir).select("doc_id", "text"), decodes="decodes")
+    return out.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.xxhash64("tokens").alias("tokens_xxhash64"), "decodes")
 
 
 @query("op8_simhash_near_dedup")

@@ -10,7 +10,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from auditlake.llm.common import slices, small_batches
 
@@ -26,7 +26,10 @@ USER_DISCOUNT = 0.1
 #: Chunks up to so many bytes are searched together, column by column; longer ones one by one.
 SHORT = 48
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-CACHE = 150_000
+#: Bytes of chunks and ids a task remembers, twice; what an entry takes besides them.
+CACHE_BYTES, ENTRY_BYTES = 24_000_000, 250
+#: Starting places of a long chunk whose pieces are looked up together.
+STRETCH = 1 << 16
 
 
 def _fields(data: bytes):
@@ -98,6 +101,12 @@ class Model:
 class DoubleArray:
     """Trie of byte strings: a state's child by byte b is ``base[state] + b`` if ``check`` of it names the state."""
 
+    @classmethod
+    def of(cls, base: np.ndarray, check: np.ndarray, value: np.ndarray) -> DoubleArray:
+        made = cls.__new__(cls)
+        made.base, made.check, made.value = base, check, value
+        return made
+
     def __init__(self, keys: list[bytes], values: list[int]):
         children: list[dict[int, int]] = [{}]
         ends = [-1]
@@ -142,13 +151,28 @@ class DoubleArray:
         self.base, self.check, self.value = np.r_[self.base, pad], np.r_[self.check, pad - 1], np.r_[self.value, pad - 1]
 
 
-class Encoder:
-    """Most probable segmentation of texts into pieces, and back."""
+class Decoder:
+    """Texts of pieces."""
 
     def __init__(self, model: Model):
+        spelled = {i: bytes([b]) for b, i in enumerate(model.bytes_at)}
+        self.prefix = model.prefix
+        self.texts = [b"" if k == CONTROL else spelled[i] if i in spelled else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode()
+                      for i, (p, k) in enumerate(zip(model.pieces, model.kinds.tolist(), strict=True))]
+
+    def decode(self, ids: list[int]) -> str:
+        text = b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace")
+        return text[1:] if self.prefix and text[:1] == " " else text
+
+
+class Encoder(Decoder):
+    """Most probable segmentation of texts into pieces, and back."""
+
+    def __init__(self, model: Model, trie: DoubleArray | None = None):
+        super().__init__(model)
         self.model = model
-        usable = [i for i, k in enumerate(model.kinds) if k in (NORMAL, USER) and model.pieces[i] and "\0" not in model.pieces[i]]
-        self.trie = DoubleArray([model.pieces[i].encode() for i in usable], usable)
+        usable = [i for i, k in enumerate(model.kinds.tolist()) if k in (NORMAL, USER) and model.pieces[i] and "\0" not in model.pieces[i]]
+        self.trie = trie or DoubleArray([model.pieces[i].encode() for i in usable], usable)
         scores = model.scores.astype(np.float64)
         plain = scores[model.kinds == NORMAL]
         for i in np.flatnonzero(model.kinds == USER):
@@ -159,8 +183,16 @@ class Encoder:
         self.splits = not any(SPACE in model.pieces[i].lstrip(SPACE) for i in usable)
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.texts = [b"" if k == CONTROL else bytes([model.bytes_at.index(i)]) if k == BYTE and model.bytes_at else " ⁇ ".encode() if k == UNKNOWN
-                      else p.replace(SPACE, " ").encode() for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True))]
+        self.held = 0
+
+    def sendable(self) -> tuple:
+        """Everything ``received`` needs, in types that a worker without this package can unpickle."""
+        m = self.model
+        return ((m.pieces, m.scores, m.kinds, m.prefix, m.squeeze, m.unknown, m.bytes_at), (self.trie.base, self.trie.check, self.trie.value))
+
+    @classmethod
+    def received(cls, parts: tuple) -> Encoder:
+        return cls(Model(*parts[0]), DoubleArray.of(*parts[1]))
 
     def chunks(self, text: str) -> list[str]:
         if self.model.squeeze:
@@ -184,15 +216,19 @@ class Encoder:
                 if ids is None:
                     new.append(chunk)
                     continue
-                young[chunk] = ids
+                self._keep(chunk, ids)
             here[chunk] = ids
         here.update(zip(new, self._search([c.encode() for c in new]), strict=True))
         for chunk in new:
-            young[chunk] = here[chunk]
-        if len(young) > CACHE:
-            self.cache, self.older = {}, young
+            self._keep(chunk, here[chunk])
+        if self.held > CACHE_BYTES:
+            self.cache, self.older, self.held = {}, young, 0
         return [b"".join(map(here.__getitem__, cs)) for cs in split]
 
+    def _keep(self, chunk: str, ids: bytes) -> None:
+        self.held += ENTRY_BYTES + 2 * len(chunk) + len(ids)
+        self.cache[chunk] = ids
+
     def _search(self, chunks: list[bytes]) -> list[bytes]:
         out: list[bytes] = [b""] * len(chunks)
         sizes = np.array([len(c) for c in chunks])
@@ -269,30 +305,38 @@ class Encoder:
         return out
 
     def _alone(self, chunk: bytes) -> bytes:
-        """The same search for one long chunk."""
+        """The same search for one long chunk: all pieces at the places of a stretch are looked up together, then weighed in order."""
         n = len(chunk)
-        best, begin, piece = np.full(n + 1, -np.inf), [0] * (n + 1), [-1] * (n + 1)
-        best[0] = 0
+        best, begin, piece = [-np.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
         base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
-        s = 0
-        while s < n:
-            lead = chunk[s]
-            long = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            single, state, here = False, 0, best[s]
-            for at in range(s, n):
-                after = int(base[state]) + chunk[at]
-                if check[after] != state:
-                    break
-                state = after
-                found = int(value[state])
-                if found >= 0:
-                    single |= at + 1 - s == long
-                    score = here + scores[found]
-                    if score > best[at + 1]:
-                        best[at + 1], begin[at + 1], piece[at + 1] = score, s, found
-            if not single and here + self.lost > best[s + long]:
-                best[s + long], begin[s + long], piece[s + long] = here + self.lost, s, self.model.unknown
-            s += long
+        text = np.frombuffer(chunk + b"\0", dtype=np.uint8).astype(np.int32)
+        for low in range(0, n, STRETCH):
+            places = low + np.flatnonzero((text[low:min(n, low + STRETCH)] & 0xC0) != 0x80)
+            lead = text[places]
+            long = np.select([lead < 0x80, lead < 0xE0, lead < 0xF0], [1, 2, 3], 4)
+            start, at, state = places, places, np.zeros(len(places), dtype=np.int32)
+            single = np.zeros(n + 1 - low, dtype=bool)
+            size = np.zeros(n + 1 - low, dtype=np.int32)
+            size[places - low] = long
+            parts = []
+            while len(start):  # no piece holds the zero byte behind the end
+                after = base.take(state) + text.take(at)
+                ok = check.take(after) == state
+                start, at, state = start[ok], at[ok] + 1, after[ok]
+                found = value.take(state)
+                hit = found >= 0
+                parts.append((start[hit], at[hit], found[hit]))
+                single[start[hit & (at - start == size[start - low])] - low] = True
+            lost = ~single[places - low]  # no piece is this one character: it may stay unknown
+            parts.append((places[lost], (places + long)[lost], np.full(int(lost.sum()), self.model.unknown)))
+            begins, ends, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+            points = np.where(ids == self.model.unknown, self.lost, scores.take(ids))
+            order = np.lexsort((ends, begins))
+            for s, e, i, p in zip(begins[order].tolist(), ends[order].tolist(), ids[order].tolist(), points[order].tolist(), strict=True):
+                score = best[s] + p
+                if score > best[e]:
+                    best[e], begin[e], piece[e] = score, s, i
         return self._ids(chunk, begin, piece)
 
     def _ids(self, chunk: bytes, begin: list[int], piece: list[int]) -> bytes:
@@ -307,43 +351,46 @@ class Encoder:
         ids.reverse()
         return np.array(ids, dtype="<i4").tobytes()
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.model.prefix and text[:1] == " " else text
-
 
-def encode(docs: DataFrame, model_path: str = MODEL_PATH, text: str = "text", name: str = "tokens") -> DataFrame:
+def encode(docs: DataFrame, model_path: str = MODEL_PATH, text: str = "text", name: str = "tokens", decodes: str | None = None) -> DataFrame:
     """``docs`` and column ``name``: the ids (array<int>) of each text's most probable segmentation.
 
     Each text gets the segmentation with the greatest sum of piece scores, as in unigram models; of equal sums the one
     whose last piece is longest. Spaces become whitespace markers, with one in front; characters without a piece are
-    spelled by byte pieces, or are unknown where the model has none. Texts are searched whole. Null and empty texts have
-    no ids. The model file is read by the driver and at most MODEL_BYTES are sent to executors. Other columns are
-    unchanged, repeated rows get equal ids, an empty table gives no rows.
+    spelled by byte pieces, or are unknown where the model has none. Texts are searched whole, however long, with or without
+    spaces. Null and empty texts have no ids. The model file is read by the driver and at most MODEL_BYTES are sent to executors,
+    with its trie. Other columns are unchanged, repeated rows get equal ids, an empty table gives no rows. With ``decodes``, a
+    boolean column of that name says whether decoding the ids gives the text again (null counting as empty, markers as spaces).
     """
-    model = docs.sparkSession.sparkContext.broadcast(Model.read(model_path))
+    model = docs.sparkSession.sparkContext.broadcast(Encoder(Model.read(model_path)).sendable())
+    added = [StructField(name, ArrayType(IntegerType())), *([StructField(decodes, BooleanType())] if decodes else [])]
 
     def run(batches):
-        encoder = Encoder(model.value)
+        encoder = Encoder.received(model.value)
         for part in slices(batches, text):
-            ids = encoder.encode(part.column(text).to_pylist())
+            texts = part.column(text).to_pylist()
+            ids = encoder.encode(texts)
             ends = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), flat)], names=[*part.schema.names, name])
+            columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))]
+            if decodes:
+                columns.append(pa.array([encoder.decode(np.frombuffer(i, dtype="<i4").tolist()) == round_trip(t or "") for t, i in zip(texts, ids, strict=True)]))
+            yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *(f.name for f in added)])
 
-    return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField(name, ArrayType(IntegerType()))]))
+    return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, *added]))
 
 
 def decode(rows: DataFrame, model_path: str = MODEL_PATH, tokens: str = "tokens", name: str = "decoded") -> DataFrame:
     """``rows`` and column ``name``: the text of the ids (null: empty). Whitespace markers become spaces, without the one in
     front; byte pieces are put together as UTF-8, replacing what is not. Ids outside the vocabulary raise IndexError."""
-    model = rows.sparkSession.sparkContext.broadcast(Model.read(model_path))
+    made = Decoder(Model.read(model_path))
+    pieces = rows.sparkSession.sparkContext.broadcast((made.texts, made.prefix))
 
     def run(batches):
-        encoder = Encoder(model.value)
+        decoder = Decoder.__new__(Decoder)
+        decoder.texts, decoder.prefix = pieces.value
         for batch in batches:
             column = batch.column(tokens)
-            texts = pa.array([encoder.decode(ids.values.to_pylist() if ids.is_valid else []) for ids in column], pa.string())
+            texts = pa.array([decoder.decode(ids.values.to_pylist() if ids.is_valid else []) for ids in column], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, name])
 
     return small_batches(rows).mapInArrow(run, StructType([*rows.schema.fields, StructField(name, StringType())]))

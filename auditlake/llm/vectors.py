@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from auditlake.llm.common import components, small_side
+from auditlake.llm.common import Sent, components, small_side
 from auditlake.session import materialize
 
 #: Vectors the model is fitted on at most; it holds at most MAX_LISTS centroids. Both bound what is collected and broadcast.
@@ -250,7 +250,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, sample: int = SAMPL
     model = Models([Quantiser(np.stack(part or [np.eye(1, d)[0]]), lists[d], radius) for d, part in samples.items()])
     # single-precision components travel as such and are exact in double precision, too
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
-    shared = vectors.sparkSession.sparkContext.broadcast(model)
+    shared = Sent(vectors.sparkSession, model)
 
     def assign(batches):
         for batch in batches:

@@ -103,3 +103,61 @@ def test_tables(spark, tools):
     for r in out.collect():
         assert r.decoded == (r.text or "") and list(r.tokens) == np.frombuffer(encoder.encode([r.text])[0], "<i4").tolist()
     assert encode(df.limit(0)).count() == 0 and decode(encode(df.limit(0))).count() == 0
+
+
+def plain_search(encoder, chunk):
+    """The best segmentation, place by place, with the pieces in a dict."""
+    model = encoder.model
+    pieces = {p.encode(): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k == 1}
+    best = [(0.0, 0, None)] + [(-np.inf, 0, None)] * len(chunk)
+    text, s = chunk.decode(), 0
+    for char in text:
+        size = len(char.encode())
+        steps = [(e, pieces[chunk[s:e]]) for e in range(s + 1, min(len(chunk), s + 60) + 1) if chunk[s:e] in pieces]
+        if all(e != s + size for e, _ in steps):
+            steps.append((s + size, None))
+        for e, i in steps:
+            score = best[s][0] + (encoder.lost if i is None else encoder.scores[i])
+            if score > best[e][0]:
+                best[e] = score, s, i
+        s += size
+    out, at = [], len(chunk)
+    while at:
+        _, s, i = best[at]
+        out = ([i] if i is not None else [model.bytes_at[b] for b in chunk[s:at]]) + out
+        at = s
+    return out
+
+
+def test_a_long_chunk_without_spaces(tools, monkeypatch):
+    """A megabyte without a space, searched in stretches, equals the library's best; short stretches cut nothing."""
+    encoder, library = tools
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choices("etaoinshrdluETAOIN0123+/", k=1_000_000)), "".join(rnd.choices("日本語文字列ab", k=50_000)), "é" * 20_000, "\u2581" * 3000]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert encoder.decode(np.frombuffer(ids, "<i4").tolist()) == round_trip(text)
+    short = "".join(rnd.choices("etaoinshrdlu日é+/", k=2000)).encode()
+    want = encoder._alone(short)
+    assert np.frombuffer(want, "<i4").tolist() == plain_search(encoder, short)
+    monkeypatch.setattr("auditlake.llm.unigram.STRETCH", 7)
+    assert encoder._alone(short) == want
+
+
+def test_a_small_cache_gives_the_same(tools, monkeypatch):
+    encoder, _ = tools
+    want = encoder.encode(samples())
+    monkeypatch.setattr("auditlake.llm.unigram.CACHE_BYTES", 3000)
+    fresh = Encoder(encoder.model, encoder.trie)
+    assert [i for k in range(0, len(samples()), 20) for i in fresh.encode(samples()[k:k + 20])] == want and len(fresh.cache) < 1000
+
+
+def test_decoding_is_checked_in_the_same_pass(spark):
+    rows = [(i, t) for i, t in enumerate(samples())] + [(None, None)]
+    out = encode(spark.createDataFrame(rows, "doc_id long, text string"), decodes="same")
+    assert out.columns == ["doc_id", "text", "tokens", "same"] and out.where("same").count() == len(rows)
+    assert [r.decoded for r in decode(out).collect()] == [round_trip(r.text or "") for r in out.collect()]
+
+
+def test_ids_outside_the_vocabulary(tools):
+    with pytest.raises(IndexError):
+        tools[0].decode([10**9])
