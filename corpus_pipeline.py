@@ -36,9 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, tokens, n_tokens, and whether the tokens decode to the text."""
-    out = unigram.decode(unigram.encode(docs.select("doc_id", "source", "text")))
-    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(unigram.SPACE), F.lit(" "))
-    return out.select("doc_id", "source", "tokens", F.size("tokens").cast("long").alias("n_tokens"), same.alias("decodes"))
+    out = unigram.encode(docs.select("doc_id", "source", "text"), decodes="decodes")
+    return out.select("doc_id", "source", "tokens", F.size("tokens").cast("long").alias("n_tokens"), "decodes")
 
 
 STAGES: list[tuple[str, Stage]] = [
