@@ -49,12 +49,16 @@ def exclude_regex(pattern: str) -> str | None:
     return "|".join(branches)
 
 
+def exclude_pattern(patterns) -> str | None:
+    """One expression for all exclude patterns; None when they match nothing."""
+    parts = [rx for rx in (exclude_regex(p) for p in patterns) if rx]
+    return r"\A(?:" + "|".join(parts) + r")\z" if parts else None
+
+
 def is_excluded(path: Column, patterns) -> Column:
     """True where ``path`` matches any exclude pattern (one literal expression for all)."""
-    parts = [rx for rx in (exclude_regex(p) for p in patterns) if rx]
-    if not parts:
-        return F.lit(False)
-    return posix(path).rlike(r"\A(?:" + "|".join(parts) + r")\z")
+    whole = exclude_pattern(patterns)
+    return F.lit(False) if whole is None else posix(path).rlike(whole)
 
 
 def shell_translator():

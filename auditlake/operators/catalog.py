@@ -431,6 +431,11 @@ def catalog(spark: SparkSession, custom_rules=()) -> DataFrame:
     return spark.createDataFrame(_entries(custom_rules), CATALOG_SCHEMA)
 
 
+def builtin_size() -> int:
+    """Number of built-in rules; custom ones report after them."""
+    return len(_entries())
+
+
 def list_rules(spark: SparkSession, custom_rules=()) -> DataFrame:
     return (catalog(spark, custom_rules).select("rule_id", "severity", "title")
             .orderBy("rule_id", "title"))

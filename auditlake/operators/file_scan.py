@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from auditlake.functions.masking import mask_assignment_sql
 from auditlake.functions.text import UNICODE, UNICODE_NOCASE, any_of, ext_of, sql_list, sql_text, strip
 from auditlake.operators import secrets, state_rules
-from auditlake.operators.catalog import DOCKER, FILE_RULES, LINE_RULES, YAML, catalog
+from auditlake.operators.catalog import DOCKER, FILE_RULES, LINE_RULES, YAML, builtin_size, catalog
 from auditlake.operators.inline_ignore import is_ignored
 from auditlake.operators.lines import with_logical_lines
+from auditlake.operators.settings import ROW, RepoSettings
 from auditlake.options import ScanOptions
 
 HIT = "array<struct<rule_id:string,line:int,shown:string,message:string,scanner:string>>"
@@ -63,11 +64,11 @@ def _file_rule_hits(rule) -> str:
             f"array({_hit(rule.rule_id, '0', sql_text(''), 'code')}), {NONE})")
 
 
-def _custom_rule_hits(rule) -> str:
+def _custom_rule_hits(place: int, rule) -> str:
     gate = "true" if rule.extensions is None else f"ext in {sql_list(rule.extensions)}"
     fires = f"l.text rlike {sql_text(UNICODE + rule.pattern)}"
     return (f"if({gate}, transform(filter(physical, l -> {fires}), "
-            f"l -> {_hit(rule.id, 'l.line', 'l.text', 'custom')}), {NONE})")
+            f"l -> {_hit(rule.id, 'l.line', 'l.text', f'custom:{place}')}), {NONE})")
 
 
 def _secret_hits(rules, allow) -> str:
@@ -85,21 +86,23 @@ def _state_rule_hits(rule_id: str, exts, wanted: Column, hits: Column) -> Column
     ).otherwise(F.expr(NONE))
 
 
-def scan_files(files: DataFrame, options: ScanOptions | None = None, *,
+def scan_files(files: DataFrame, options: ScanOptions | RepoSettings | None = None, *,
                line_rules=LINE_RULES, file_rules=FILE_RULES, state_rules_on: bool = True,
                secret_rules=secrets.SECRET_RULES) -> DataFrame:
     """Findings of all per-file rules, with ``ignored`` marking inline-suppressed ones.
 
     ``files`` needs repo, path and text and is taken as already selected (see
-    ``sources.files.discover``).
+    ``sources.files.discover``). With settings per repository, each file is scanned by those of its own.
     """
     options = options or ScanOptions()
-    allow = [a for a in options.allow_secrets if a]
+    own = isinstance(options, RepoSettings)
+    allow = f"{ROW}.allow" if own else [a for a in options.allow_secrets if a]
+    if own:
+        files = options.attach(files)
     if len(line_rules) > 63:
         raise ValueError("a rule mask holds 63 line rules")
 
-    marker = options.ignore_marker.lower()
-    seen = files.select("repo", "path", "text").withColumns({
+    seen = files.select("repo", "path", "text", *([ROW] if own else [])).withColumns({
         "ext": ext_of(F.col("path")), "_low": F.lower("text"),
         "_folds_odd": any_of([F.contains(F.col("text"), F.lit(c)) for c in _FOLDING])})
     # Lock files are for the secret rules only.
@@ -119,39 +122,59 @@ def scan_files(files: DataFrame, options: ScanOptions | None = None, *,
         code.append(_state_rule_hits(
             "SEC070", DOCKER, F.contains(F.col("_low"), F.lit("from")) | F.col("_folds_odd"),
             state_rules.untagged_image_hits(F.col("physical"))))
-    code += [F.expr(_custom_rule_hits(r)) for r in options.custom_rules]
+    if own:
+        code += options.custom_hits(_hit, NONE)
+    else:
+        code += [F.expr(_custom_rule_hits(i, r)) for i, r in enumerate(options.custom_rules)]
     groups = [F.expr(_secret_hits(secret_rules, allow))] if secret_rules else []
     if code:
         groups.append(F.when(F.expr(is_lock), F.expr(NONE)).otherwise(F.concat(*code)))
     hits = lined.withColumn("_hits", F.concat(*groups) if groups else F.expr(NONE))
 
-    if options.inline_suppressions:
+    # what the findings still need of their repository's settings
+    kept = ["repo", "path", *([F.col(f"{ROW}.allow").alias("allow"), F.col(f"{ROW}.rule_keys").alias("rule_keys")] if own else [])]
+    names = ["repo", "path", *(["allow", "rule_keys"] if own else [])]
+    if own or options.inline_suppressions:
+        if own:
+            marker = F.col(f"{ROW}.marker")
+            marked = F.col(f"{ROW}.inline") & (F.contains(F.col("_low"), F.col(f"{ROW}.word")) | F.col("_folds_odd"))
+        else:
+            marker = options.ignore_marker.lower()
+            marked = F.contains(F.col("_low"), F.lit(marker)) | F.col("_folds_odd")
         text_at = lambda n: F.get(F.col("physical")["text"], n)
         ignored = lambda h: F.when(h["line"] > 0, is_ignored(
             h["rule_id"], text_at(h["line"] - 1), text_at(h["line"] - 2), marker)).otherwise(False)
         never = F.transform("_hits", lambda h: F.lit(False))
-        flags = F.when(F.contains(F.col("_low"), F.lit(marker)) | F.col("_folds_odd"),
-                       F.transform("_hits", ignored)).otherwise(never)
+        flags = F.when(marked, F.transform("_hits", ignored)).otherwise(never)
         rows = (hits.withColumn("_ignored", flags)
-                .select("repo", "path", F.explode_outer(F.arrays_zip("_hits", "_ignored")).alias("h"))
-                .select("repo", "path", F.col("h._hits.*"), F.col("h._ignored").alias("ignored")))
+                .select(*kept, F.explode_outer(F.arrays_zip("_hits", "_ignored")).alias("h"))
+                .select(*names, F.col("h._hits.*"), F.col("h._ignored").alias("ignored")))
     else:
-        rows = hits.select("repo", "path", F.inline_outer("_hits")).withColumn("ignored", F.lit(False))
+        rows = hits.select(*kept, F.inline_outer("_hits")).withColumn("ignored", F.lit(False))
     # The outer form on purpose: for the plain one Spark infers a "not empty" filter and pushes
     # it, with the whole hit expression inside, below every step above. The empty rows go here.
-    return _describe(rows.where(F.col("rule_id").isNotNull()), options, allow)
+    return _describe(rows.where(F.col("rule_id").isNotNull()), options, "allow" if own else allow)
 
 
-def _describe(rows: DataFrame, options: ScanOptions, allow) -> DataFrame:
+def _describe(rows: DataFrame, options: ScanOptions | RepoSettings, allow) -> DataFrame:
     """Attach the rule metadata and finish message and evidence."""
-    # The catalog has one row per rule: its size is fixed by the code and the options.
-    rules = catalog(rows.sparkSession, options.custom_rules).select(
-        "rule_id", "title", "sev", "severity", "cwe", "confidence", "fix", "scan_seq",
-        F.col("message").alias("fixed_message"),
-        F.when(F.col("kind") == "custom", "custom").otherwise("builtin").alias("origin"))
-    joined = rows.withColumn(
-        "origin", F.when(F.col("scanner") == "custom", "custom").otherwise("builtin")
-    ).join(F.broadcast(rules), ["rule_id", "origin"])
+    # The catalog has one row per rule: its size is fixed by the code and the options. Custom rules are told apart by
+    # their place or key, since several may share an id.
+    own = isinstance(options, RepoSettings)
+    size = builtin_size()
+    described = ["title", "sev", "severity", "cwe", "confidence", "fix", "scan_seq", F.col("message").alias("fixed_message")]
+    rules = catalog(rows.sparkSession, () if own else options.custom_rules).select(
+        F.when(F.col("kind") == "custom", F.concat(F.lit("custom:"), (F.col("scan_seq") - size).cast("string")))
+        .otherwise(F.concat(F.lit("builtin:"), "rule_id")).alias("rule_key"), *described)
+    custom = F.col("scanner").startswith("custom:")
+    keyed = rows.withColumn("rule_key", F.when(custom, F.col("scanner")).otherwise(F.concat(F.lit("builtin:"), "rule_id")))
+    if own:
+        place = F.array_position("rule_keys", F.substr(F.col("scanner"), F.lit(8))).cast("int") - 1
+        joined = keyed.join(options.all_rules(rules, size), "rule_key").withColumn(
+            "scan_seq", F.when(custom, F.col("scan_seq") + place).otherwise(F.col("scan_seq")))
+    else:
+        joined = keyed.join(F.broadcast(rules), "rule_key")
+    joined = joined.withColumn("scanner", F.when(custom, "custom").otherwise(F.col("scanner")))
     # one step each: what is used several times must be a column, not an expression
     joined = joined.withColumn("whole", strip(F.col("shown"))).withColumn("shown", F.substring(F.when(
         F.col("rule_id").isin(*MASKED_RULES), F.expr(mask_assignment_sql("whole"))).otherwise(F.col("whole")),
@@ -163,8 +186,8 @@ def _describe(rows: DataFrame, options: ScanOptions, allow) -> DataFrame:
     out = joined.select(
         "repo", "rule_id", "title", "sev", "severity", message.alias("message"), "path", "line",
         F.col("shown").alias("evidence"), "fix", "cwe", "confidence", "scanner",
-        F.col("scan_seq").cast("int").alias("scan_seq"), "ignored")
-    if allow:
+        F.col("scan_seq").cast("int").alias("scan_seq"), "ignored", *(["allow"] if own else []))
+    if own or allow:
         out = out.where(~((F.col("scanner") == "secrets") & secrets.allowed_after_redaction(
             F.col("evidence"), F.col("message"), allow)))
-    return out
+    return out.drop("allow") if own else out

@@ -56,6 +56,12 @@ def gate(findings: DataFrame, fail_on: str, repos: DataFrame | None = None) -> D
     return out
 
 
+def gate_by_level(findings: DataFrame, levels: DataFrame) -> DataFrame:
+    """``gate`` with a least severity per repository: ``levels`` has repo and gate, null where nothing fails."""
+    worst = findings.where(F.col("sev") > 0).groupBy("repo").agg(F.max("sev").alias("worst"))
+    return levels.join(worst, "repo", "left").select("repo", F.coalesce(F.col("worst") >= F.col("gate"), F.lit(False)).alias("failed"))
+
+
 def by_rule(findings: DataFrame) -> DataFrame:
     return findings.groupBy("repo", "rule_id").agg(F.count(F.lit(1)).alias("findings"))
 

@@ -129,7 +129,10 @@ def matches_sql(line: str, ext: str, rules=SECRET_RULES, allow=()) -> str:
 
 def _plausible(value: str, rule: SecretRule, allow) -> str:
     parts = [f"{value} <> ''", f"not {is_placeholder_sql(value)}"]
-    parts += [f"not contains(lower({value}), {sql_text(a.lower())})" for a in allow if a]
+    if isinstance(allow, str):   # a column with the row's own list, in lower case
+        parts.append(f"not exists({allow}, a -> contains(lower({value}), a))")
+    else:
+        parts += [f"not contains(lower({value}), {sql_text(a.lower())})" for a in allow if a]
     if rule.entropy:
         # CASE keeps the entropy off values that already failed
         return f"case when {' and '.join(parts)} then {entropy_sql(value)} >= {ENTROPY_FLOOR}D else false end"
@@ -138,5 +141,7 @@ def _plausible(value: str, rule: SecretRule, allow) -> str:
 
 def allowed_after_redaction(evidence: Column, message: Column, allow) -> Column:
     """The second allow-list pass, over what the finding shows."""
+    if isinstance(allow, str):
+        return F.exists(allow, lambda a: F.contains(F.lower(evidence), a) | F.contains(F.lower(message), a))
     return any_of([F.contains(F.lower(c), F.lit(a.lower()))
                    for a in allow if a for c in (evidence, message)])

@@ -296,7 +296,7 @@ def custom_rules(spark, sf_dir):
 # ---------------------------------------------------------------- inline suppression
 
 _MARK = r"(?i)\baudit-ignore(-next-line)?(?:\s+([A-Za-z0-9_*,]+(?:\s*,\s*[A-Za-z0-9_*]+)*))?"
-_INLINE_SQL = rf"""marks AS (
+MARKS_SQL = rf"""marks AS (
   SELECT repo, path, line + CASE WHEN following <> '' THEN 1 ELSE 0 END AS line,
     CASE WHEN len(list_filter(toks, lambda t: t <> '*')) = 0 THEN ['*']
       ELSE list_transform(list_filter(toks, lambda t: regexp_matches(t, '^[A-Za-z]{{2,10}}\d{{2,5}}$')), lambda t: upper(t)) END AS ids
@@ -305,7 +305,8 @@ _INLINE_SQL = rf"""marks AS (
     FROM (SELECT repo, path, line, substr(text, least(
         CASE WHEN instr(text, '#') = 0 THEN 1000000000 ELSE instr(text, '#') END,
         CASE WHEN instr(text, '//') = 0 THEN 1000000000 ELSE instr(text, '//') END)) AS tail
-      FROM phys WHERE regexp_matches(text, '(?i)audit-ignore')) WHERE regexp_matches(tail, {sql.q(_MARK)}))),
+      FROM phys WHERE regexp_matches(text, '(?i)audit-ignore')) WHERE regexp_matches(tail, {sql.q(_MARK)})))"""
+_INLINE_SQL = f"""{MARKS_SQL},
 all_hits AS (SELECT repo, rule_id, path, line, ext FROM hits UNION ALL SELECT repo, rule_id, path, line, ext FROM secret_values)"""
 
 

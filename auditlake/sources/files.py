@@ -9,6 +9,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from auditlake.functions.globs import is_excluded
 from auditlake.functions.text import basename, decode_utf8, is_dockerfile, suffix
 from auditlake.operators.catalog import SCANNED_EXTENSIONS, SCANNED_NAMES
+from auditlake.operators.settings import RepoSettings
 from auditlake.options import ScanOptions
 
 
@@ -125,37 +126,50 @@ def staged(changed_files: DataFrame) -> DataFrame:
     return changed_files.where("kind = 'staged'").select("repo", "path").distinct()
 
 
+def _leaves_out(options: ScanOptions | RepoSettings) -> tuple[Column, Column]:
+    """Whether a file is excluded, and whether it is too big, by the options of all or the settings of its row."""
+    if isinstance(options, RepoSettings):
+        return options.is_excluded(F.col("path")), options.too_big()
+    return is_excluded(F.col("path"), options.excludes), _too_big(options)
+
+
 def _too_big(options: ScanOptions) -> Column:
     return F.lit(False) if options.max_file_bytes is None else F.col("size_bytes") > options.max_file_bytes
 
 
-def discover(files: DataFrame, options: ScanOptions | None = None,
+def discover(files: DataFrame, options: ScanOptions | RepoSettings | None = None,
              only: DataFrame | None = None) -> DataFrame:
     """Files a scan reads. A restricted list replaces the extension filter.
 
-    All conditions are on path and size, so they run before the text column is touched.
+    All conditions are on path and size, so they run before the text column is touched. With settings per repository, rows
+    keep them in a column for the scan.
     """
     options = options or ScanOptions()
-    fits = ~is_excluded(F.col("path"), options.excludes) & ~_too_big(options)
+    if isinstance(options, RepoSettings):
+        files = options.attach(files)
+    excluded, too_big = _leaves_out(options)
+    fits = ~excluded & ~too_big
     if only is None:
         return files.where(fits & is_scannable(F.col("path")))
     listed = only.select("repo", "path").distinct()
     return files.where(fits & ~escapes_root(F.col("path"))).join(listed, ["repo", "path"], "left_semi")
 
 
-def discovery_stats(files: DataFrame, options: ScanOptions | None = None,
+def discovery_stats(files: DataFrame, options: ScanOptions | RepoSettings | None = None,
                     only: DataFrame | None = None) -> DataFrame:
     """files_scanned and files_skipped per repository, from paths and sizes alone."""
     options = options or ScanOptions()
-    excluded = is_excluded(F.col("path"), options.excludes)
-    too_big = _too_big(options)
+    files = files.select("repo", "path", "size_bytes")
+    if isinstance(options, RepoSettings):
+        files = options.attach(files)
+    excluded, too_big = _leaves_out(options)
     if only is None:
         known = is_scannable(F.col("path"))
         return files.groupBy("repo").agg(
             F.count_if(~excluded & known & ~too_big).alias("files_scanned"),
             F.count_if(excluded | (known & too_big)).alias("files_skipped"))
     listed = only.select("repo", "path").distinct()
-    present = files.select("repo", "path", "size_bytes", F.lit(True).alias("present"))
+    present = files.withColumn("present", F.lit(True))
     usable = F.coalesce("present", F.lit(False)) & ~excluded & ~too_big & ~escapes_root(F.col("path"))
     counted = (listed.join(present, ["repo", "path"], "left")
                .withColumn("ok", F.coalesce(usable, F.lit(False)))
