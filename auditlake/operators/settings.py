@@ -11,11 +11,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import sys
 from dataclasses import asdict
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,7 +116,6 @@ class RepoSettings:
     """
 
     def __init__(self, table: DataFrame, literals: int = LITERALS):
-        cloudpickle.register_pickle_by_value(sys.modules["auditlake"])   # workers may lack the package
         spark = self.spark = table.sparkSession
         given = table.where("repo is not null").groupBy("repo").agg(F.min("settings").alias("settings"), F.count_distinct("settings").alias("n"))
         by_repo = materialize(given.select("repo", "settings", "n", F.coalesce(F.sha1("settings"), F.lit(DEFAULT)).alias("setting")), "repo-settings")

@@ -4,32 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from auditlake.functions.globs import is_excluded
 from auditlake.functions.text import basename, decode_utf8, is_dockerfile, suffix
 from auditlake.operators.catalog import SCANNED_EXTENSIONS, SCANNED_NAMES
+from auditlake.operators.dependencies import is_manifest
 from auditlake.operators.settings import RepoSettings
 from auditlake.options import ScanOptions
+from auditlake.sources.tree import TASK_BYTES, list_tree, read_contents
 
 
 def read_tree(spark: SparkSession, root: str, repo: str | None = None, tracked: DataFrame | None = None,
-              parallelism: int | None = None) -> DataFrame:
+              parallelism: int | None = None, options: ScanOptions | RepoSettings | None = None, prune: bool = False,
+              task_bytes: int = TASK_BYTES) -> DataFrame:
     """A directory tree, hidden files included, as a files table.
 
     ``root`` is a path or a URI that pyarrow opens, in a place all executors reach. With ``repo=None`` the first directory
     below it names the repository. ``tracked`` lists the (repo, path) pairs under version control; where it has none of a
     repository, or is not given, ``tracked`` is null: unknown, which the checks of tracked files report as skipped.
+
+    Tasks list the tree first, then read files in portions of about ``task_bytes``. With ``options`` only files that a scan with
+    them reads are opened: those it discovers, manifests and ignore files at a repository's root. All others keep their row, with
+    size and null text, so that checks of names and sizes and the count of skipped files stay complete. ``prune`` also leaves
+    directories unlisted that the excludes of ``options`` leave out as a whole; files below them have no row.
     """
-    spark.dataSource.register(TreeSource)
-    chunks = parallelism or 4 * spark.sparkContext.defaultParallelism
-    rows = spark.read.format("auditlake_tree").option("chunks", chunks).load(root)
+    if prune and not isinstance(options, ScanOptions):
+        raise ValueError("prune needs options that hold for all repositories")
+    listed = list_tree(spark, root, options.excludes if prune else (), repo is None, parallelism)
     if repo is None:
-        rows = rows.where(F.instr("rel", "/") > 0).select(
-            F.substring_index("rel", "/", 1).alias("repo"), F.substr("rel", F.instr("rel", "/") + 1).alias("path"), "size_bytes", "content")
+        rows = listed.where(F.instr("rel", "/") > 0).select(
+            "rel", F.substring_index("rel", "/", 1).alias("repo"), F.substr("rel", F.instr("rel", "/") + 1).alias("path"), "size_bytes")
     else:
-        rows = rows.select(F.lit(repo).alias("repo"), F.col("rel").alias("path"), "size_bytes", "content")
-    rows = rows.withColumn("text", decode_utf8(F.col("content"))).drop("content")
+        rows = listed.select("rel", F.lit(repo).alias("repo"), F.col("rel").alias("path"), "size_bytes")
+    wanted, path = F.lit(True), F.col("path")
+    if options is not None:
+        if isinstance(options, RepoSettings):
+            rows = options.attach(rows)
+        excluded, too_big = _leaves_out(options)
+        wanted = (~excluded & ~too_big & is_scannable(path)) | is_manifest(path) | path.isin(".gitignore", ".dockerignore")
+    rows = rows.withColumn("opened", wanted).select("rel", "repo", "path", "size_bytes", "opened")
+    rows = read_contents(rows, root, F.col("opened"), task_bytes).withColumn("text", decode_utf8(F.col("content"))).drop("rel", "opened", "content")
     if tracked is None:
         return rows.withColumn("tracked", F.lit(None).cast("boolean"))
     listed = tracked.select("repo", "path").distinct().withColumn("listed", F.lit(True))
@@ -38,67 +52,6 @@ def read_tree(spark: SparkSession, root: str, repo: str | None = None, tracked:
             .select("repo", "path", "size_bytes", "text", F.when(F.col("known"), F.coalesce("listed", F.lit(False))).alias("tracked")))
 
 
-class TreeSource(DataSource):
-    """Files below a directory: rel, size_bytes, content. Names starting with a dot or an underscore are files like others,
-    which Spark's own file readers leave out."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "auditlake_tree"
-
-    def schema(self) -> str:
-        return "rel string, size_bytes long, content binary"
-
-    def reader(self, schema) -> DataSourceReader:
-        return TreeReader(self.options["path"], int(self.options.get("chunks", 32)))
-
-
-class TreePart(InputPartition):
-    def __init__(self, entries):
-        super().__init__(entries)
-        self.entries = entries
-
-
-class TreeReader(DataSourceReader):
-    """The driver lists two levels of directories; tasks walk what lies below, and read every file once."""
-
-    def __init__(self, root: str, chunks: int):
-        self.root, self.chunks = root, chunks
-
-    def _open(self):
-        from pyarrow import fs
-
-        if "://" in self.root or self.root.startswith("file:"):
-            system, base = fs.FileSystem.from_uri(self.root)
-        else:
-            system, base = fs.LocalFileSystem(), self.root
-        return system, base.rstrip("/")
-
-    def partitions(self):
-        from pyarrow import fs
-
-        system, base = self._open()
-        entries, level = [], [base]
-        for depth in range(2):
-            found = [i for d in level for i in system.get_file_info(fs.FileSelector(d))]
-            entries += [(i.path, False) for i in found if i.type == fs.FileType.File]
-            level = [i.path for i in found if i.type == fs.FileType.Directory]
-        entries += [(d, True) for d in level]
-        entries.sort()
-        return [TreePart(entries[k::self.chunks]) for k in range(min(self.chunks, len(entries)))] or [TreePart([])]
-
-    def read(self, partition):
-        from pyarrow import fs
-
-        system, base = self._open()
-        for path, is_directory in partition.entries:
-            infos = system.get_file_info(fs.FileSelector(path, recursive=True)) if is_directory else [system.get_file_info(path)]
-            for info in sorted((i for i in infos if i.type == fs.FileType.File), key=lambda i: i.path):
-                with system.open_input_stream(info.path) as stream:
-                    data = stream.read()
-                yield info.path[len(base) + 1:], len(data), data
-
-
 def is_scannable(path: Column) -> Column:
     name = basename(path)
     return (suffix(F.lower(name)).isin(*SCANNED_EXTENSIONS) | is_dockerfile(path)
