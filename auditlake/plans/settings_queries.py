@@ -1,19 +1,22 @@
-"""Queries with settings per repository: which of four settings a source has follows from its name."""
+"""Queries with settings per repository (which of four a source has follows from its name), and of a scan by content."""
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
 from auditlake.operators import score
+from auditlake.operators.content_cache import ContentCache
 from auditlake.operators.file_scan import scan_files
 from auditlake.operators.settings import RepoSettings
-from auditlake.options import CustomRule
+from auditlake.options import CustomRule, ScanOptions
 from auditlake.plans import corpus
 from auditlake.plans import oracle_sql as sql
 from auditlake.plans.file_queries import EXCLUDED_SQL, MARKS_SQL, SCANNABLE_SQL
 from auditlake.plans.registry import query
+from auditlake.session import shared_dir
 from auditlake.sources.files import discover
 
 # Two repositories use one id for different rules; the third one's first pattern cannot be compiled.
@@ -84,3 +87,15 @@ SELECT repo, 'setting ''colour'' is not known' AS note FROM r WHERE s = 2
 UNION ALL SELECT repo, 'custom rule OWN002 left out: it has a pattern the engine rejects' FROM r WHERE s = 3""")
 def setting_notes(spark, sf_dir):
     return _settings(spark, sf_dir).notes
+
+
+@query("rescan_unchanged", f"""WITH {sql.FILES}, {sql.phys()}, {sql.secret_values('phys')}
+SELECT repo, rule_id, 'moved/' || path AS path, line, title || ': ' || {sql.redact('v')} AS message, 0::BIGINT AS texts_scanned FROM secret_values""")
+def rescan_unchanged(spark, sf_dir):
+    """All files are scanned, then moved and scanned again: the second scan reads its findings from the first."""
+    cache = ContentCache(spark, f"{shared_dir(spark)}/auditlake/contents-{uuid.uuid4().hex}")
+    files = corpus.files(spark, sf_dir)
+    options, secrets_only = ScanOptions(inline_suppressions=False), {"line_rules": (), "file_rules": (), "state_rules_on": False}
+    cache.scan(files, options, **secrets_only)
+    again = cache.scan(files.withColumn("path", F.concat(F.lit("moved/"), "path")), options, **secrets_only)
+    return again.select("repo", "rule_id", "path", "line", "message", F.lit(cache.scanned).cast("long").alias("texts_scanned"))
