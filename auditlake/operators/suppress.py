@@ -1,11 +1,11 @@
 """Configured suppressions and baselines: equi joins on exact keys.
 
-A suppression concerns (repo, rule, path) only, so it is matched against the distinct triples of the findings table, and
-always by equality on the repository: a suppression for every repository is spelled out for each repository that has
-findings. Suppressions without a path join on (repo, rule). Exact paths and directories join on every parent of the path.
-Shell patterns join on their literal leading directory as well and only then compare text. So a suppression never meets a
-finding of another repository, and what a join makes is bounded by the matches of a triple. No side is force-broadcast and
-nothing is salted: joins that one key makes large are split by adaptive execution.
+A suppression concerns (repo, rule, path) only, so it is matched against the distinct triples of the findings table, by
+equality on the repository it names. A suppression for every repository is matched once against the distinct (rule, path)
+pairs of all repositories, whatever their number, and the pairs it covers select the triples. Suppressions without a path
+join on the rule. Exact paths and directories join on every parent of the path. Shell patterns join on their literal leading
+directory as well and only then compare text. What a join makes is bounded by the matches of a triple or pair. No side is
+force-broadcast and nothing is salted: joins that one key makes large are split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -54,30 +54,29 @@ def matched_targets(findings: DataFrame, suppressions: DataFrame,
         F.col("repo").alias("s_repo"), F.coalesce("rule_id", F.lit("*")).alias("rule_key"),
         posix(F.coalesce("path", F.lit(""))).alias("s_path")).distinct()
     targets = findings.select(*TARGET).distinct()
-    repos = targets.select("repo").distinct()
-    rules = (rules.where("s_repo is not null").withColumnRenamed("s_repo", "repo")
-             .unionByName(_everywhere(rules, repos)))
+    own = _covered(targets, rules.where("s_repo is not null").withColumnRenamed("s_repo", "repo"), ["repo"])
+    shared = _covered(targets.select("rule_id", "path").distinct(), rules.where("s_repo is null"), [])
+    return own.unionByName(targets.join(shared, ["rule_id", "path"], "left_semi")).distinct()
+
+
+def _covered(targets: DataFrame, rules: DataFrame, scope: list[str]) -> DataFrame:
+    """The targets that a rule of their ``scope`` covers, by equality on the scope, the rule and a piece of the path."""
+    columns = targets.columns
     keyed = targets.withColumn("rule_key", F.explode(F.array_distinct(F.array(F.lit("*"), "rule_id"))))
     slashed = posix(F.col("path"))
 
-    whole = keyed.join(rules.where("s_path = ''"), ["repo", "rule_key"], "left_semi")
+    whole = keyed.join(rules.where("s_path = ''"), [*scope, "rule_key"], "left_semi")
     # an exact path and a directory may look alike, so each row says which one it is
-    plain = rules.where("s_path <> ''").select("repo", "rule_key", F.explode(F.array(
+    plain = rules.where("s_path <> ''").select(*scope, "rule_key", F.explode(F.array(
         F.concat(F.lit("f:"), "s_path"), F.concat(F.lit("d:"), F.rtrim("s_path", F.lit("/"))))).alias("path_key")).distinct()
     paths = keyed.withColumn("path_key", F.explode(F.concat(
         F.array(F.concat(F.lit("f:"), slashed)), F.transform(_parents(slashed), lambda p: F.concat(F.lit("d:"), p)))))
-    by_key = paths.join(plain, ["repo", "rule_key", "path_key"], "left_semi")
+    by_key = paths.join(plain, [*scope, "rule_key", "path_key"], "left_semi")
     patterns = rules.where(F.col("s_path").rlike(r"[*?\[]")).select(
-        "repo", "rule_key", F.rtrim(_literal_directory(F.col("s_path")), F.lit("/")).alias("under"), shell_regex_column("s_path").alias("rx"))
-    by_pattern = (keyed.withColumn("under", F.explode(_parents(slashed))).join(patterns, ["repo", "rule_key", "under"])
+        *scope, "rule_key", F.rtrim(_literal_directory(F.col("s_path")), F.lit("/")).alias("under"), shell_regex_column("s_path").alias("rx"))
+    by_pattern = (keyed.withColumn("under", F.explode(_parents(slashed))).join(patterns, [*scope, "rule_key", "under"])
                   .where(F.expr("replace(path, '\\\\', '/') rlike rx")))
-    return (whole.select(*TARGET).unionByName(by_key.select(*TARGET)).unionByName(by_pattern.select(*TARGET))).distinct()
-
-
-def _everywhere(rules: DataFrame, repos: DataFrame) -> DataFrame:
-    """Suppressions for every repository, once per repository with findings (joined on a constant: that many rows are meant)."""
-    shared = rules.where("s_repo is null").select(F.lit(1).alias("_all"), "rule_key", "s_path")
-    return repos.withColumn("_all", F.lit(1)).join(shared, "_all").select("repo", "rule_key", "s_path")
+    return (whole.select(*columns).unionByName(by_key.select(*columns)).unionByName(by_pattern.select(*columns))).distinct()
 
 
 def split_suppressed(findings: DataFrame, suppressions: DataFrame,

@@ -101,6 +101,43 @@ def test_accept_finding(spark):
     assert [r.prefix for r in rows if r.status == "covered"] == [prints["B"]]
 
 
+def test_shared_suppressions_meet_pairs_not_repositories(spark):
+    """Rules for all repositories join the distinct (rule, path) pairs: neither side grows with repositories x rules."""
+    many = spark.range(20_000).select(F.concat(F.lit("r"), (F.col("id") % 2_000).cast("string")).alias("repo"),
+                                      F.concat(F.lit("R"), (F.col("id") % 5).cast("string")).alias("rule_id"),
+                                      F.concat(F.lit("d/f"), (F.col("id") % 10).cast("string")).alias("path"))
+    rules = suppress.suppression_table(spark, [Suppression(f"X{i}", f"d/f{i}") for i in range(5_000)] + [
+        Suppression("R1", "d/f1"), Suppression("*", "d/f[2]*"), Suppression("R3", "d/", repo="r3")])
+    covered = suppress.matched_targets(many, rules)
+    found = {(r.repo, r.rule_id, r.path) for r in covered.collect()}
+    want = {(r.repo, r.rule_id, r.path) for r in many.collect()
+            if (r.rule_id, r.path) == ("R1", "d/f1") or "f2" in r.path or (r.repo, r.rule_id) == ("r3", "R3")}
+    assert found == want
+    joins = [line for line in covered._jdf.queryExecution().optimizedPlan().toString().splitlines() if " Join " in f" {line}"]
+    assert joins and all("=" in line or "<=>" in line for line in joins) and not any("Cross" in line for line in joins)
+
+
+def test_places_across_ranges(spark):
+    """Places of findings dealt to many ranges, one repository and one line holding most of them, against a plain sort."""
+    rng = random.Random(3)
+    rows = [("r" if rng.random() < 0.8 else f"q{rng.randint(0, 3)}", f"R{rng.randint(0, 3)}", rng.randint(0, 4),
+             "hot.py" if rng.random() < 0.5 else f"p{rng.randint(0, 30)}", 1 if rng.random() < 0.5 else rng.randint(0, 9), f"m{n}") for n in range(3_000)]
+    made = spark.createDataFrame(rows, "repo string, rule_id string, sev int, path string, line int, message string").repartition(5).select(
+        "*", *[F.lit("").alias(c) for c in ("title", "severity", "evidence", "fix", "cwe", "confidence", "scanner")], F.lit(0).alias("scan_seq"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {(r.repo, r.message): r.place for r in findings.placed(made).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = {}
+    for repo in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == repo), key=lambda r: (-r[2], r[3], r[4], r[5]))
+        want.update({(repo, r[5]): n for n, r in enumerate(own, 1)})
+    assert found == want
+    assert findings.placed(made.limit(0)).count() == 0
+
+
 def test_suppressions_stay_in_their_repository(spark):
     rows = [(rule, 3, path, 1, "m", "") for rule in "AB" for path in ("p/q.py", "x.py", "p/r/s.py")]
     both = table(spark, rows).union(table(spark, rows).withColumn("repo", F.lit("s")))
