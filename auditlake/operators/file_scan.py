@@ -88,11 +88,12 @@ def _state_rule_hits(rule_id: str, exts, wanted: Column, hits: Column) -> Column
 
 def scan_files(files: DataFrame, options: ScanOptions | RepoSettings | None = None, *,
                line_rules=LINE_RULES, file_rules=FILE_RULES, state_rules_on: bool = True,
-               secret_rules=secrets.SECRET_RULES) -> DataFrame:
+               secret_rules=secrets.SECRET_RULES, carry: tuple[str, ...] = ()) -> DataFrame:
     """Findings of all per-file rules, with ``ignored`` marking inline-suppressed ones.
 
     ``files`` needs repo, path and text and is taken as already selected (see
-    ``sources.files.discover``). With settings per repository, each file is scanned by those of its own.
+    ``sources.files.discover``). With settings per repository, each file is scanned by those of its own. Columns of the
+    file named in ``carry`` are kept on its findings.
     """
     options = options or ScanOptions()
     own = isinstance(options, RepoSettings)
@@ -102,7 +103,7 @@ def scan_files(files: DataFrame, options: ScanOptions | RepoSettings | None = No
     if len(line_rules) > 63:
         raise ValueError("a rule mask holds 63 line rules")
 
-    seen = files.select("repo", "path", "text", *([ROW] if own else [])).withColumns({
+    seen = files.select("repo", "path", "text", *carry, *([ROW] if own else [])).withColumns({
         "ext": ext_of(F.col("path")), "_low": F.lower("text"),
         "_folds_odd": any_of([F.contains(F.col("text"), F.lit(c)) for c in _FOLDING])})
     # Lock files are for the secret rules only.
@@ -132,8 +133,8 @@ def scan_files(files: DataFrame, options: ScanOptions | RepoSettings | None = No
     hits = lined.withColumn("_hits", F.concat(*groups) if groups else F.expr(NONE))
 
     # what the findings still need of their repository's settings
-    kept = ["repo", "path", *([F.col(f"{ROW}.allow").alias("allow"), F.col(f"{ROW}.rule_keys").alias("rule_keys")] if own else [])]
-    names = ["repo", "path", *(["allow", "rule_keys"] if own else [])]
+    kept = ["repo", "path", *carry, *([F.col(f"{ROW}.allow").alias("allow"), F.col(f"{ROW}.rule_keys").alias("rule_keys")] if own else [])]
+    names = ["repo", "path", *carry, *(["allow", "rule_keys"] if own else [])]
     if own or options.inline_suppressions:
         if own:
             marker = F.col(f"{ROW}.marker")
@@ -153,10 +154,10 @@ def scan_files(files: DataFrame, options: ScanOptions | RepoSettings | None = No
         rows = hits.select(*kept, F.inline_outer("_hits")).withColumn("ignored", F.lit(False))
     # The outer form on purpose: for the plain one Spark infers a "not empty" filter and pushes
     # it, with the whole hit expression inside, below every step above. The empty rows go here.
-    return _describe(rows.where(F.col("rule_id").isNotNull()), options, "allow" if own else allow)
+    return _describe(rows.where(F.col("rule_id").isNotNull()), options, "allow" if own else allow, carry)
 
 
-def _describe(rows: DataFrame, options: ScanOptions | RepoSettings, allow) -> DataFrame:
+def _describe(rows: DataFrame, options: ScanOptions | RepoSettings, allow, carry: tuple[str, ...] = ()) -> DataFrame:
     """Attach the rule metadata and finish message and evidence."""
     # The catalog has one row per rule: its size is fixed by the code and the options. Custom rules are told apart by
     # their place or key, since several may share an id.
@@ -186,7 +187,7 @@ def _describe(rows: DataFrame, options: ScanOptions | RepoSettings, allow) -> Da
     out = joined.select(
         "repo", "rule_id", "title", "sev", "severity", message.alias("message"), "path", "line",
         F.col("shown").alias("evidence"), "fix", "cwe", "confidence", "scanner",
-        F.col("scan_seq").cast("int").alias("scan_seq"), "ignored", *(["allow"] if own else []))
+        F.col("scan_seq").cast("int").alias("scan_seq"), "ignored", *carry, *(["allow"] if own else []))
     if own or allow:
         out = out.where(~((F.col("scanner") == "secrets") & secrets.allowed_after_redaction(
             F.col("evidence"), F.col("message"), allow)))

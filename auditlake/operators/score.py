@@ -34,12 +34,42 @@ def posture(findings: DataFrame, repos: DataFrame | None = None, by=("repo",)) -
     if repos is not None:
         zero = {c: 0 for c in ("deductions", "findings", *SEVERITIES)}
         grouped = repos.select(*by).distinct().join(grouped, by, "left").na.fill(zero)
+    return graded(grouped, by)
+
+
+def graded(grouped: DataFrame, by: list[str]) -> DataFrame:
+    """Score and grade of groups with deductions, worst severity and severity counts."""
     score = F.greatest(F.lit(0), 100 - F.col("deductions")).cast("int")
     return (grouped.withColumn("score", score)
             .withColumn("grade", grade_of(F.col("score"), F.coalesce("worst", F.lit(-1))))
             .select(*by, "score", "grade", "findings", *reversed(SEVERITIES)))
 
 
+def posture_rollup(findings: DataFrame, levels: list[str], repos: DataFrame | None = None) -> DataFrame:
+    """Posture of every prefix of ``levels``, from the whole down to the last, in one pass.
+
+    ``levels`` are columns from coarse to fine, such as team, repo and directory. Sums and the worst severity merge upwards, so
+    findings are aggregated once at the finest level, on the map side first, and only those groups are rolled up. Columns below
+    a row's level are null, and ``depth`` (0 for the whole) tells them from levels that are null themselves. ``repos`` adds
+    groups without findings: its rows hold the levels it knows, a prefix of ``levels``; the groups above them are added with them.
+    """
+    totals = ["deductions", "findings", *SEVERITIES]
+    finest = findings.groupBy(*levels).agg(
+        F.sum(severity_weight(F.col("sev"))).alias("deductions"), F.max("sev").alias("worst"),
+        F.count(F.lit(1)).alias("findings"), *severity_counts()).withColumn("known", F.lit(len(levels)))
+    if repos is not None:
+        known = [c for c in levels if c in repos.columns]
+        if known != levels[:len(known)]:
+            raise ValueError(f"repos must hold a prefix of {levels}")
+        finest = finest.unionByName(repos.select(*known).distinct().withColumn("known", F.lit(len(known))), allowMissingColumns=True)
+    rolled = finest.rollup(*levels).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in totals], F.max("worst").alias("worst"), F.max("known").alias("known"),
+        F.grouping_id(*levels).alias("_id"))
+    depth = F.lit(len(levels)) - F.bit_count("_id")
+    # a group without findings has no rows below the levels it is known by
+    return graded(rolled.withColumn("depth", depth.cast("int")).where("depth <= known"), ["depth", *levels])
+
+
 def gate(findings: DataFrame, fail_on: str, repos: DataFrame | None = None) -> DataFrame:
     """Per repository: does any finding above INFO reach ``fail_on``? Off words never fail."""
     if fail_on.lower() in GATE_OFF:
