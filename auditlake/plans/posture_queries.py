@@ -1,4 +1,4 @@
-"""Queries of postures: over a stream of file versions, and over levels above and below the repository."""
+"""Queries of postures (over a stream of file versions, over levels above and below the repository) and of what is written."""
 
 from __future__ import annotations
 
@@ -10,9 +10,13 @@ from auditlake.operators import score
 from auditlake.options import ScanOptions
 from auditlake.plans import corpus
 from auditlake.plans import finding_queries
+from auditlake.plans import oracle_sql as sql
 from auditlake.plans.registry import ORACLES, query
 from auditlake.plans.samples import AWS_KEY
+from auditlake.schemas import BASELINE
 from auditlake.session import shared_dir
+from auditlake.sinks import tables
+from auditlake.sinks.versions import BaselineVersions
 from auditlake.streaming import posture
 
 _BATCHES = 3
@@ -53,3 +57,43 @@ def posture_rollup(spark, sf_dir):
     repos = corpus.table(spark, sf_dir, "events").select(
         F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("repo")).withColumn("team", team)
     return score.posture_rollup(found, ["team", "repo", "directory"], repos)
+
+
+# ---------------------------------------------------------------- what is written and read back
+
+_ENTRY_SQL = f"repo, rule_id, path, line, left(message, 80) AS message80, {sql.stable()} AS stable_id"
+
+
+@query("written_findings", ORACLES["report_rows"])
+def written_findings(spark, sf_dir):
+    """The finding rows, written by repository and read back."""
+    out = f"{shared_dir(spark)}/auditlake/findings-{uuid.uuid4().hex}"
+    rows = finding_queries._deduped(spark, sf_dir)
+    tables.write_findings(rows, out)
+    back = spark.read.schema(finding_queries.report_rows(spark, sf_dir).schema).parquet(out)
+    return back.select(*finding_queries.report_rows(spark, sf_dir).columns)
+
+
+@query("written_baseline", f"""WITH {finding_queries.DEDUPED} SELECT {_ENTRY_SQL} FROM dd WHERE repo <> 'u1' AND (repo <> 'u2' OR sev > 2)
+UNION ALL SELECT 'u1', '', '', 0, '', ''""")
+def written_baseline(spark, sf_dir):
+    """A baseline of all repositories, then replaced for two of them: one has only severe findings left, the other none."""
+    out = f"{shared_dir(spark)}/auditlake/baseline-{uuid.uuid4().hex}"
+    found = finding_queries._deduped(spark, sf_dir)
+    tables.write_baseline(found, out)
+    again = found.where("repo in ('u1', 'u2')")
+    tables.write_baseline(again.where("repo = 'u2' and sev > 2"), out, again.select("repo"))
+    return spark.read.schema(BASELINE).parquet(out).select(*BASELINE.fieldNames())
+
+
+@query("baseline_versions_diff", f"""WITH {finding_queries.DEDUPED}, e AS (SELECT {_ENTRY_SQL}, sev, line % 3 AS third FROM dd),
+one AS (SELECT * FROM e WHERE third <> 0), two AS (SELECT * FROM e WHERE CASE WHEN repo IN ('u1', 'u3', 'u5') THEN third <> 1 WHEN repo = 'u7' THEN false ELSE third <> 0 END),
+n AS (SELECT repo, rule_id, path, line, message80, stable_id, sum(k) AS k FROM (SELECT *, 1 AS k FROM two UNION ALL SELECT *, -1 FROM one) GROUP BY repo, rule_id, path, line, message80, stable_id HAVING sum(k) <> 0)
+SELECT repo, rule_id, path, line, message80, stable_id, CASE WHEN k > 0 THEN 'added' ELSE 'removed' END AS status, CAST(abs(k) AS BIGINT) AS times FROM n""")
+def baseline_versions_diff(spark, sf_dir):
+    """A first version of all repositories, a second of four of them, one of which has become clean."""
+    found = finding_queries._deduped(spark, sf_dir)
+    store = BaselineVersions(spark, f"{shared_dir(spark)}/auditlake/versions-{uuid.uuid4().hex}")
+    first = store.commit(found.where("line % 3 <> 0"))
+    again = found.where("repo in ('u1', 'u3', 'u5', 'u7')")
+    return store.diff(first, store.commit(again.where("repo <> 'u7' and line % 3 <> 1"), again.select("repo")))
