@@ -11,6 +11,8 @@ BLOCK_WORDS = 1024
 MIN_BLOCKS = 256
 BUCKET_ROWS = 50_000
 ROUNDS = 24
+#: Runs of a shard's local shuffle that are dealt to tasks: 2 to this power.
+RUN_BITS = 16
 
 
 def word_count(text: str = "text"):
@@ -175,7 +177,8 @@ def mix(docs: DataFrame, shards: int = 16, **options) -> DataFrame:
     rows = rows.withColumn(text, F.expr(f"IF({words} IS NULL, {text}, {cut})"))
     shard, turn = free_name(rows, "mix_shard"), free_name(rows, "mix_turn")
     rows = rows.withColumn(shard, F.expr(f"{part}[0].shard")).withColumn(turn, F.expr(f"{part}[0].turn"))
-    rows = rows.repartition(shard).sortWithinPartitions(shard, turn)
+    # turns are hashes, so their leading bits cut a shard's shuffle into even runs: as many tasks as the session has shuffle partitions
+    rows = rows.repartition(F.col(shard), F.shiftright(turn, 64 - RUN_BITS)).sortWithinPartitions(shard, turn)
     back = {size: "size"} if size != "size" else {}
     return rows.select(*[(F.when(F.col(words).isNull(), F.col(c)).otherwise(F.length(text).cast(docs.schema[c].dataType)).alias(c) if c == "n_chars"
                           else F.col(c).alias(back.get(c, c))) for c in docs.columns])

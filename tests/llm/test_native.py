@@ -147,3 +147,15 @@ def test_templates_generalise_merge_and_reject(spark):
     assert got["h", "spam/z3"][1] is True
     assert got["h", "misc/{n}"][0].startswith("*/")
     assert got["other", "a/b/c/d/e/f/**"][1] is False
+
+
+def test_one_shard_is_written_by_many_tasks(spark, mixed_docs):
+    """A shard's rows are dealt by runs of its shuffle, so the number of tasks does not follow the number of shards."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = mix(mixed_docs, shards=1).withColumn("task", mixing.F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    other = mix(mixed_docs, shards=4).collect()
+    assert len({r.task for r in rows}) > 1
+    assert sorted({(r.doc_id, r.source) for r in rows}, key=repr) == sorted({(r.doc_id, r.source) for r in other}, key=repr)
