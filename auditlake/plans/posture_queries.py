@@ -15,8 +15,9 @@ from auditlake.plans.registry import ORACLES, query
 from auditlake.plans.samples import AWS_KEY
 from auditlake.schemas import BASELINE
 from auditlake.session import shared_dir
-from auditlake.sinks import tables
+from auditlake.sinks import documents, tables, whole
 from auditlake.sinks.versions import BaselineVersions
+from auditlake.sources.report_pieces import read_report_files
 from auditlake.streaming import posture
 
 _BATCHES = 3
@@ -97,3 +98,14 @@ def baseline_versions_diff(spark, sf_dir):
     first = store.commit(found.where("line % 3 <> 0"))
     again = found.where("repo in ('u1', 'u3', 'u5', 'u7')")
     return store.diff(first, store.commit(again.where("repo <> 'u7' and line % 3 <> 1"), again.select("repo")))
+
+
+@query("published_reports", f"""WITH {finding_queries.DEDUPED} SELECT repo, {sql.stable()} AS stable_id, rule_id, title, sev, severity, message, path, line,
+  evidence, 'json' AS scanner, row_number() OVER (PARTITION BY repo ORDER BY sev DESC, path, line, rule_id, message) - 1 AS pos FROM dd""")
+def published_reports(spark, sf_dir):
+    """A JSON report per repository, published as one file each and read back in pieces."""
+    out = f"{shared_dir(spark)}/auditlake/reports-{uuid.uuid4().hex}"
+    found = finding_queries._deduped(spark, sf_dir)
+    stats = found.groupBy("repo").agg(*[F.lit(0).cast("long").alias(c) for c in ("files_scanned", "files_skipped", "suppressed")])
+    whole.publish_documents(documents.json_report(found, stats), out)
+    return read_report_files(spark, out).findings
