@@ -14,8 +14,6 @@ PARSED = r"(?s)://([^/?#]*)([^?#]*)"
 #: Segments that name one item whatever the site: numbers, dates and hexadecimal ids, with or without a file ending.
 NUMBER = r"^[0-9][0-9_-]*([.][A-Za-z0-9]{1,5})?$"
 HEX = r"^[0-9a-fA-F][0-9a-fA-F-]{15,}([.][A-Za-z0-9]{1,5})?$"
-#: Tree depth: a path's further segments are one node "**".
-DEPTH = 6
 #: A segment is variable if its parent has at least so many children and it has at most this share of the parent's pages.
 MIN_CHILDREN, RARE = 8, 0.05
 #: Squared z value from which a branch's labels differ from those of its siblings together.
@@ -47,9 +45,24 @@ def rule_for(host: str, path: str, rules: Sequence[tuple[str, str]]) -> tuple[Co
 
 
 def _segments(path: str) -> Column:
-    """Non-empty segments with item names generalised; segments below DEPTH are one ``**``."""
-    shown = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(s.rlike(NUMBER), "{n}").when(s.rlike(HEX), "{x}").otherwise(s))
-    return F.when(F.size(shown) > DEPTH, F.concat(F.slice(shown, 1, DEPTH), F.array(F.lit("**")))).otherwise(shown)
+    """Non-empty segments with item names generalised."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(s.rlike(NUMBER), "{n}").when(s.rlike(HEX), "{x}").otherwise(s))
+
+
+def _at_forks(tree: DataFrame) -> DataFrame:
+    """``tree`` with ``at`` moved to the next level where paths below a row's branch part, or to the row's end.
+
+    A segment without siblings has no labels to differ from, so the levels passed over are ``*``.
+    """
+    rest = tree.where("size(template) > at").select("host", F.expr("slice(template, 1, at)").alias("parent"), "template")
+    longest = rest.groupBy("host", "parent").agg(F.max(F.struct(F.size("template"), "template")).alias("lead"))
+    parts = F.expr("array_position(zip_with(template, slice(lead.template, 1, size(template)), (a, b) -> a <> b), true) - 1")
+    forks = (rest.join(longest, ["host", "parent"]).withColumn("parts", parts)
+             .groupBy(F.col("host").alias("of"), F.col("parent").alias("below")).agg(F.min(F.when(F.col("parts") >= 0, F.col("parts"))).alias("fork")))
+    moved = tree.join(forks, (F.col("host") == F.col("of")) & (F.expr("slice(template, 1, at)") == F.col("below")) & F.expr("size(template) > at"), "left")
+    end = F.expr("CAST(IF(size(template) > at, least(coalesce(fork, size(template)), size(template)), at) AS INT)")
+    return moved.withColumn("end", end).select("host", "segments", "n", "good", "bad", F.col("end").alias("at"), F.expr(
+        "concat(slice(template, 1, at), array_repeat('*', end - at), slice(template, end + 1, size(template)))").alias("template"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -58,19 +71,19 @@ def templates(pages: DataFrame) -> DataFrame:
     ``pages`` has host, path, verdict (label ``allow`` or ``block``, or null). It is first reduced to its distinct item-free
     paths with counts, on the map side. Then the trees of all hosts are generalised level by level. Below each parent,
     segments with many siblings and few pages become ``*``; after that, branches whose labels do not differ
-    significantly from those of their siblings together are merged into one ``*`` branch. Each level is a few aggregates
-    keyed by host and parent and is written, so neither a host with a third of all pages nor a parent with millions of
-    children is held anywhere. A template's purity is its share of allowed among labelled pages, smoothed towards its
+    significantly from those of their siblings together are merged into one ``*`` branch. Every segment is judged, however
+    deep; levels without a fork are passed over together, so a round is needed only where paths below a branch part.
+    Each round is a few aggregates keyed by host and parent and is written, so neither a host with a third of all pages nor a
+    parent with millions of children is held anywhere. A template's purity is its share of allowed among labelled pages, smoothed towards its
     host's, which is smoothed towards that of all pages; below MIN_PURITY it is rejected.
     """
     tree = pages.groupBy("host", _segments("path").alias("segments")).agg(
         F.count("*").alias("n"), F.count(F.when(F.col("verdict") == "allow", 1)).alias("good"),
         F.count(F.when(F.col("verdict") == "block", 1)).alias("bad"))
-    tree = materialize(tree.withColumn("template", F.col("segments")), "paths")
-    deepest = tree.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(deepest):
-        here = tree.where(F.size("template") > level).select(
-            "host", F.slice("template", 1, level).alias("parent"), F.get("template", F.lit(level)).alias("name"), "n", "good", "bad")
+    tree = materialize(_at_forks(tree.withColumn("template", F.col("segments")).withColumn("at", F.lit(0))), "paths")
+    while tree.where("size(template) > at").limit(1).count():
+        parent, name = F.expr("slice(template, 1, at)"), F.expr("get(template, at)")
+        here = tree.where("size(template) > at").select("host", parent.alias("parent"), name.alias("name"), "n", "good", "bad")
         named = here.groupBy("host", "parent", "name").agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")])
         sizes = named.groupBy("host", "parent").agg(F.count("*").alias("children"), F.sum("n").alias("of_n"))
         named = named.join(sizes, ["host", "parent"])
@@ -86,11 +99,12 @@ def templates(pages: DataFrame) -> DataFrame:
         branches = branches.join(totals, ["host", "parent"]).select("host", "parent", "branch", F.coalesce(differs, F.lit(False)).alias("own"))
         renamed = named.join(branches, ["host", "parent", "branch"]).select(
             "host", "parent", "name", F.when(F.col("own"), F.col("branch")).otherwise("*").alias("now")).where("name <> now")
-        keyed = tree.withColumn("parent", F.slice("template", 1, level)).withColumn("name", F.get("template", F.lit(level)))
-        tree = materialize(keyed.join(renamed, ["host", "parent", "name"], "left").select(
-            "host", "segments", "n", "good", "bad",
+        keyed = tree.withColumn("parent", parent).withColumn("name", name)
+        split = keyed.join(renamed, ["host", "parent", "name"], "left").select(
+            "host", "segments", "n", "good", "bad", F.expr("IF(name IS NULL, at, at + 1)").alias("at"),
             F.when(F.col("now").isNull(), F.col("template")).otherwise(
-                F.concat(F.slice("template", 1, level), F.array("now"), F.expr(f"slice(template, {level + 2}, {DEPTH + 1})"))).alias("template")), "tree")
+                F.expr("concat(parent, array(now), slice(template, at + 2, size(template)))")).alias("template"))
+        tree = materialize(_at_forks(materialize(split, "split")), "tree")
     counts = tree.groupBy("host", "template").agg(*[F.sum(c).cast("double").alias(c) for c in ("good", "bad")])
     hosts = counts.groupBy(F.col("host").alias("of")).agg(F.sum("good").alias("host_good"), F.sum("bad").alias("host_bad"))
     good, bad = counts.agg(F.sum("good"), F.sum("bad")).first()
@@ -127,39 +141,39 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url:
                          F.concat(F.lit("/"), F.array_join(name["template"], "/")).alias(name["template"]), name["purity"])
 
 
-def oracle(levels: int = DEPTH + 1) -> str:
-    """The same in DuckDB SQL: each level of the tree as its own tables."""
+def oracle() -> str:
+    """The same in DuckDB SQL: each level of the tree is a round of a recursive table."""
     cases = "".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '/{p}') THEN '{{}}' "
                     for _, t in sorted(RULES, key=lambda r: -len(r[1])) for h, _, p in [t.partition("/")])
     ordered = sorted(RULES, key=lambda r: -len(r[1]))
     rule, verdict = cases.format(*[r[1] for r in ordered]), cases.format(*[r[0] for r in ordered])
     typed = (f"CASE WHEN regexp_matches(s, '{NUMBER}') THEN '{{n}}' WHEN regexp_matches(s, '{HEX}') THEN '{{x}}' ELSE s END")
-    sql = [f"""WITH p0 AS (SELECT page_id, coalesce(regexp_extract(url, '{PARSED}', 1), '') AS raw, coalesce(regexp_extract(url, '{PARSED}', 2), '') AS path FROM pages),
+    return f"""WITH RECURSIVE p0 AS (SELECT page_id, coalesce(regexp_extract(url, '{PARSED}', 1), '') AS raw, coalesce(regexp_extract(url, '{PARSED}', 2), '') AS path FROM pages),
 p1 AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM p0),
-p2 AS (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS said, [{typed} FOR s IN string_split(path, '/') IF s <> ''] AS segs FROM p1),
-p3 AS (SELECT *, CASE WHEN len(segs) > {DEPTH} THEN list_concat(segs[1:{DEPTH}], ['**']) ELSE segs END AS segments FROM p2),
-t0 AS (SELECT host, segments, count(*) AS n, count(*) FILTER (WHERE said = 'allow') AS good, count(*) FILTER (WHERE said = 'block') AS bad,
-  segments AS template FROM p3 GROUP BY host, segments)"""]
-    for i in range(levels):
-        sql.append(f"""h{i} AS (SELECT host, template[1:{i}] AS parent, template[{i + 1}] AS name, sum(n) AS n, sum(good) AS good, sum(bad) AS bad
-  FROM t{i} WHERE len(template) > {i} GROUP BY ALL),
-v{i} AS (SELECT *, CASE WHEN count(*) OVER w >= {MIN_CHILDREN} AND n <= {RARE}::DOUBLE * sum(n) OVER w THEN '*' ELSE name END AS branch
-  FROM h{i} WINDOW w AS (PARTITION BY host, parent)),
-b{i} AS (SELECT host, parent, branch, sum(good)::DOUBLE AS good, sum(bad)::DOUBLE AS bad FROM v{i} GROUP BY ALL),
-s{i} AS (SELECT *, sum(good) OVER w AS ag, sum(bad) OVER w AS ab FROM b{i} WINDOW w AS (PARTITION BY host, parent)),
-d{i} AS (SELECT host, parent, branch, CASE WHEN good + bad > 0 AND ag - good + ab - bad > 0 THEN
-  (good / (good + bad) - (ag - good) / (ag - good + ab - bad)) * (good / (good + bad) - (ag - good) / (ag - good + ab - bad))
-  > {DIFFERENT}::DOUBLE * (ag / (ag + ab) * (1 - ag / (ag + ab)) * (1 / (good + bad) + 1 / (ag - good + ab - bad))) ELSE false END AS own FROM s{i}),
-r{i} AS (SELECT v.host, v.parent, v.name, CASE WHEN own THEN v.branch ELSE '*' END AS now FROM v{i} v
-  JOIN d{i} d ON v.host = d.host AND v.parent = d.parent AND v.branch = d.branch),
-t{i + 1} AS (SELECT t.host, segments, n, good, bad, CASE WHEN now IS NULL THEN template
-  ELSE list_concat(list_concat(template[1:{i}], [now]), template[{i + 2}:]) END AS template
-  FROM t{i} t LEFT JOIN r{i} r ON len(t.template) > {i} AND t.host = r.host AND t.template[1:{i}] = r.parent AND t.template[{i + 1}] = r.name)""")
-    sql.append(f"""c AS (SELECT host, template, sum(good)::DOUBLE AS good, sum(bad)::DOUBLE AS bad FROM t{levels} GROUP BY ALL),
+p3 AS (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS said, [{typed} FOR s IN string_split(path, '/') IF s <> ''] AS segments FROM p1),
+deep AS (SELECT max(len(segments)) AS levels FROM p3),
+t AS (
+SELECT 0 AS i, host, segments, count(*) AS n, count(*) FILTER (WHERE said = 'allow') AS good, count(*) FILTER (WHERE said = 'block') AS bad,
+  segments AS template FROM p3 GROUP BY host, segments
+UNION ALL SELECT i + 1, host, segments, n, good, bad, CASE WHEN now IS NULL THEN template
+  ELSE list_concat(list_concat(template[1:i], [now]), template[i + 2:]) END AS template FROM (
+SELECT *, CASE WHEN len(template) <= i THEN NULL
+  WHEN bgood + bbad > 0 AND ag - bgood + ab - bbad > 0 AND
+  (bgood / (bgood + bbad) - (ag - bgood) / (ag - bgood + ab - bbad)) * (bgood / (bgood + bbad) - (ag - bgood) / (ag - bgood + ab - bbad))
+  > {DIFFERENT}::DOUBLE * (ag / (ag + ab) * (1 - ag / (ag + ab)) * (1 / (bgood + bbad) + 1 / (ag - bgood + ab - bbad))) THEN branch ELSE '*' END AS now
+FROM (SELECT *, (sum(good) OVER b)::DOUBLE AS bgood, (sum(bad) OVER b)::DOUBLE AS bbad, (sum(good) OVER w)::DOUBLE AS ag, (sum(bad) OVER w)::DOUBLE AS ab
+FROM (SELECT *, CASE WHEN children >= {MIN_CHILDREN} AND mine <= {RARE}::DOUBLE * whole THEN '*' ELSE name END AS branch
+FROM (SELECT *, max(nth) OVER w AS children, sum(n) OVER w AS whole, sum(n) OVER v AS mine
+FROM (SELECT *, dense_rank() OVER (PARTITION BY host, parent ORDER BY name) AS nth
+FROM (SELECT *, CASE WHEN len(template) > i THEN template[1:i] END AS parent, CASE WHEN len(template) > i THEN template[i + 1] END AS name
+FROM t JOIN deep ON i < levels))
+WINDOW w AS (PARTITION BY host, parent), v AS (PARTITION BY host, parent, name)))
+WINDOW w AS (PARTITION BY host, parent), b AS (PARTITION BY host, parent, branch)))),
+z AS (SELECT t.* FROM t JOIN deep ON i = levels),
+c AS (SELECT host, template, sum(good)::DOUBLE AS good, sum(bad)::DOUBLE AS bad FROM z GROUP BY ALL),
 g AS (SELECT *, sum(good) OVER w AS hg, sum(bad) OVER w AS hb, (sum(good) OVER () + 1.0::DOUBLE) / (sum(good) OVER () + sum(bad) OVER () + 2.0::DOUBLE) AS prior
   FROM c WINDOW w AS (PARTITION BY host)),
 j AS (SELECT host, template, (good + {PRIOR}::DOUBLE * ((hg + {PRIOR}::DOUBLE * prior) / (hg + hb + {PRIOR}::DOUBLE))) / (good + bad + {PRIOR}::DOUBLE) AS purity FROM g)
 SELECT page_id, p3.host, path, rule, coalesce(said, CASE WHEN purity < {MIN_PURITY}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
   '/' || array_to_string(j.template, '/') AS template
-FROM p3 JOIN t{levels} t ON p3.host = t.host AND p3.segments = t.segments JOIN j ON j.host = t.host AND j.template = t.template""")
-    return ",\n".join(sql)
+FROM p3 JOIN z ON p3.host = z.host AND p3.segments = z.segments JOIN j ON j.host = z.host AND j.template = z.template"""

@@ -146,7 +146,50 @@ def test_templates_generalise_merge_and_reject(spark):
     assert got["h", "spam/{n}"][0].startswith("spam/") and got["h", "spam/{n}"][1] is True
     assert got["h", "spam/z3"][1] is True
     assert got["h", "misc/{n}"][0].startswith("*/")
-    assert got["other", "a/b/c/d/e/f/**"][1] is False
+    assert got["other", "a/b/c/d/e/f/g/h/i"] == ("*/*/*/*/*/*/*/*/*", False)
+
+
+def test_branches_that_part_at_the_eighth_segment(spark):
+    lead = "/a/b/c/d/e/f/g"
+    pages = [("h", f"{lead}/good/p{i}/x", "allow") for i in range(40)] + [("h", f"{lead}/bad/p{i}/x", "block") for i in range(40)]
+    pages += [("h", f"{lead}/good/new", None), ("h", f"{lead}/bad/new", None), ("h", lead, None), ("h", "/a/b", None)]
+    got = {"/".join(r.segments): ("/".join(r.template), r.reject) for r in url_filter.templates(
+        spark.createDataFrame(pages, "host string, path string, verdict string")).collect()}
+    assert got[f"{lead[1:]}/good/new"] == ("*/*/*/*/*/*/*/good/*", False) and got[f"{lead[1:]}/bad/new"] == ("*/*/*/*/*/*/*/bad/*", False)
+    assert got[f"{lead[1:]}/good/p3/x"] == ("*/*/*/*/*/*/*/good/*/*", False) and got[f"{lead[1:]}/bad/p3/x"] == ("*/*/*/*/*/*/*/bad/*/*", True)
+    assert got[lead[1:]][0] == "*/*/*/*/*/*/*" and got["a/b"][0] == "*/*"
+
+
+def test_very_long_urls_take_rounds_by_forks(spark, monkeypatch):
+    written = []
+    kept = url_filter.materialize
+    monkeypatch.setattr(url_filter, "materialize", lambda df, name: written.append(name) or kept(df, name))
+    long = "/s" * 3000
+    rows = [(1, f"x://h{long}/a"), (2, f"x://h{long}/b"), (3, f"x://h{long}"), (4, "x://h/s/s"), (5, "x://other" + "/é" * 2000 + "?" + "q" * 100_000)]
+    out = {r.page_id: r.template for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert out[1] == out[2] == "/*" * 3001 and out[3] == "/*" * 3000 and out[4] == "/*/*" and out[5] == "/*" * 2000
+    assert written.count("tree") == 1
+
+
+def test_urls_against_sql_on_random_trees(spark):
+    """Deep trees on hosts with both verdicts, rows that end inside others' paths, repeats and nulls."""
+    import duckdb
+    rnd = random.Random(8)
+    rows = [(None, None), (0, None), (0, "x://"), (0, "none")]
+    for i in range(1500):
+        host = rnd.choice(["example.org", "sub.example.org", "b.com", "plain.net"])
+        first = rnd.choice(["es", "en", "fr", "de", "12"])
+        parts = [rnd.choice("abc") if rnd.random() < 0.9 else f"v{rnd.randrange(40)}" for _ in range(rnd.randrange(0, 11))]
+        rows.append((i, f"http://{host}/{first}/{'/'.join(parts)}"))
+    rows += rows[10:40]
+    names = ["host", "path", "rule", "verdict", "template"]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = [tuple(r) for r in url_filter.judge_urls(df).select("page_id", *names).collect()]
+    base = duckdb.connect()
+    base.register("pages", df.toPandas().astype({"page_id": "Int64"}))
+    want = base.sql(f"SELECT page_id, {', '.join(names)} FROM ({url_filter.oracle()})").fetchall()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert len({r[-1] for r in got}) > 20
 
 
 def test_one_shard_is_written_by_many_tasks(spark, mixed_docs):
