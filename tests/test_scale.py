@@ -46,3 +46,11 @@ def test_one_call_takes_in_all_files_of_a_bucket():
     assert changes(bucket(("a", "x", 1, True, 5, 4), ("a", "y", 3, False, 0, -1), (None, "x", 1, True, 0, -1))) == [("a", "y", 3, -1, 0, 0, 0, 0, -1)]
     assert changes(bucket(("a", "x", 2, True, 7, 3), ("a", "y", 2, True, 8, 3))) == []
     assert changes(bucket(("a", "z", 2**62, True, 0, -1), ("a", "z", 2**62 + 1, True, 1, 0))) == [("a", "z", 2**62 + 1, 1, 1, 0, 0, 0, 0)]
+
+
+@pytest.mark.parametrize("allow", [(), ("hunter2",)])
+def test_a_text_is_lower_cased_once_for_all_hints(files, allow):
+    found = scan_files(files(("a.py", f"k = '{AWS_KEY}'\n"), ("b.py", "x = 1\n")), ScanOptions(allow_secrets=list(allow), inline_suppressions=False),
+                       **SECRETS_ONLY)
+    assert "Contains(lower(text" not in optimized(found) and "Contains(lower(lambda l" not in optimized(found)
+    assert [(r.rule_id, r.path, r.line) for r in found.collect()] == [("SEC001", "a.py", 1)]
