@@ -54,3 +54,18 @@ def test_a_text_is_lower_cased_once_for_all_hints(files, allow):
                        **SECRETS_ONLY)
     assert "Contains(lower(text" not in optimized(found) and "Contains(lower(lambda l" not in optimized(found)
     assert [(r.rule_id, r.path, r.line) for r in found.collect()] == [("SEC001", "a.py", 1)]
+
+
+def test_patch_lines_are_lower_cased_once_for_all_hints(spark):
+    patch = f"diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -0,0 +1 @@\n+k = '{AWS_KEY}'\n"
+    found = history.scan_history(spark.createDataFrame([("r", 0, "c" * 40, patch)], "repo string, commit_seq int, commit string, patch string"))
+    assert "Contains(lower(" not in optimized(found)
+    assert [r.evidence[:6] for r in found.collect()] == ["SEC001"]
+
+
+def test_open_lines_by_their_plain_definition(spark):
+    lines = ["", " ", "f(", "f(a", "f(a)", "f)(", "a,", "a, \t", "a,  ", "a(\x1c", "a,x", "()", "a ,b (c) ", "x, ", "é,", "(((", ")))", "a,\n"]
+    opened = [(t, t.count("(") > t.count(")") or t.rstrip().endswith((",", "("))) for t in lines]
+    made = spark.createDataFrame(opened, "t string, want boolean").select("t", "want", continues(F.col("t")).alias("is"))
+    assert [r for r in made.collect() if r["is"] != r["want"]] == []
+    assert "CASE WHEN Contains(t" in optimized(made.select("is"))       # no copies of lines without a parenthesis
