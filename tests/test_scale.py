@@ -69,3 +69,13 @@ def test_open_lines_by_their_plain_definition(spark):
     made = spark.createDataFrame(opened, "t string, want boolean").select("t", "want", continues(F.col("t")).alias("is"))
     assert [r for r in made.collect() if r["is"] != r["want"]] == []
     assert "CASE WHEN Contains(t" in optimized(made.select("is"))       # no copies of lines without a parenthesis
+
+
+def test_findings_of_unseen_texts_are_made_once(spark, files, monkeypatch):
+    written = []
+    monkeypatch.setattr(content_cache, "materialize", lambda df, name, write=content_cache.materialize: (written.append(name), write(df, name))[1])
+    cache = content_cache.ContentCache(spark, tempfile.mkdtemp(prefix="run-"))
+    text = ("a.py", f"k = '{AWS_KEY}'\n")
+    found = cache.scan(files(text, text, ("b.py", "x = 1\n")), ScanOptions(), **SECRETS_ONLY)
+    assert [(r.rule_id, r.path) for r in found.collect()] == [("SEC001", "a.py")] * 2
+    assert "found" in written
