@@ -10,6 +10,7 @@ from auditlake.operators import content_cache, history
 from auditlake.operators.file_scan import scan_files
 from auditlake.operators.lines import continues
 from auditlake.options import ScanOptions
+from auditlake.plans import scan as full
 from auditlake.plans.samples import AWS_KEY
 from auditlake.streaming import posture
 
@@ -79,3 +80,31 @@ def test_findings_of_unseen_texts_are_made_once(spark, files, monkeypatch):
     found = cache.scan(files(text, text, ("b.py", "x = 1\n")), ScanOptions(), **SECRETS_ONLY)
     assert [(r.rule_id, r.path) for r in found.collect()] == [("SEC001", "a.py")] * 2
     assert "found" in written
+
+
+def test_each_check_of_a_scan_is_written_by_a_plan_of_its_own(spark, files, monkeypatch):
+    """A plan of all checks is planned anew after each stage of every check: the driver's memory."""
+    plans, write = {}, full.materialize
+
+    def noted(df, name):
+        plans[name] = optimized(df)
+        return write(df, name)
+
+    monkeypatch.setattr(full, "materialize", noted)
+    table = files(("a.py", "eval(a)"), (".env", "A=1"), ("k.pem", "x"), ("requirements.txt", "flask"), ("Dockerfile", "FROM x:1"), ("huge.bin", ""))
+    table = table.withColumn("size_bytes", F.when(F.col("path") == "huge.bin", 60 * 1024 * 1024).otherwise(F.col("size_bytes")))
+    remotes = spark.createDataFrame([("r", "origin", "https://bob:hunt" + "er2pw@example.com/a")], "repo string, name string, url string")
+    patch = f'diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n+k = "{AWS_KEY}"\n'
+    patches = spark.createDataFrame([("r", 0, "c" * 40, patch)], "repo string, commit_seq int, commit string, patch string")
+    audits = spark.createDataFrame([("r", "npm", "package-lock.json", '{"vulnerabilities": {"a": {"severity": "high"}}}'), ("s", "npm", "p", "broken")],
+                                   "repo string, tool string, target string, payload string")
+    result = full.scan(table, remotes=remotes, patches=patches, tool_reports=audits,
+                       suppressions=spark.createDataFrame([("r", "SEC051", "", "", "")], "repo string, rule_id string, path string, reason string, expires string"))
+
+    found = plans["findings"]
+    assert not [step for step in ("Join", "Window", "Generate", "LogicalRDD") if step in found] and found.count("Aggregate") == 1
+    assert found.count("Relation [") == sum(name.endswith("-findings") for name in plans) == 9
+    assert sorted((r.repo, r.rule_id, r.path) for r in result.findings.collect()) == [
+        ("r", "SEC020", "a.py"), ("r", "SEC050", ".env"), ("r", "SEC052", ".git/config"), ("r", "SEC053", ".gitignore"),
+        ("r", "SEC054", "huge.bin"), ("r", "SEC055", "<git-history>"), ("r", "SEC060", "requirements.txt"), ("r", "SEC062", "package-lock.json"),
+        ("r", "SEC074", ".dockerignore"), ("s", "DEPS-SKIP", "-"), *[("s", "GIT-SKIP", "-")] * 3]
