@@ -6,10 +6,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.operators import content_cache, history
+from auditlake.operators import content_cache, history, suppress
 from auditlake.operators.file_scan import scan_files
 from auditlake.operators.lines import continues
-from auditlake.options import ScanOptions
+from auditlake.options import ScanOptions, Suppression
 from auditlake.plans import scan as full
 from auditlake.plans.samples import AWS_KEY
 from auditlake.streaming import posture
@@ -108,3 +108,12 @@ def test_each_check_of_a_scan_is_written_by_a_plan_of_its_own(spark, files, monk
         ("r", "SEC020", "a.py"), ("r", "SEC050", ".env"), ("r", "SEC052", ".git/config"), ("r", "SEC053", ".gitignore"),
         ("r", "SEC054", "huge.bin"), ("r", "SEC055", "<git-history>"), ("r", "SEC060", "requirements.txt"), ("r", "SEC062", "package-lock.json"),
         ("r", "SEC074", ".dockerignore"), ("s", "DEPS-SKIP", "-"), *[("s", "GIT-SKIP", "-")] * 3]
+
+
+def test_suppressions_of_all_kinds_meet_in_one_join(spark):
+    found = spark.createDataFrame([("r", "A", "p/q.py"), ("r", "B", "p/t/x.py"), ("r", "B", "q/x.py"), ("r", "D", "x.py"), ("r", "A", None),
+                                   ("s", None, "x.py"), ("s", "C", "p"), ("r", "C", "p"), ("s", "E", "a*b")], "repo string, rule_id string, path string")
+    rules = [Suppression("A", ""), Suppression("B", "p/"), Suppression("*", "x.*"), Suppression("C", "p", repo="s"), Suppression("E", "a*b", repo="s")]
+    covered = suppress.matched_targets(found, suppress.suppression_table(spark, rules))
+    assert optimized(covered).count("Join ") == 3       # a repository's own rules, shared rules, and the triples of covered pairs
+    assert sorted(tuple(r) for r in covered.collect()) == [("r", "A", "p/q.py"), ("r", "B", "p/t/x.py"), ("r", "D", "x.py"), ("s", "C", "p"), ("s", "E", "a*b")]
